@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pergamin.llm import pack, tokenize
+from pergamin.llm import pack, repeat, tokenize
 from pergamin.session import spread
 from pergamin.sources.tables import load
 
@@ -29,5 +29,14 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return pack.fill(*_packed(spark, folder))
 
 
+def p8_repeated_content(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spread(load(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return repeat.repeated_content(documents, repeat.train(load(spark, folder, "quality_samples")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat.found(p8_repeated_content(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p6_ids, p7_containers, p7_fill, p8_found, p8_repeated_content)}
