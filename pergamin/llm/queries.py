@@ -5,12 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pergamin.llm import pack, repeat, tokenize
+from pergamin.llm import encoding, pack, repeat, tokenize
 from pergamin.session import spread
 from pergamin.sources.tables import load
 
 
+#: The id column of each table of texts.
+ROW_ID = {"readings": "reading_id", "unwrapped": "unwrap_id", "screenings": "screening_id", "classified_lines": "line_id", "page_lines": "line_id"}
+
+
+def texts(spark: SparkSession, folder: str, *tables: str) -> DataFrame:
+    """Rows (rec struct<record, row_id>, text) of whole tables, one below the other."""
+    parts = [load(spark, folder, t).select(F.struct(F.lit(t).alias("record"), F.col(ROW_ID[t]).alias("row_id")).alias("rec"), "text") for t in tables]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return spread(whole, "rec")
+
+
+def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text of readings and unwrapped, with what it is restored to."""
+    source = texts(spark, folder, "readings", "unwrapped")
+    return encoding.repair_encoding(source, encoding.letter_statistics(source), "rec").select("rec.record", "rec.row_id", "garbled", "states", "spans", "restored")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_restored(spark, folder).where("garbled").select("record", "row_id").distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.token_ids(spread(load(spark, folder, "documents").select("doc_id", "text"), "doc_id"))
 
@@ -39,4 +63,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_containers, p7_fill, p8_found, p8_repeated_content)}
+    return {f.__name__: f for f in (p5_found, p5_restored, p6_ids, p7_containers, p7_fill, p8_found, p8_repeated_content)}
