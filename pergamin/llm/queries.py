@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergamin.llm import encoding, pack, repeat, tokenize
+from pergamin.llm import encoding, lookalike, pack, repeat, tokenize
 from pergamin.session import spread
 from pergamin.sources.tables import load
 
@@ -25,6 +25,18 @@ def texts(spark: SparkSession, folder: str, *tables: str) -> DataFrame:
     return spread(whole, "rec")
 
 
+def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line and reading with the form that all texts looking like it share."""
+    forms = lookalike.canonical_forms(texts(spark, folder, "page_lines", "readings"), "rec")
+    return forms.select("rec.record", "rec.row_id", "canonical", "look")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    lines = lookalike.same_look_pairs(spread(load(spark, folder, "page_lines").select("line_id", "doc_id", "page_no", "text"), "doc_id"), ["doc_id", "page_no"], "line_id")
+    readings = lookalike.same_look_pairs(spread(load(spark, folder, "readings").select("reading_id", "doc_id", "text"), "doc_id"), ["doc_id"], "reading_id")
+    return lines.select(F.lit("page_lines").alias("record"), "*").unionByName(readings.select(F.lit("readings").alias("record"), "*"))
+
+
 def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of readings and unwrapped, with what it is restored to."""
     source = texts(spark, folder, "readings", "unwrapped")
@@ -63,4 +75,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_restored, p6_ids, p7_containers, p7_fill, p8_found, p8_repeated_content)}
+    return {f.__name__: f for f in (p4_found, p4_canonical, p5_found, p5_restored, p6_ids, p7_containers, p7_fill, p8_found, p8_repeated_content)}
