@@ -4,7 +4,7 @@ Characters are mapped to what they look like (full-width and font variants, blan
 print like Latin ones, ligatures); texts are then grouped in SQL under Spark's accent-sensitive, case-sensitive Unicode collation,
 for which composed and decomposed accents are equal and zero-width characters count for nothing. Each class gets one of its
 members as its canonical form, the same whatever the order of the rows, and it is joined back. As grouping under a collation
-sorts, it is applied to those texts alone whose skeleton of unaccented letters and digits occurs with another text.
+sorts, it is applied to those texts alone whose skeleton of plain letters and digits occurs in a text of odd characters.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pergamin.session import write_through
+
 # Letters of other scripts and the Latin letters they print like.
 LOOK_ALIKE = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ԝ": "w", "х": "x", "у": "y", "ѵ": "v",
@@ -65,23 +67,28 @@ def looks_like(text: Column) -> Column:
     for ligature, letters in LIGATURES.items():
         seen = F.replace(seen, F.lit(ligature), F.lit(letters))
     seen = F.regexp_replace(seen, NO_WIDTH, "")
-    seen = F.when(text.rlike("\\A" + PLAIN + "\\z"), text).otherwise(seen)
+    seen = F.when(is_odd(text), seen).otherwise(text)
     return F.regexp_replace(seen, "[ \\t\\r]+(?=\\n|\\z)", "")
 
 
-def skeleton(seen: Column) -> Column:
-    """What is left of a mapped text of letters and digits without accents: equal for texts that look the same."""
-    accents = "".join(chr(c) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(c))) > 1)
-    base = "".join(unicodedata.normalize("NFD", c)[0] for c in accents)
-    return F.regexp_replace(F.translate(seen, accents, base), "[^A-Za-z0-9]+", "")
+def is_odd(text: Column) -> Column:
+    """Whether a text holds a character that may have another form, or blanks that do not show."""
+    return ~text.rlike("\\A" + PLAIN + "\\z") | text.rlike("[ \\t](\n|\\z)")
+
+
+def skeleton(text: Column) -> Column:
+    """The plain letters and digits of a text as it looks: equal for texts that look the same. Accented letters are left out,
+    however they are composed, so only odd texts need to be mapped."""
+    bare = F.regexp_replace(looks_like(text), "[A-Za-z]\\p{M}+", "")
+    return F.regexp_replace(F.when(is_odd(text), bare).otherwise(text), "[^A-Za-z0-9]+", "")
 
 
 def _blocked(df: DataFrame, key: str, text: str, place: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with the block of their place and skeleton, and the blocks that hold more than one text."""
-    rows = df.select(*place, F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_seen", looks_like(F.col("_text")))
-    rows = rows.select(*place, "_id", "_text", F.xxhash64(*place, skeleton(F.col("_seen"))).alias("_block"), F.md5("_text").alias("_variant"))
-    mixed = rows.groupBy("_block").agg(F.min("_variant").alias("_low"), F.max("_variant").alias("_high")).where("_low <> _high").select("_block")
-    return rows, mixed
+    """Rows with the block of their place and skeleton, and the blocks that hold an odd text: plain texts that look the same
+    are the same, so no other block has anything to compare."""
+    rows = df.select(*place, F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
+    blocked = rows.withColumn("_block", F.xxhash64(*place, skeleton(F.col("_text"))))
+    return blocked.withColumn("_variant", F.md5("_text")), blocked.where(is_odd(F.col("_text"))).select("_block").distinct()
 
 
 def _classes(variants: DataFrame, place: list[str]) -> DataFrame:
@@ -107,7 +114,7 @@ def canonical_forms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     rows, mixed = _blocked(df, key, text, [])
     variants = rows.where(F.col("_text").isNotNull()).join(mixed, "_block", "left_semi").groupBy("_block", "_variant").agg(F.min("_text").alias("_text"))
-    forms = _classes(variants, [])
+    forms = _classes(write_through(variants, "look"), [])
     joined = rows.join(forms, ["_block", "_variant"], "left").withColumn("canonical", F.coalesce("_canonical", "_text"))
     return joined.select(F.col("_id").alias(key), "canonical", F.md5("canonical").alias("look"))
 
@@ -120,7 +127,7 @@ def same_look_pairs(df: DataFrame, place: list[str], row_id: str, text: str = "t
     the same text, so the work follows the result and not the square of a group of copies.
     """
     rows, mixed = _blocked(df.where(F.col(text).rlike("[^\\s]")), row_id, text, place)
-    few = rows.dropna().join(mixed, "_block", "left_semi")
+    few = write_through(rows.dropna().join(mixed, "_block", "left_semi"), "look")
     variants = few.groupBy(*place, "_block", "_variant").agg(F.min("_text").alias("_text"))
     classes = _classes(variants, place).where(F.trim(looks_like(F.col("_canonical"))) != "").select(*place, "_block", "_variant", F.md5("_canonical").alias("_look"))
     ids = few.select(*place, "_block", "_variant", "_id").distinct().join(classes, [*place, "_block", "_variant"])
