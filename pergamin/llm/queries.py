@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergamin.llm import encoding, lookalike, pack, repeat, tokenize
-from pergamin.session import spread
+from pergamin.llm import encoding, lookalike, pack, repeat, scanned, tokenize
+from pergamin.session import spread, write_through
 from pergamin.sources.tables import load
 
 
@@ -25,6 +25,26 @@ def texts(spark: SparkSession, folder: str, *tables: str) -> DataFrame:
     return spread(whole, "rec")
 
 
+def _scanned(spark: SparkSession, folder: str, text: bool) -> tuple[DataFrame, DataFrame, scanned.Lexicon]:
+    """Features of all lines of OCR steps, the noise of their pages, and the lexicon of all texts."""
+    lines, readings = load(spark, folder, "page_lines"), load(spark, folder, "readings")
+    lex = scanned.lexicon(scanned.corpus_counts(spread(lines.select("text").unionByName(readings.select("text")))))
+    rows = spread(scanned.page_line_rows(lines), "unit").unionByName(spread(scanned.reading_rows(readings.where("kind = 'ocr'")), "unit"))
+    features = write_through(scanned.line_features(rows, lex, ["key", "tie", "unit", "page", "line_no", *["text"] * text]), "lines")
+    return features, scanned.page_noise(features, lex), lex
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, rows, lex = _scanned(spark, folder, False)
+    return scanned.noises(rows, lex).select("key.record", "key.row_id", "noise").distinct()
+
+
+def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page read by an OCR step as continuous paragraphs."""
+    features, rows, lex = _scanned(spark, folder, True)
+    return scanned.paragraphs(features, rows, lex)
+
+
 def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """Every line and reading with the form that all texts looking like it share."""
     forms = lookalike.canonical_forms(texts(spark, folder, "page_lines", "readings"), "rec")
@@ -75,4 +95,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_canonical, p5_found, p5_restored, p6_ids, p7_containers, p7_fill, p8_found, p8_repeated_content)}
+    return {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_canonical, p5_found, p5_restored, p6_ids, p7_containers, p7_fill, p8_found, p8_repeated_content)}
