@@ -25,24 +25,23 @@ def texts(spark: SparkSession, folder: str, *tables: str) -> DataFrame:
     return spread(whole, "rec")
 
 
-def _scanned(spark: SparkSession, folder: str, text: bool) -> tuple[DataFrame, DataFrame, scanned.Lexicon]:
-    """Features of all lines of OCR steps, the noise of their pages, and the lexicon of all texts."""
+def _scanned(spark: SparkSession, folder: str, text: bool) -> tuple[DataFrame, scanned.Lexicon]:
+    """The lines of OCR steps by page, with their features, and the lexicon of all texts."""
     lines, readings = load(spark, folder, "page_lines"), load(spark, folder, "readings")
     lex = scanned.lexicon(scanned.corpus_counts(spread(lines.select("text").unionByName(readings.select("text")))))
     rows = spread(scanned.page_line_rows(lines), "unit").unionByName(spread(scanned.reading_rows(readings.where("kind = 'ocr'")), "unit"))
-    features = write_through(scanned.line_features(rows, lex, ["key", "tie", "unit", "page", "line_no", *["text"] * text]), "lines")
-    return features, scanned.page_noise(features, lex), lex
+    features = scanned.line_features(rows, lex, ["key", "tie", "unit", "page", "line_no", *["text"] * text])
+    return scanned.paged(features if text else features.drop("repaired")), lex
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    _, rows, lex = _scanned(spark, folder, False)
-    return scanned.noises(rows, lex).select("key.record", "key.row_id", "noise").distinct()
+    rows, lex = _scanned(spark, folder, False)
+    return scanned.noises(scanned.page_noise(rows), lex).select("key.record", "key.row_id", "noise").distinct()
 
 
 def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """Every page read by an OCR step as continuous paragraphs."""
-    features, rows, lex = _scanned(spark, folder, True)
-    return scanned.paragraphs(features, rows, lex)
+    return scanned.paragraphs(*_scanned(spark, folder, True))
 
 
 def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:

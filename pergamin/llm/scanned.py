@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from pergamin.llm.arrow_text import flat_utf8, slices
 from pergamin.llm.lookalike import LIGATURES, mapping
+from pergamin.session import write_through
 
 #: A form is frequent from this share of all words on, and this count: at most 1 / SHARE forms can be.
 SHARE, COUNT = 4e-6, 5
@@ -53,6 +54,7 @@ PAGE_NO = re.compile(rf"[\W_]*(?:{PAGE_WORD})?[\W_]*{NUMBER}(?:\s*(?:/|de|of|-)\
 PAGE_END = re.compile(rf"(?:\s*[-–—|•·,:(\[]\s*(?:{PAGE_WORD})?|\s+{PAGE_WORD}|\s{{2,}}){NUMBER}(?:\s*(?:/|de|of)\s*{NUMBER})?[\W_]*$", re.I)
 PAGE_START = re.compile(rf"^[\W_]*(?:(?:{PAGE_WORD}){NUMBER}(?:\s*(?:/|de|of)\s*{NUMBER})?\s*[-–—|•·,:)\]]?|{NUMBER}\s*[-–—|•·:)\]])\s+(?=\D)", re.I)
 
+DIGITS = re.compile("[0-9]+")
 FRAGMENT = re.compile(r"\s*[^\W\d_]*[aeiouáàâãéêíóôõú][^\W\d_]*[.,;:]?(?:\s[^\W\d_]+[-.,;:]?)?\s*", re.I)
 NUMBERED = re.compile(rf"\s[-–—|•·]\s*(?:{PAGE_WORD})?{NUMBER}(?:\s*(?:/|de|of)\s*{NUMBER})?\W*$", re.I)
 FOREIGN = re.compile("[^\x00-\x9f\xa1-\xac\xae-\xff–—“”‘’•…]")
@@ -74,10 +76,13 @@ def plain(text: str) -> str:
 
 def word_of(token: str) -> str:
     """A token without signs around it, in lower case; a capital I within small letters is the l it looks like."""
-    token = EDGE_SIGNS.sub("", plain(token))
-    if "I" in token and not token.isupper():
-        token = re.sub(r"(?<=[a-zà-ÿ])I", "l", token)
-    return token.lower()
+    return lower_word(EDGE_SIGNS.sub("", plain(token)))
+
+
+def lower_word(core: str) -> str:
+    if "I" in core and not core.isupper():
+        core = re.sub(r"(?<=[a-zà-ÿ])I", "l", core)
+    return core.lower()
 
 
 def skeleton(word: str, d_like: bool = True, pairs: tuple = CONFUSED_PAIRS) -> str:
@@ -176,30 +181,37 @@ class Lexicon:
                     self.form[s] = word
         self.compounds = {w for w in words if "-" in w and w.replace("-", "").isalpha()}
         self.prefixes = {w.split("-")[0] for w in self.compounds}
+        self.dominated = {w: form for w in words if (form := self._form_of(w)) and words[form][0] >= DOMINANCE * words[w][0]}
 
-    def correction(self, token: str, word: str) -> str | None:
-        """The frequent form that the token may be a misreading of, if it is none itself."""
-        if ADDRESS.search(token):
-            return None
-        core = EDGE_SIGNS.sub("", plain(token))
-        if any(c.isdigit() for c in core) and AMOUNT.fullmatch(core):
-            if core.replace(".", "").replace(",", "").isdigit():
-                return None
-            return core.translate(str.maketrans("OoIlSB", "001158"))
-        if word in self.words and CAPITAL_I.search(core):
-            return word
-        letters = sum(c.isalpha() for c in word)
-        odd = sum(c in "0@!1|5$986" for c in word)
-        if letters + odd + word.count("-") != len(word) or letters < 2 * odd or letters < 2 or len(word) < 4:
-            return None
-        own = self.words.get(word, (0, 0))[0]
+    def _form_of(self, word: str) -> str | None:
         best = None
         for variant in [word.replace("6", c) for c in SIX] if "6" in word else [word]:
-            for d_like, pairs in VARIANTS if "r" in variant else VARIANTS[:2]:
+            for d_like, pairs in VARIANTS[: 4 if "r" in variant else 2]:
+                if not d_like and "c" not in variant:
+                    continue  # the same as with it
                 form = self.form.get(skeleton(variant, d_like, pairs))
                 if form and form != word and (best is None or self.words[form][0] > self.words[best][0]):
                     best = form
-        if best is None or self.words[best][0] < max(DOMINANCE * own, COUNT):
+        return best
+
+    def correction(self, token: str, core: str, word: str) -> str | None:
+        """The frequent form that the token may be a misreading of, if it is none itself. ``core``: the token without signs
+        around it; ``word``: the same in lower case."""
+        odd = sum(map(word.count, "0@!1|5$986"))
+        if odd and word[:1].isdigit() and AMOUNT.fullmatch(core):
+            if core.replace(".", "").replace(",", "").isdigit():
+                return None
+            return core.translate(str.maketrans("OoIlSB", "001158"))
+        known = word in self.words
+        if known and CAPITAL_I.search(core):
+            return word
+        if known and word not in self.dominated or len(word) < 4 or odd * 3 > len(word) or (odd and ADDRESS.search(token)):
+            return None
+        letters = sum(map(str.isalpha, word))
+        if letters + odd + word.count("-") != len(word) or letters < 2:
+            return None
+        best = self.dominated[word] if known else self._form_of(word)
+        if best is None or self.words[best][0] < COUNT:
             return None
         n, small = self.words[best]
         if core[:1].isupper() and not core.isupper() and small < 0.2 * n:
@@ -220,25 +232,25 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(words, pairs)
 
 
-FEATURES = "readable boolean, misread boolean, tail string, head string, page_no boolean, mask string, numbered boolean, repaired string"
+FEATURES = "readable boolean, misread boolean, tail string, head string, page_no boolean, mask long, form long, numbered boolean, repaired string"
 
 
 class Token:
     """What is known of a token wherever it stands."""
 
-    __slots__ = ("word", "correction", "hash", "fixed_hash", "alphabetic", "known", "skeleton", "numeric", "certain")
+    __slots__ = ("word", "correction", "alphabetic", "known", "skeleton", "numeric", "certain")
 
     def __init__(self, token: str, lex: Lexicon):
-        self.word = word_of(token)
-        self.correction = lex.correction(token, self.word)
-        self.alphabetic = len(self.word) > 1 and (self.word.isalpha() or self.correction is not None)
-        self.known = self.alphabetic and (self.correction is not None or self.word in lex.words)
-        self.hash, self.fixed_hash = hash_words([self.word, self.correction or ""])
-        self.skeleton = mask_of(self.correction or self.word)
-        core = plain(token).strip(".,:;()[]|-–—/")
-        self.numeric = any(c.isdigit() for c in core) or bool(core) and all(c in "IVXLCivxlc" for c in core)
-        accents = self.correction is not None and unaccented(self.word) == unaccented(self.correction)
-        self.certain = self.correction is not None and (self.correction == self.word or any(c in "0@!1|5$986" for c in self.word) or len(self.word) > 5 and not accents)
+        shown = plain(token)
+        core = EDGE_SIGNS.sub("", shown)
+        self.word = word = lower_word(core)
+        self.correction = fixed = lex.correction(token, core, word)
+        self.alphabetic = len(word) > 1 and (fixed is not None or word.isalpha())
+        self.known = self.alphabetic and (fixed is not None or word in lex.words)
+        self.skeleton = mask_of(fixed or word)
+        bare = shown.strip(".,:;()[]|-–—/")
+        self.numeric = bare.isdigit() or bool(bare) and (all(c in "IVXLCivxlc" for c in bare) or any(map(str.isdigit, bare)))
+        self.certain = fixed is not None and (fixed == word or any(c in "0@!1|5$986" for c in word) or len(word) > 5 and unaccented(word) != unaccented(fixed))
 
 
 def mask_of(word: str) -> str:
@@ -253,10 +265,11 @@ def unaccented(word: str) -> str:
 
 def features_of(text: str, lex: Lexicon, cache: dict) -> tuple:
     """Features of one line; see FEATURES. ``tail``: word before a hyphen at the end; ``head``: first word if in small letters,
-    else empty; ``mask``: skeleton of the line without its page number; ``repaired``: the line with misread words restored."""
+    else empty; ``mask``: hash of the skeleton of the line
+    without its page number, ``form``: the same with all digits masked; ``repaired``: the line with misread words restored."""
     tokens = text.split()
     if not tokens:
-        return False, False, None, "", False, None, False, None
+        return False, False, None, "", False, None, None, False, None
     entries = []
     alphabetic = known = 0
     wrong = False
@@ -277,8 +290,8 @@ def features_of(text: str, lex: Lexicon, cache: dict) -> tuple:
             if entry.correction is None:
                 continue
             if not entry.certain:
-                around = [(left.hash, entry.fixed_hash) for left in entries[max(k - 1, 0) : k]] + [(entry.fixed_hash, right.hash) for right in entries[k + 1 : k + 2]]
-                if not any(int(pair_key(x, y)) in lex.pairs for x, y in around):
+                around = hash_words([e.word for e in entries[max(k - 1, 0) : k]] + [entry.correction] + [e.word for e in entries[k + 1 : k + 2]])
+                if not any(int(key) in lex.pairs for key in pair_key(around[:-1], around[1:])):
                     continue
             repaired = repaired or list(tokens)
             repaired[k] = match_case(tokens[k], entry.word, entry.correction)
@@ -300,9 +313,10 @@ def features_of(text: str, lex: Lexicon, cache: dict) -> tuple:
                 numbered = bool(NUMBERED.search(shown)) and shown.count("|") < 2 and shown.lstrip()[:1].isupper()
                 skeletons = [mask_of(t.lower()) for t in masked.split()]
         mask = "".join(skeletons)
-        if number or sum(c.isalpha() for c in mask) < 4:
+        if number or sum(map(str.isalpha, mask)) < 4:
             mask = None
-    return readable, repaired is not None, tail.group(1).lower() if tail else None, head_word, number, mask, numbered, " ".join(repaired) if repaired else None
+    hashes = (None, None) if mask is None else hash_words([mask, DIGITS.sub("#", mask)]).tolist()
+    return readable, repaired is not None, tail.group(1).lower() if tail else None, head_word, number, *hashes, numbered, " ".join(repaired) if repaired else None
 
 
 def match_case(token: str, word: str, correction: str) -> str:
@@ -317,7 +331,7 @@ def line_features(lines: DataFrame, lex: Lexicon, keep: list[str], text: str = "
     shared = lines.sparkSession.sparkContext.broadcast(lex)
     rows = lines.select(*keep, F.col(text).cast("string").alias("_text"))
     schema = T.StructType([*rows.select(*keep).schema.fields, *T._parse_datatype_string(FEATURES).fields])
-    kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.bool_(), pa.string()]
+    kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")  # hashes wrap around
@@ -332,91 +346,97 @@ def line_features(lines: DataFrame, lex: Lexicon, keep: list[str], text: str = "
     return rows.mapInArrow(run, schema)
 
 
-def page_noise(features: DataFrame, lex: Lexicon) -> DataFrame:
-    """Adds ``header``, ``is_page_no``, ``body`` and ``next`` (first word of the line that goes on, '' if it opens a sentence)
-    to features of lines with the columns key, tie, unit, page, line_no. ``features`` is read several times: a written table.
+PAGE = ["unit", "page"]
+
+
+def paged(features: DataFrame) -> DataFrame:
+    """Lines of pages, rows given again under the same key once, with their distance from the edge of the page. Written: it is
+    read twice, and the features behind it are the one Python stage."""
+    once = Window.partitionBy(*PAGE, "key").orderBy("tie")
+    order = [F.col("line_no"), F.col("tie")]
+    down, up = Window.partitionBy(*PAGE).orderBy(*order), Window.partitionBy(*PAGE).orderBy(*(c.desc() for c in order))
+    rows = features.repartition(*PAGE).withColumn("_again", F.row_number().over(once)).where("_again = 1").drop("_again")
+    rows = rows.withColumn("from_edge", F.least(F.row_number().over(down), F.row_number().over(up)))
+    at_edge = F.col("from_edge") <= EDGE
+    keep = [F.when(at_edge, F.col(c)).alias(c) for c in ("mask", "form")]
+    rows = rows.select(*(c for c in rows.columns if c not in ("mask", "form", "page_no")), *keep, (F.col("page_no") & at_edge).alias("page_no"))
+    return write_through(rows, "pages")
 
-    ``unit`` names what pages belong to. Rows given again under the same key count once. Windows run within pages; a line's
-    continuation on the next page comes by a join, so no unit is one task.
+
+def page_noise(rows: DataFrame) -> DataFrame:
+    """The noises of ``paged`` lines: unit, page, key, tie, line_no, ``body``, misread, ``header``, page_no, ``tail``, and
+    ``next`` (first word of the line that goes on on the page, '' if it opens a sentence, null if there is none).
+
+    A header runs over pages of its unit, or is of a form that runs elsewhere, or stands outermost with the page's number.
+    Whether a form is known comes back as marker rows, so lines are shuffled by page once more and never by a form that a
+    third of them may share.
     """
-    page = ["unit", "page"]
-    once = Window.partitionBy(*page, "key").orderBy("tie")
-    ordered = Window.partitionBy(*page).orderBy("line_no", "tie")
-    backward = Window.partitionBy(*page).orderBy(F.desc("line_no"), F.desc("tie"))
-    rows = features.drop("repaired").repartition(*page).withColumn("_again", F.row_number().over(once)).where("_again = 1").drop("_again")
-    rows = rows.withColumn("_from_edge", F.least(F.row_number().over(ordered), F.row_number().over(backward)))
-    rows = rows.withColumn("_edge", F.col("_from_edge") <= EDGE).withColumn("_outer", F.col("_from_edge") == 1)
-    rows = rows.withColumn("is_page_no", F.col("page_no") & F.col("_edge"))
-    # Headers: they run over pages of their unit, or carry a page number, or are known from units where they do.
-    edge = rows.where(F.col("_edge") & F.col("mask").isNotNull())
-    running = edge.groupBy("unit", "mask").agg(F.count_distinct("page").alias("_pages")).where("_pages > 1")
-    digits = lambda c: F.regexp_replace(c, "[0-9]+", "#")
-    known = running.select(digits("mask").alias("_mask")).distinct().withColumn("_known", F.lit(True))
-    alone = F.concat(F.lit("\x01"), F.hex(F.xxhash64("key", "tie")))  # no match, and no common key for rows without a mask
-    rows = rows.withColumn("_mask", F.when(F.col("_edge"), digits("mask")))
-    rows = rows.withColumn("_mask", F.coalesce("_mask", alone)).join(known, "_mask", "left").drop("_mask")
-    rows = rows.withColumn("header", F.col("_edge") & F.col("mask").isNotNull() & (F.coalesce("_known", F.lit(False)) | F.col("_outer") & F.col("numbered")))
-    # What follows a line: the next line of text on the page, else the first one of the next page.
-    rows = rows.withColumn("body", F.col("readable") & ~F.col("header") & ~F.col("is_page_no"))
-    after = ordered.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("next", F.first(F.when(F.col("body"), F.col("head")), ignorenulls=True).over(after))
-    heads = rows.where("body").groupBy(*page).agg(F.min_by("head", F.struct("line_no", "tie")).alias("_over"), F.max_by("key", F.struct("line_no", "tie")).alias("_last"))
-    over = heads.select("unit", (F.col("page") - 1).alias("page"), "_over")
-    last = heads.select("unit", "page", F.col("_last").alias("key")).join(over, page).select(*page, "key", "_over")
-    rows = rows.join(last, [*page, "key"], "left").withColumn("next", F.coalesce("next", "_over"))
-    return rows.drop("_known", "_edge", "_outer", "_from_edge", "_over")
-
-
-def divided(rows: DataFrame, lex: Lexicon) -> DataFrame:
-    """The rows whose last word is divided only for the end of the line.
-
-    It is not if what follows opens a sentence, or if the word is known with its hyphen and not without, or, where neither is
-    known, if its first part is known to begin words with a hyphen.
+    edge = rows.where(F.col("mask").isNotNull())
+    known = edge.groupBy("unit", "mask", "form").agg(F.count_distinct("page").alias("_pages")).where("_pages > 1").select("form").distinct()
+    columns = ["unit", "page", "key", "tie", "line_no", "readable", "misread", "tail", "head", "page_no", "numbered", "from_edge"]
+    markers = edge.join(known, "form", "left_semi").select(*columns[:5], F.lit(True).alias("_marker"))
+    both = rows.select(*columns, F.lit(False).alias("_marker")).unionByName(markers, allowMissingColumns=True).repartition(*PAGE)
+    both = both.withColumn("_known", F.bool_or("_marker").over(Window.partitionBy(*PAGE, "key", "tie"))).where("not _marker")
+    both = both.withColumn("header", F.col("_known") | (F.col("from_edge") == 1) & F.col("numbered"))
+    both = both.withColumn("body", F.col("readable") & ~F.col("header") & ~F.col("page_no"))
+    order = Window.partitionBy(*PAGE).orderBy("line_no", "tie")
+    body = F.when(F.col("body"), F.col("head"))
+    both = both.withColumn("next", F.first(body, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    first = F.col("body") & F.first(body, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).isNull()
+    return both.withColumn("first", first).select(*columns[:5], "body", "misread", "header", "page_no", "tail", "head", "next", "first")
+
+
+def noises(rows: DataFrame, lex: Lexicon) -> DataFrame:
+    """One row (unit, page, key, tie, noise) for every noise of every line of ``page_noise``.
+
+    A word is divided only for the end of the line unless what follows, on the page or at the top of the next, opens a
+    sentence, or the word is known with its hyphen and not without, or, where neither is known, its first part is known to
+    begin words with a hyphen. Everything behind the pages is of the few lines that have a noise or open a page.
     """
-    spark = rows.sparkSession
-    forms = spark.createDataFrame([(w, "-" in w) for w in sorted(lex.words) if w.isalpha() or w in lex.compounds], "_form string, _hyphened boolean")
-    ends = rows.where(F.col("body") & F.col("tail").isNotNull() & (F.coalesce("next", F.lit("?")) != ""))
+    found = F.array_compact(F.array(*(F.when(F.col(c), F.lit(n)) for c, n in (("misread", "misread"), ("header", "header"), ("page_no", "page_no"))), F.when(F.col("body") & F.col("tail").isNotNull(), F.lit("hyphen"))))
+    few = rows.withColumn("_noises", found).where((F.size("_noises") > 0) | F.col("first"))
+    few = write_through(few.select(*PAGE, "key", "tie", "_noises", F.when(F.col("body"), F.col("tail")).alias("tail"), "head", "next", "first"), "noises")
+    plain_ones = few.select(*PAGE, "key", "tie", F.explode("_noises").alias("noise")).where("noise <> 'hyphen'")
+    heads = few.where("first").select("unit", (F.col("page") - 1).alias("page"), F.col("head").alias("_over"))
+    ends = few.where(F.array_contains("_noises", "hyphen")).select(*PAGE, "key", "tie", "tail", "next")
+    ends = ends.join(heads, PAGE, "left").withColumn("next", F.coalesce("next", "_over")).where(F.coalesce("next", F.lit("?")) != "")
+    forms = rows.sparkSession.createDataFrame([(w, "-" in w) for w in sorted(lex.words) if w.isalpha() or w in lex.compounds], "_form string, _hyphened boolean")
     whole = forms.where("not _hyphened").select(F.col("_form").alias("_whole"), F.lit(True).alias("_is_whole"))
     compound = forms.where("_hyphened").select(F.col("_form").alias("_compound"), F.lit(True).alias("_is_compound"))
     ends = ends.withColumn("_whole", F.coalesce(F.concat("tail", "next"), "tail")).withColumn("_compound", F.coalesce(F.concat_ws("-", "tail", "next"), "tail"))
     ends = ends.join(whole, "_whole", "left").join(compound, "_compound", "left")
     prefix = F.col("tail").isin(sorted(lex.prefixes)) if lex.prefixes else F.lit(False)
-    return ends.where(F.when(F.col("_is_whole"), True).when(F.col("_is_compound"), False).otherwise(~prefix)).drop("_whole", "_compound", "_is_whole", "_is_compound")
-
-
-def noises(rows: DataFrame, lex: Lexicon) -> DataFrame:
-    """One row (key, noise) for every noise of every line of ``page_noise``; unreadable lines have none but page numbers."""
-    named = F.array_compact(F.array(*(F.when(F.col(c), F.lit(n)) for c, n in (("misread", "misread"), ("header", "header"), ("is_page_no", "page_no")))))
-    return rows.select("key", F.explode(named).alias("noise")).unionByName(divided(rows, lex).select("key", F.lit("hyphen").alias("noise"))).distinct()
+    ends = ends.where(F.when(F.col("_is_whole"), True).when(F.col("_is_compound"), False).otherwise(~prefix))
+    return plain_ones.unionByName(ends.select(*PAGE, "key", "tie", F.lit("hyphen").alias("noise")))
 
 
 def page_line_rows(lines: DataFrame) -> DataFrame:
     """Rows (key, tie, unit, page, line_no, text) of the table of page lines; a unit is a document as read by one step."""
-    unit = F.concat_ws("|", F.lit("page_lines"), "doc_id", "step")
+    unit = F.xxhash64(F.lit("page_lines"), "doc_id", "step")
     return lines.select(as_key("page_lines", "line_id").alias("key"), F.xxhash64("text").alias("tie"), unit.alias("unit"), F.col("page_no").alias("page"), "line_no", "text").where(F.trim("text") != "")
 
 
 def reading_rows(readings: DataFrame) -> DataFrame:
     """The same of the lines of readings; a unit is a reading, and its pages are parted by an empty line."""
-    pages = readings.select(as_key("readings", "reading_id").alias("row"), F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n\n")).alias("page", "_page"))
-    lines = pages.select("row", "tie", "page", F.posexplode(F.split("_page", "\n")).alias("line_no", "text")).where(F.trim("text") != "")
-    unit = F.concat_ws("|", F.lit("readings"), "row.row_id", "tie")
-    key = F.struct("row.record", "row.row_id", "page", "line_no")
-    return lines.select(key.alias("key"), "tie", unit.alias("unit"), "page", "line_no", "text")
+    pages = readings.select(F.col("reading_id").cast("long").alias("row_id"), F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n\n")).alias("page", "_page"))
+    lines = pages.select("row_id", "tie", "page", F.posexplode(F.split("_page", "\n")).alias("line_no", "text")).where(F.trim("text") != "")
+    key = F.struct(F.lit("readings").alias("record"), F.col("row_id"), F.col("page").alias("page"), F.col("line_no").alias("line_no"))
+    return lines.select(key.alias("key"), "tie", F.xxhash64(F.lit("readings"), "row_id", "tie").alias("unit"), "page", "line_no", "text")
 
 
-def paragraphs(features: DataFrame, rows: DataFrame, lex: Lexicon) -> DataFrame:
-    """Continuous paragraphs (unit, page, paragraph, continues, text) of lines whose features also carry ``text``.
+def paragraphs(rows: DataFrame, lex: Lexicon) -> DataFrame:
+    """Continuous paragraphs (record, row_id, unit, page, paragraph, continues, text) of ``paged`` lines that carry ``text``.
 
     Headers, footers, page numbers and unreadable lines are left out, misread words restored, divided words joined.
-    ``continues``: the paragraph goes on from the page before.
+    ``continues``: the paragraph goes on from the page before; ``row_id`` is of its first line.
     """
-    page = ["unit", "page"]
+    noise = page_noise(rows)
+    hyphen = noises(noise, lex).where("noise = 'hyphen'").select(*PAGE, "key", "tie", F.lit(True).alias("_hyphen"))
+    shown = rows.select(*PAGE, "key", "tie", F.coalesce("repaired", "text").alias("_shown"))
+    body = noise.where("body").select(*PAGE, "key", "tie", "line_no", "head", "tail").join(shown, [*PAGE, "key", "tie"])
+    body = body.join(hyphen, [*PAGE, "key", "tie"], "left").withColumn("_shown", F.trim("_shown"))
+    page = PAGE
     order = Window.partitionBy(*page).orderBy("line_no", "tie")
-    hyphen = divided(rows, lex).select(*page, "key", "tie", F.lit(True).alias("_hyphen"))
-    body = rows.where("body").select(*page, "key", "tie", "line_no", "head", "tail")
-    body = body.join(features.select(*page, "key", "tie", F.coalesce("repaired", "text").alias("_shown")).dropDuplicates([*page, "key", "tie"]), [*page, "key", "tie"])
-    body = body.join(hyphen, [*page, "key", "tie"], "left").withColumn("_shown", F.trim("_shown"))
     before = F.lag("_shown").over(order)
     short = F.length(before) < 0.75 * F.max(F.length("_shown")).over(Window.partitionBy(*page))
     ends = before.rlike("[.!?:;…][\"”')]*$")
@@ -425,9 +445,9 @@ def paragraphs(features: DataFrame, rows: DataFrame, lex: Lexicon) -> DataFrame:
     body = body.withColumn("_start", F.when(before.isNull(), 0).otherwise(opens.cast("int"))).withColumn("paragraph", F.sum("_start").over(order))
     joined = F.when(F.col("_hyphen"), F.regexp_replace("_shown", f"[{HYPHENS}]\\s*$", "")).when(F.col("tail").isNotNull(), F.col("_shown")).otherwise(F.concat("_shown", F.lit(" ")))
     lines = F.array_sort(F.collect_list(F.struct("line_no", "tie", joined.alias("t"), "head")))
-    grouped = body.groupBy(*page, "paragraph").agg(lines.alias("_lines"))
+    grouped = body.groupBy(*page, "paragraph").agg(lines.alias("_lines"), F.min_by("key", F.struct("line_no", "tie")).alias("key"))
     continues = (F.col("paragraph") == 0) & (F.col("page") > 0) & (F.col("_lines")[0]["head"] != "")
-    return grouped.select(*page, "paragraph", continues.alias("continues"), F.trim(F.array_join(F.transform("_lines", lambda x: x["t"]), "")).alias("text"))
+    return grouped.select("key.record", "key.row_id", *page, "paragraph", continues.alias("continues"), F.trim(F.array_join(F.transform("_lines", lambda x: x["t"]), "")).alias("text"))
 
 
 def as_key(record: str, column: str) -> Column:

@@ -28,7 +28,7 @@ def lex():
 )
 def test_misread_words(lex, line, repaired):
     found = S.features_of(line, lex, {})
-    assert (found[1], found[7]) == (repaired is not None, repaired)
+    assert (found[1], found[8]) == (repaired is not None, repaired)
 
 
 @pytest.mark.parametrize("line", ["1", "- 36 -", "[43]", "p. 5", "pág. 1/4", "Fl. n. 2", "0001", "II", "Página 2 de 2", "fls. 79", "Page 3 of 9", "— 7 —", "‑ 79 ‑"])
@@ -54,11 +54,10 @@ def lines(spark, lex, pages, doc=1):
 
 
 def test_noise_of_pages(spark, lex):
-    features = lines(spark, lex, PAGES)
-    rows = S.page_noise(features, lex)
-    got = sorted((r.key.row_id - 1000, r.noise) for r in S.noises(rows, lex).collect())
+    rows = S.paged(lines(spark, lex, PAGES))
+    got = sorted((r.key.row_id - 1000, r.noise) for r in S.noises(S.page_noise(rows), lex).collect())
     assert got == [(0, "header"), (1, "hyphen"), (3, "hyphen"), (4, "page_no"), (100, "header"), (103, "hyphen"), (103, "misread"), (106, "page_no")]
-    text = [(r.page, r.paragraph, r.continues, r.text) for r in S.paragraphs(features, rows, lex).orderBy("page", "paragraph").collect()]
+    text = [(r.page, r.paragraph, r.continues, r.text) for r in S.paragraphs(rows, lex).orderBy("page", "paragraph").collect()]
     assert text[0] == (0, 0, False, "O depositário fiel certificou que a habilitação da parte autora e a médica-assistente homologou o contrato de loca")
     assert text[1][2:] == (True, "ção perante a secretaria da vara.")
     assert text[2][3] == "O vice-diretor foram ouvidos o processo da transportadora."
@@ -69,10 +68,10 @@ def test_readings_and_dirty_rows(spark, lex):
     data = [(1, text), (1, text), (2, None), (3, ""), (4, " \n\n "), (None, text), (5, "o contrato " * 30000)]
     df = spark.createDataFrame(data, "reading_id long, text string")
     features = S.line_features(S.reading_rows(df), lex, ["key", "tie", "unit", "page", "line_no"]).cache()
-    got = S.noises(S.page_noise(features, lex), lex).select("key.row_id", "noise").distinct().collect()
+    got = S.noises(S.page_noise(S.paged(features)), lex).select("key.row_id", "noise").distinct().collect()
     assert {tuple(r) for r in got} == {(i, n) for i in (1, None) for n in ("header", "hyphen", "page_no", "misread")}
     empty = S.line_features(S.reading_rows(df.limit(0)), lex, ["key", "tie", "unit", "page", "line_no"])
-    assert S.noises(S.page_noise(empty, lex), lex).collect() == []
+    assert S.noises(S.page_noise(S.paged(empty)), lex).collect() == []
 
 
 def test_lexicon_counts_every_row(spark):
