@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergamin.llm import encoding, lookalike, pack, repeat, scanned, tokenize
+from pergamin.llm import encoding, lookalike, pack, quality, repeat, scanned, tokenize
 from pergamin.session import spread, write_through
 from pergamin.sources.tables import load
 
@@ -25,6 +25,22 @@ def texts(spark: SparkSession, folder: str, *tables: str) -> DataFrame:
     return spread(whole, "rec")
 
 
+def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and form of every reading and of every classified line by itself."""
+    profiles = quality.train(load(spark, folder, "quality_samples"), load(spark, folder, "common_words"))
+    measured = quality.text_quality(texts(spark, folder, "readings", "classified_lines"), profiles, "rec")
+    return measured.select("rec.record", "rec.row_id", *(c for c in measured.columns if c != "rec"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    samples, common = load(spark, folder, "quality_samples"), load(spark, folder, "common_words")
+    readings = quality.text_quality(texts(spark, folder, "readings"), quality.train(samples, common), "rec")
+    lines = load(spark, folder, "classified_lines").select("line_id", "doc_id", "step", "page_no", "i", "text")
+    forms = quality.line_forms(lines, quality.train(samples, common, lines=True))
+    found = readings.select("rec.record", "rec.row_id", "form").unionByName(forms.select(F.lit("classified_lines").alias("record"), F.col("line_id").alias("row_id"), "form"))
+    return found.where(F.col("form").isin("list", "table", "junk")).distinct()
+
+
 def _scanned(spark: SparkSession, folder: str, text: bool) -> tuple[DataFrame, scanned.Lexicon]:
     """The lines of OCR steps by page, with their features, and the lexicon of all texts."""
     lines, readings = load(spark, folder, "page_lines"), load(spark, folder, "readings")
@@ -94,4 +110,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_canonical, p5_found, p5_restored, p6_ids, p7_containers, p7_fill, p8_found, p8_repeated_content)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p3_found, p3_paragraphs, p4_found, p4_canonical, p5_found, p5_restored, p6_ids, p7_containers, p7_fill, p8_found, p8_repeated_content)}
