@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergamin.llm import encoding, lookalike, pack, quality, repeat, scanned, tokenize
+from pergamin.llm import encoding, lookalike, pack, personal, quality, repeat, scanned, tokenize
 from pergamin.session import spread, write_through
 from pergamin.sources.tables import load
 
@@ -41,6 +41,21 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(F.col("form").isin("list", "table", "junk")).distinct()
 
 
+def _personal(spark: SparkSession, folder: str) -> DataFrame:
+    source = texts(spark, folder, "readings", "screenings")
+    lexicon = scanned.lexicon(scanned.corpus_counts(source))
+    return personal.personal_information(source, personal.learn(source, load(spark, folder, "name_hints"), lexicon), "rec")
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every reading and screening with its personal information replaced by placeholders."""
+    return _personal(spark, folder).select("rec.record", "rec.row_id", "masked", F.size("found").alias("occurrences"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _personal(spark, folder).select("rec.record", "rec.row_id", F.inline("found")).distinct()
+
+
 def _scanned(spark: SparkSession, folder: str, text: bool) -> tuple[DataFrame, scanned.Lexicon]:
     """The lines of OCR steps by page, with their features, and the lexicon of all texts."""
     lines, readings = load(spark, folder, "page_lines"), load(spark, folder, "readings")
@@ -110,4 +125,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p3_found, p3_paragraphs, p4_found, p4_canonical, p5_found, p5_restored, p6_ids, p7_containers, p7_fill, p8_found, p8_repeated_content)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_masked, p3_found, p3_paragraphs, p4_found, p4_canonical, p5_found, p5_restored, p6_ids, p7_containers, p7_fill, p8_found, p8_repeated_content)}
