@@ -1,15 +1,211 @@
-"""The queries of the engine's own operators and the SQL each is held against."""
+"""The queries of the engine's own operators, each over its whole tables, and the SQL each is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pergamin.functions import catalogue as C
+from pergamin.functions import checks, formats, prose
+from pergamin.functions import text as X
+from pergamin.operators import gates, lines
+from pergamin.plans import cascade
+from pergamin.plans.oracles import ORACLES
+from pergamin.sources.tables import load
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def text_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return X.with_metrics(load(spark, folder, "documents").select("doc_id", "text")).select("doc_id", *X.METRICS)
+
+
+def text_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return X.with_score(X.with_metrics(load(spark, folder, "documents").select("doc_id", "text"))).select("doc_id", "score", "label")
+
+
+def native_text(spark: SparkSession, folder: str) -> DataFrame:
+    return load(spark, folder, "doc_pages").select("doc_id", "page_no", F.md5(X.normalize(F.col("text"))).alias("text_digest"), F.length(X.normalize(F.col("text"))).alias("n_chars"))
+
+
+def stamp_words(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("text")
+    return load(spark, folder, "documents").select("doc_id", F.length(X.strip_stamp(t)).alias("bare_chars"), X.useful_words(t).alias("useful_words"), F.size(X.vocabulary(t)).alias("different_words"))
+
+
+def identifiers(spark: SparkSession, folder: str) -> DataFrame:
+    found = load(spark, folder, "documents").select("doc_id", X.anchors(F.col("text")).alias("_a"))
+    return found.select("doc_id", F.size("_a").alias("n_anchors"), F.array_join("_a", " ").alias("anchors"))
+
+
+def identifiers_lost(spark: SparkSession, folder: str) -> DataFrame:
+    """For the two OCR steps of a document: identifiers of the first that the second does not contain."""
+    rows = cascade.latest(load(spark, folder, "readings").where("step in ('paddle', 'vision')").where(F.col("text").isNotNull()))
+    found = rows.select("doc_id", "step", X.anchors(F.col("text")).alias("a"))
+    pair = found.where("step = 'paddle'").select("doc_id", F.col("a").alias("p")).join(found.where("step = 'vision'").select("doc_id", F.col("a").alias("v")), "doc_id")
+    return pair.select("doc_id", F.array_join(X.lost_anchors(F.col("p"), F.col("v")), " ").alias("lost"))
+
+
+def unread_marks(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("text")
+    rows = load(spark, folder, "readings").select("reading_id", "loaded_at", "text").where(t.isNotNull())
+    return rows.select("reading_id", "loaded_at", F.length(X.real_content(t)).alias("real_chars"), F.round(X.marker_fraction(t), 4).alias("marker_fraction"))
+
+
+def structure_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return cascade.page_statistics(load(spark, folder, "doc_pages"))
+
+
+def pages_without_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = load(spark, folder, "doc_pages").select("doc_id", "page_no", (F.length(X.strip(F.coalesce("text", F.lit("")))) < C.Thresholds().min_text_page_chars).alias("bare"))
+    once = pages.groupBy("doc_id", "page_no").agg(F.bool_and("bare").alias("bare"))
+    found = once.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if("bare").alias("without_text"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("bare"), F.col("page_no")))), ",").alias("page_list"))
+    return found.withColumn("mixed", (F.col("without_text") > 0) & (F.col("without_text") < F.col("pages")))
+
+
+def image_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return cascade.uncovered_images(load(spark, folder, "doc_pages")).groupBy("doc_id", "page_no").agg(F.bool_or("uncovered").alias("uncovered"))
+
+
+def attachment_screening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = gates.screening(load(spark, folder, "screenings").select("screening_id", "text", "label"))
+    return rows.select("screening_id", "marks_found", F.round("mark_density", 3).alias("mark_density"), "drop")
+
+
+def lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.lexicon(load(spark, folder, "documents"))
+
+
+def _classified(spark: SparkSession, folder: str) -> DataFrame:
+    source = load(spark, folder, "page_lines").dropDuplicates(["line_id"])
+    covered = lines.with_coverage(source, lines.lexicon(load(spark, folder, "documents")))
+    return lines.mark_signatures(lines.classify(covered))
+
+
+def line_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    source = load(spark, folder, "page_lines").select("line_id", F.coalesce("text", F.lit("")).alias("text"))
+    return lines.with_coverage(source, lines.lexicon(load(spark, folder, "documents"))).select("line_id", F.round("coverage", 4).alias("coverage"))
+
+
+def line_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return _classified(spark, folder).select("line_id", "kind", "junk", F.length("clean_text").alias("n_chars"))
+
+
+def page_containment(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.contain(_classified(spark, folder)).withColumn("text_digest", F.md5("text")).drop("text")
+
+
+def document_layers(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.layer_report(lines.contain(_classified(spark, folder)))
+
+
+def reread_targets(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.reread_targets(_classified(spark, folder)).select("line_id", "kind", "rank")
+
+
+def page_routes(spark: SparkSession, folder: str) -> DataFrame:
+    source = load(spark, folder, "page_lines").dropDuplicates(["line_id"])
+    return lines.route(lines.with_coverage(source, lines.lexicon(load(spark, folder, "documents"))))
+
+
+def page_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "page_lines").dropDuplicates(["line_id"]).where(X.strip(F.coalesce("text", F.lit(""))) != "")
+    pages = rows.groupBy("doc_id", "step", "page_no").agg(F.count("*").alias("n_lines"), F.coalesce(F.round(100 * F.avg("score"), 1), F.lit(0.0)).alias("confidence"))
+    return pages
+
+
+def page_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Native pages in order, each replaced by the lines OCR read where the page had next to no text."""
+    pages = load(spark, folder, "doc_pages").groupBy("doc_id", "page_no").agg(F.max("text").alias("native"))
+    read = load(spark, folder, "page_lines").where("step = 'paddle'").dropDuplicates(["line_id"]).where(X.strip(F.coalesce("text", F.lit(""))) != "")
+    ocr = read.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "text"))), lambda x: x["text"]), "\n").alias("ocr"))
+    bare = F.length(X.strip(F.coalesce("native", F.lit("")))) < C.Thresholds().min_text_page_chars
+    merged = pages.join(ocr, ["doc_id", "page_no"], "left").withColumn("_t", F.when(bare & F.col("ocr").isNotNull(), F.col("ocr")).when(X.strip(F.coalesce("native", F.lit(""))) != "", F.col("native")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("page_no", "_t")))), lambda x: x["_t"]), "\n\n")
+    return merged.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(bare & F.col("ocr").isNotNull()).alias("merged_pages"), F.md5(joined).alias("text_digest"))
+
+
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    return cascade.measured(load(spark, folder, "documents"), load(spark, folder, "doc_pages"), load(spark, folder, "readings"))
+
+
+def reading_gates(spark: SparkSession, folder: str) -> DataFrame:
+    return _measured(spark, folder).select("doc_id", "step", "useful_words", "score", "structure_score", "accepted", "reason")
+
+
+def reading_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Shared vocabulary of every two readings of a document."""
+    rows = cascade.latest(load(spark, folder, "readings").where(F.col("text").isNotNull()))
+    words = rows.select("doc_id", "step", "ordinal", X.vocabulary(F.col("text")).alias("v"))
+    left, right = words.select("doc_id", F.col("step").alias("first"), F.col("ordinal").alias("_o"), F.col("v").alias("_v")), words.select("doc_id", F.col("step").alias("second"), "ordinal", "v")
+    pairs = left.join(right, "doc_id").where((F.col("_o") < F.col("ordinal")) | (F.col("_o") == F.col("ordinal")) & (F.col("first") < F.col("second")))
+    return pairs.select("doc_id", "first", "second", F.round(gates.jaccard(F.array("_v", "v")), 4).alias("similarity"))
+
+
+def best_readings(spark: SparkSession, folder: str) -> DataFrame:
+    rows = X.with_score(X.with_metrics(cascade.latest(load(spark, folder, "readings").where(F.col("text").isNotNull()))))
+    return cascade.contest(rows)
+
+
+def longest_texts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cascade.latest(load(spark, folder, "readings").where(F.col("text").isNotNull()))
+    return rows.groupBy("doc_id").agg(F.max_by("step", F.struct(F.length("text"), -F.col("ordinal"))).alias("step"), F.max(F.length("text")).alias("n_chars"))
+
+
+def step_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cascade.latest(load(spark, folder, "readings").where(F.col("text").isNotNull()))
+    counted = rows.select("step", F.size(X.latin_words(F.col("text"))).alias("w"), F.size(X.anchors(F.col("text"))).alias("a"), "confidence")
+    return counted.groupBy("step").agg(F.count("*").alias("readings"), F.median("w").alias("median_words"), F.median("a").alias("median_anchors"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
+
+
+def replacements(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the text of the expensive step may replace the longest cheaper one."""
+    rows = cascade.latest(load(spark, folder, "readings").where(F.col("text").isNotNull()))
+    cheap = rows.where("kind <> 'expensive'").groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("ordinal"))).alias("previous"))
+    new = rows.where("kind = 'expensive'").select("doc_id", F.col("text").alias("new"), F.coalesce("pages_sent", F.lit(0)).alias("sent"), F.coalesce("pages_answered", F.lit(0)).alias("answered"), F.coalesce("failed_batches", F.lit(0)).alias("failed_batches"), F.lit(True).alias("trustworthy"))
+    documents = load(spark, folder, "documents").select("doc_id", F.coalesce("pages", F.lit(1)).alias("doc_pages")).dropDuplicates(["doc_id"])
+    return gates.replacement(cheap.join(new, "doc_id").join(documents, "doc_id")).select("doc_id", "rejection", F.size("lost").alias("n_lost"))
+
+
+def final_text(spark: SparkSession, folder: str) -> DataFrame:
+    final = prose.normalize(F.col("text"))
+    return load(spark, folder, "documents").select("doc_id", "text").withColumn("final", final).select("doc_id", F.length("final").alias("n_chars"), F.md5("final").alias("digest"))
+
+
+def amounts_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return load(spark, folder, "documents").select("doc_id", F.md5(prose.fix_thousands(F.col("text"))).alias("digest"))
+
+
+def responses(spark: SparkSession, folder: str) -> DataFrame:
+    return load(spark, folder, "readings").where("kind = 'expensive'").select("reading_id", "loaded_at", F.md5(prose.clean_response(F.col("text"))).alias("digest"))
+
+
+def file_formats(spark: SparkSession, folder: str) -> DataFrame:
+    raw = F.encode(F.col("text"), "utf-8")
+    return load(spark, folder, "unwrapped").select("unwrap_id", "file_format", formats.detect(raw).alias("seen_format"))
+
+
+def private_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers in the form of a tax id or a case number, and how many of them have right check digits."""
+    return checks.counts(load(spark, folder, "documents").select("doc_id", "text"))
+
+
+def cascade_results(spark: SparkSession, folder: str) -> DataFrame:
+    settled = cascade.results(_measured(spark, folder))
+    return settled.select("doc_id", "step", F.round("score", 4).alias("score"), "closed_by", "similarity", F.length("text").alias("n_chars"), "provenance")
+
+
+def queries() -> dict[str, Query]:
+    found = (
+        text_metrics, text_scores, native_text, stamp_words, identifiers, identifiers_lost, unread_marks, structure_scores, pages_without_text, image_coverage,
+        attachment_screening, lexicon, line_coverage, line_kinds, page_containment, document_layers, reread_targets, page_routes, page_confidence, page_merge,
+        reading_gates, reading_agreement, best_readings, longest_texts, step_comparison, replacements, final_text, amounts_repaired, responses, file_formats,
+        private_numbers, cascade_results,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
