@@ -32,7 +32,9 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 #: Characters that map to themselves and have one form only; a text of these alone is its own canonical form.
 PLAIN = r"[\x20-\x7e\t\nÀ-ÖØ-öø-ÿªº§°–—“”‘’•€]*"
 # Characters without width that a collation may not ignore.
-NO_WIDTH = "[\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{feff}\\x{034f}\\x{061c}\\x{180e}\\x{00ad}\\x{fe00}-\\x{fe0f}]"
+NO_WIDTH = "".join(map(chr, (*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, 0x034F, 0x061C, 0x180E, 0xAD, *range(0xFE00, 0xFE10))))
+#: Letters and digits at the start of a text that make its first block.
+START = 24
 
 
 @lru_cache(maxsize=1)
@@ -58,37 +60,60 @@ def mapping() -> tuple[str, str]:
     return "".join(table), "".join(table.values())
 
 
-def looks_like(text: Column) -> Column:
-    """The text with every character replaced by what it looks like; plain texts are not touched.
+def is_odd(text: Column) -> Column:
+    """Whether a text holds a character that may have another form, or blanks at the end of a line, which do not show."""
+    return ~text.rlike("\\A" + PLAIN + "\\z") | ends_blank(text)
+
+
+def mapped(text: Column) -> Column:
+    """The text with every character replaced by what it looks like, those without width left out.
 
     A soft hyphen shows at the end of a line and nowhere else; blanks at the end of a line do not show.
     """
-    seen = F.translate(F.regexp_replace(text, "\\x{00ad}(?=[ \\t]*(\\n|\\z))", "-"), *mapping())
+    hyphens = F.when(F.contains(text, F.lit("\xad")), F.regexp_replace(text, "\\x{00ad}(?=[ \\t]*(\\n|\\z))", "-")).otherwise(text)
+    source, target = mapping()
+    seen = F.translate(hyphens, source + NO_WIDTH, target)  # characters without a counterpart are left out
     for ligature, letters in LIGATURES.items():
         seen = F.replace(seen, F.lit(ligature), F.lit(letters))
-    seen = F.regexp_replace(seen, NO_WIDTH, "")
-    seen = F.when(is_odd(text), seen).otherwise(text)
     return F.regexp_replace(seen, "[ \\t\\r]+(?=\\n|\\z)", "")
 
 
-def is_odd(text: Column) -> Column:
-    """Whether a text holds a character that may have another form, or blanks that do not show."""
-    return ~text.rlike("\\A" + PLAIN + "\\z") | text.rlike("[ \\t](\n|\\z)")
+def ends_blank(text: Column) -> Column:
+    return text.endswith(" ") | text.endswith("\t") | text.endswith("\r") | text.contains(" \n") | text.contains("\t\n") | text.contains("\r\n")
+
 
+def with_look(rows: DataFrame, text: str = "_text") -> DataFrame:
+    """Adds ``_odd`` and ``_seen``: an odd text as it looks, any other as it is. As columns of their own they are evaluated once."""
+    return rows.withColumn("_odd", is_odd(F.col(text))).withColumn("_seen", F.when(F.col("_odd"), mapped(F.col(text))).otherwise(F.col(text)))
 
-def skeleton(text: Column) -> Column:
-    """The plain letters and digits of a text as it looks: equal for texts that look the same. Accented letters are left out,
-    however they are composed, so only odd texts need to be mapped."""
-    bare = F.regexp_replace(looks_like(text), "[A-Za-z]\\p{M}+", "")
-    return F.regexp_replace(F.when(is_odd(text), bare).otherwise(text), "[^A-Za-z0-9]+", "")
+
+def _bare(seen: Column, odd: Column) -> Column:
+    """The text without the letters that carry a combining mark: composed, they are none of the plain letters either."""
+    return F.when(odd & seen.rlike("\\p{M}"), F.regexp_replace(seen, "[A-Za-z]\\p{M}+", "")).otherwise(seen)
 
 
 def _blocked(df: DataFrame, key: str, text: str, place: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with the block of their place and skeleton, and the blocks that hold an odd text: plain texts that look the same
-    are the same, so no other block has anything to compare."""
-    rows = df.select(*place, F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
-    blocked = rows.withColumn("_block", F.xxhash64(*place, skeleton(F.col("_text"))))
-    return blocked.withColumn("_variant", F.md5("_text")), blocked.where(is_odd(F.col("_text"))).select("_block").distinct()
+    """Rows with the block of their place and first plain letters and digits, and the blocks that hold an odd text: plain texts
+    that look the same are the same, so no other block has anything to compare. Accented letters do not count, however they
+    are composed."""
+    rows = with_look(df.select(*place, F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")))
+    start = F.regexp_extract(_bare(F.col("_seen"), F.col("_odd")), "\\A(?:[^A-Za-z0-9]*+[A-Za-z0-9]){0,%d}" % START, 0)
+    rows = rows.withColumn("_block", F.xxhash64(*place, F.regexp_replace(start, "[^A-Za-z0-9]+", "")))
+    blocked = rows.select(*place, "_id", "_text", "_block", F.md5("_text").alias("_variant"))
+    return blocked, rows.where("_odd").select("_block").distinct()
+
+
+def _narrowed(rows: DataFrame, place: list[str]) -> DataFrame:
+    """Candidates whose block, now of all their plain letters and digits, still holds more than one text."""
+    seen = with_look(_mixed(rows))
+    whole = F.xxhash64(*place, F.regexp_replace(_bare(F.col("_seen"), F.col("_odd")), "[^A-Za-z0-9]+", ""))
+    return _mixed(write_through(seen.withColumn("_block", whole).drop("_seen", "_odd"), "look"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Those rows whose block holds more than one text."""
+    mixed = rows.groupBy("_block").agg(F.min("_variant").alias("_low"), F.max("_variant").alias("_high")).where("_low <> _high")
+    return rows.join(mixed.select("_block"), "_block", "left_semi")
 
 
 def _classes(variants: DataFrame, place: list[str]) -> DataFrame:
@@ -96,7 +121,7 @@ def _classes(variants: DataFrame, place: list[str]) -> DataFrame:
 
     Grouped by the collation, and by the digits, which it does not tell apart between scripts.
     """
-    seen = variants.withColumn("_seen", looks_like(F.col("_text")))
+    seen = with_look(variants)
     seen = seen.withColumn("_digits", F.regexp_replace("_seen", "[^\\p{Nd}]+", "")).withColumn("_look", F.collate("_seen", "UNICODE"))
     odd = F.length(F.regexp_replace("_text", PLAIN.removesuffix("*"), ""))
     group = [*place, "_block", "_digits", "_look"]
@@ -114,26 +139,26 @@ def canonical_forms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     rows, mixed = _blocked(df, key, text, [])
     variants = rows.where(F.col("_text").isNotNull()).join(mixed, "_block", "left_semi").groupBy("_block", "_variant").agg(F.min("_text").alias("_text"))
-    forms = _classes(write_through(variants, "look"), [])
-    joined = rows.join(forms, ["_block", "_variant"], "left").withColumn("canonical", F.coalesce("_canonical", "_text"))
+    forms = _classes(_narrowed(write_through(variants, "look"), []), []).select("_variant", "_canonical")
+    joined = rows.join(forms, "_variant", "left").withColumn("canonical", F.coalesce("_canonical", "_text"))
     return joined.select(F.col("_id").alias(key), "canonical", F.md5("canonical").alias("look"))
 
 
-def same_look_pairs(df: DataFrame, place: list[str], row_id: str, text: str = "text") -> DataFrame:
-    """Rows (low_id, high_id): rows of the same ``place`` that look the same and whose stored texts differ.
+def same_look_pairs(df: DataFrame, place: list[str], row_id: str, text: str = "text", keep: str | None = None) -> DataFrame:
+    """Rows (low_id, high_id), with the column ``keep`` of the place before them if named: rows of the same ``place`` that look the same and whose stored texts differ.
 
     Rows given again under the same id count once for each of their texts. Null and blank texts, null ids and null places have
     no pair. Pairs are formed between the few different texts of a class and then between their rows, never between rows of
     the same text, so the work follows the result and not the square of a group of copies.
     """
     rows, mixed = _blocked(df.where(F.col(text).rlike("[^\\s]")), row_id, text, place)
-    few = write_through(rows.dropna().join(mixed, "_block", "left_semi"), "look")
+    few = _narrowed(write_through(rows.dropna().join(mixed, "_block", "left_semi"), "look"), place)
     variants = few.groupBy(*place, "_block", "_variant").agg(F.min("_text").alias("_text"))
-    classes = _classes(variants, place).where(F.trim(looks_like(F.col("_canonical"))) != "").select(*place, "_block", "_variant", F.md5("_canonical").alias("_look"))
+    classes = _classes(variants, place).where(F.trim(mapped(F.col("_canonical"))) != "").select(*place, "_block", "_variant", F.md5("_canonical").alias("_look"))
     ids = few.select(*place, "_block", "_variant", "_id").distinct().join(classes, [*place, "_block", "_variant"])
     ids = ids.select(F.xxhash64("_look", *place).alias("_class"), "_look", *place, "_variant", "_id")
     kinds = ids.select("_class", "_look", *place, "_variant").distinct()
     pairs = kinds.join(kinds.withColumnRenamed("_variant", "_other"), ["_class", "_look", *place]).where("_variant < _other")
     left = ids.join(pairs, ["_class", "_look", *place, "_variant"]).select("_class", "_look", *place, F.col("_other").alias("_variant"), F.col("_id").alias("_left"))
     both = left.join(ids, ["_class", "_look", *place, "_variant"]).where("_left <> _id")
-    return both.select(F.least("_left", "_id").alias("low_id"), F.greatest("_left", "_id").alias("high_id")).distinct()
+    return both.select(*[keep] * bool(keep), F.least("_left", "_id").alias("low_id"), F.greatest("_left", "_id").alias("high_id")).distinct()

@@ -82,9 +82,10 @@ def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    lines = lookalike.same_look_pairs(spread(load(spark, folder, "page_lines").select("line_id", "doc_id", "page_no", "text"), "doc_id"), ["doc_id", "page_no"], "line_id")
-    readings = lookalike.same_look_pairs(spread(load(spark, folder, "readings").select("reading_id", "doc_id", "text"), "doc_id"), ["doc_id"], "reading_id")
-    return lines.select(F.lit("page_lines").alias("record"), "*").unionByName(readings.select(F.lit("readings").alias("record"), "*"))
+    place = ["record", "doc_id", "page_no"]
+    lines = load(spark, folder, "page_lines").select(F.lit("page_lines").alias("record"), "doc_id", "page_no", F.col("line_id").alias("row_id"), "text")
+    readings = load(spark, folder, "readings").select(F.lit("readings").alias("record"), "doc_id", F.lit(-1).alias("page_no"), F.col("reading_id").alias("row_id"), "text")
+    return lookalike.same_look_pairs(spread(lines.unionByName(readings), "doc_id"), place, "row_id", keep="record")
 
 
 def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
