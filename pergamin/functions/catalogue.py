@@ -14,6 +14,7 @@ SPACE = f"[{SPACE_SET}]"
 SOLID = f"[^{SPACE_SET}]"
 LINE_BREAK = r"\r\n|[\n\x{b}\x{c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 WORD = r"[\p{L}\p{N}_]+"
+EDGE = r"(?:\A|\z|[^\p{L}\p{N}_])"  # the edge of a word, for tests; it takes a character
 LATIN_WORD = "[A-Za-zÀ-ÿ]{2,}"
 
 # Characters a document of the corpus prints; everything else is odd.
@@ -65,12 +66,12 @@ CAPS_TITLE = rf"\A[A-ZÀ-Þ0-9ºª.{SPACE_SET}/\-]+\z"
 FOREIGN_SCRIPT = r"[\x{3000}-\x{303f}\x{3040}-\x{30ff}\x{3100}-\x{312f}\x{3130}-\x{318f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]"
 REFERENCE_LINE = rf"\A[{SPACE_SET}0-9.\-/:ºªnN°ºfFlsLS$R,]+\z"
 DATE_LINE = rf"(?i)[0-9]{{1,2}}[/.\-{SPACE_SET}]+(?:de{SPACE}+)?[\p{{L}}\p{{N}}_]+[/.\-{SPACE_SET}]+(?:de{SPACE}+)?[0-9]{{2,4}}"
-ANCHOR_LINE = rf"(?i)@|https?://|www\.|e-?mail|endere[çc]o|\bCEP\b|\bfone\b|\btel\b|\brua\b|\bav\.?\b|\bpra[çc]a\b|[0-9]{{2,3}}\.[0-9]{{3}}-[0-9]{{3}}|\([0-9]{{2}}\){SPACE}?[0-9]"
+ANCHOR_LINE = rf"(?i)@|https?://|www\.|e-?mail|endere[çc]o|{EDGE}(?:CEP|fone|tel|rua|av|pra[çc]a){EDGE}|[0-9]{{2,3}}\.[0-9]{{3}}-[0-9]{{3}}|\([0-9]{{2}}\){SPACE}?[0-9]"
 JOB_TITLE = rf"(?i)ju[íi1l]z|escriv|tabeli|procurad|promotor|of[íi1]cial|advogad|chefe{SPACE}+de{SPACE}+cart|diretor|delegad|anal[íi]sta|assessor|secret[áa]ri|defensor|perito|de{SPACE}+direito|de{SPACE}+justi[çc]a"
 CAPS_NAME = rf"\A(?:(?:[A-ZÀ-Þ][a-zà-þ']+|[A-ZÀ-Þ]{{2,}}|d[aeo]s?|e)\.?{SPACE}+){{1,3}}(?:[A-ZÀ-Þ][a-zà-þ']+|[A-ZÀ-Þ]{{2,}}|d[aeo]s?|e)\.?\z"
 STAMP_KEYWORDS = (
-    rf"(?i)selo{SPACE}+de{SPACE}+autentic|autenticidade|conf[ei]re{SPACE}+com|confer[êe]ncia|\bICP[- ]?Brasil|verifica[çc][ãa]o|protocol|reconhe[çc]o|\bDJE?\b|tabeli(?:on|ão)"
-    rf"|\bfé{SPACE}+p[úu]blic|junta{SPACE}+comercial|corregedor|minist[ée]rio{SPACE}+p[úu]blic|poder{SPACE}+judici|rep[úu]blica{SPACE}+federativa|tribunal|entregue|recebi(?:do)?{SPACE}+em|prenota[çc]"
+    rf"(?i)selo{SPACE}+de{SPACE}+autentic|autenticidade|conf[ei]re{SPACE}+com|confer[êe]ncia|{EDGE}ICP[- ]?Brasil|verifica[çc][ãa]o|protocol|reconhe[çc]o|{EDGE}DJE?{EDGE}|tabeli(?:on|ão)"
+    rf"|{EDGE}fé{SPACE}+p[úu]blic|junta{SPACE}+comercial|corregedor|minist[ée]rio{SPACE}+p[úu]blic|poder{SPACE}+judici|rep[úu]blica{SPACE}+federativa|tribunal|entregue|recebi(?:do)?{SPACE}+em|prenota[çc]"
 )
 
 # Marks of tables and seals.

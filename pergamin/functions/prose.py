@@ -1,4 +1,4 @@
-"""Running text out of broken lines, as one fold over the lines of a text, and the repair of amounts."""
+"""Running text out of broken lines, and the repair of amounts, as expressions over the lines of a text."""
 
 from __future__ import annotations
 
@@ -16,38 +16,51 @@ TITLE = rf"\A(?:[A-ZÀ-Þ0-9][A-ZÀ-Þ0-9{C.SPACE_SET}.ºª°/-]{{6,}}\z|[A-ZÀ-
 STAMP_FOOTER = "[digital conformity stamp]"
 
 
-def join_lines(previous: Column, following: Column) -> Column:
-    """The two lines as one, or null where the break stays. The first rule that applies decides."""
+def join(previous: Column, following: Column) -> Column:
+    """How a line goes on in the next one: keep (the break), glue, unhyphen or space. The first rule that applies decides.
+
+    A line that keeps its break behind it is never joined, so the raw line before decides as well as the joined one would.
+    """
     a, b = F.regexp_replace(previous, rf"{C.SPACE}+\z", ""), F.regexp_replace(following, rf"\A{C.SPACE}+", "")
-    hyphen = a.rlike(r"(?U)\w-\z") & b.rlike(r"\A\p{Ll}")
-    abbreviated = a.rlike(C.ABBREVIATION)
+    hyphen = a.rlike(r"[\p{L}\p{N}_]-\z") & b.rlike(r"\A\p{Ll}")
+    abbreviated = F.right(a, F.lit(12)).rlike(C.ABBREVIATION)
     return (
-        F.when((a == "") | (b == ""), F.lit(None).cast("string"))
-        .when(previous.rlike(STRUCTURE) | following.rlike(STRUCTURE), F.lit(None).cast("string"))
-        .when(a.rlike(r"[0-9][-/]\z") & b.rlike(r"\A[0-9]"), F.concat(a, b))
-        .when(hyphen & b.rlike(C.ENCLITIC), F.concat(a, b))
-        .when(hyphen, F.concat(F.regexp_replace(a, r"-\z", ""), b))
-        .when(a.rlike(SENTENCE_END) & ~abbreviated, F.lit(None).cast("string"))
-        .when(abbreviated & b.rlike(r"\A[0-9]"), F.concat_ws(" ", a, b))
-        .when(b.rlike(TITLE), F.lit(None).cast("string"))
-        .otherwise(F.concat_ws(" ", a, b))
+        F.when(previous.isNull() | following.isNull() | (a == "") | (b == ""), "keep")
+        .when(previous.rlike(STRUCTURE) | following.rlike(STRUCTURE), "keep")
+        .when(a.rlike(r"[0-9][-/]\z") & b.rlike(r"\A[0-9]"), "glue")
+        .when(hyphen & b.rlike(C.ENCLITIC), "glue")
+        .when(hyphen, "unhyphen")
+        .when(a.rlike(SENTENCE_END) & ~abbreviated, "keep")
+        .when(abbreviated & b.rlike(r"\A[0-9]"), "space")
+        .when(b.rlike(TITLE), "keep")
+        .otherwise("space")
     )
 
 
 def rebuild(text: Column) -> Column:
     """Lines joined to paragraphs; a line that is only a page number goes without leaving a break.
 
-    The state of the fold is the finished text and the open line, so a text of n lines is built once and not n times.
+    Every break is decided by the two lines at it, so the work is in proportion to the text, however long a paragraph gets.
     """
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, rf"{C.SPACE}+\z", "")), lambda x: ~x.rlike(C.PAGE_NUMBER_ONLY))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("line"))
+    kept = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, rf"{C.SPACE}+\z", "")), lambda x: ~x.rlike(C.PAGE_NUMBER_ONLY))
+
+    def build(lines: Column) -> Column:
+        nothing = F.lit(None).cast("string")
+        n = F.size(lines)
+        before = F.array_prepend(F.slice(lines, F.lit(1), F.greatest(n - 1, F.lit(0))), nothing)
+        behind = F.array_append(F.slice(lines, F.lit(2), F.greatest(n - 1, F.lit(0))), nothing)
+        around = F.zip_with(before, F.zip_with(lines, behind, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda w, z: F.struct(w.alias("w"), z["x"].alias("x"), z["y"].alias("y")))
+        decided = F.transform(around, lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), join(r["w"], r["x"]).alias("before"), join(r["x"], r["y"]).alias("after")))
+
+        def piece(r: Column) -> Column:
+            line = F.when(r["before"] == "keep", r["x"]).otherwise(F.regexp_replace(r["x"], rf"\A{C.SPACE}+", ""))
+            line = F.when(r["after"] == "unhyphen", F.regexp_replace(line, r"-\z", "")).otherwise(line)
+            gap = F.when(r["y"].isNull(), "").when(r["after"] == "keep", "\n").when(r["after"] == "space", " ").otherwise("")
+            return F.concat(line, gap)
 
-    def step(state: Column, line: Column) -> Column:
-        joined = join_lines(state["line"], line)
-        done = F.when(state["line"].isNull() | joined.isNotNull(), state["done"]).otherwise(F.array_append(state["done"], state["line"]))
-        return F.struct(done.alias("done"), F.coalesce(joined, line).alias("line"))
+        return F.array_join(F.transform(decided, piece), "")
 
-    return F.aggregate(lines, start, step, lambda s: F.array_join(F.when(s["line"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["line"])), "\n"))
+    return F.element_at(F.transform(F.array(kept), build), 1)  # the lines are computed once, as a lambda's variable
 
 
 def fix_thousands(text: Column) -> Column:

@@ -69,7 +69,7 @@ def metrics(source: str, keys: str) -> str:
     return f"(SELECT {keys}, text, {METRICS} FROM (SELECT {keys}, text, {PARTS} FROM {source}))"
 
 
-SCORE = """greatest(0.0, least(1.0, 1.0
+SCORE = """greatest(0.0, least(1.0, 1.0::DOUBLE
     + CASE WHEN odd_chars > 0.15 THEN -0.30 WHEN odd_chars > 0.05 THEN -0.15 ELSE 0 END
     + CASE WHEN short_lines > 0.60 THEN -0.20 WHEN short_lines > 0.40 THEN -0.10 ELSE 0 END
     + CASE WHEN single_chars > 0.20 THEN -0.20 WHEN single_chars > 0.10 THEN -0.10 ELSE 0 END
@@ -206,7 +206,7 @@ ORACLES = {
           FROM (SELECT *, CAST(x - lag(x) OVER (PARTITION BY doc_id, step, page_no ORDER BY x NULLS LAST, line_id) > 0.02 AS INT) AS gap, length(t) AS n, length(t) - length({removed('t', '[0-9]')}) AS digits
             FROM (SELECT *, {strip("coalesce(text, '')")} AS t, CASE WHEN page_w > 0 THEN list_min(list_transform(poly, lambda p: p.x)) / page_w END AS x FROM {COVERED}) WHERE t <> '')))
         GROUP BY doc_id, step, page_no))""",
-    "page_confidence": f"SELECT doc_id, step, page_no, count(*) AS n_lines, coalesce(round(100 * avg(score), 1), 0.0) AS confidence FROM {LINES} WHERE {strip("coalesce(text, '')")} <> '' GROUP BY doc_id, step, page_no",
+    "page_confidence": f"SELECT doc_id, step, page_no, count(*) AS n_lines, coalesce(round(round(100 * avg(score), 6), 1), 0.0) AS confidence FROM {LINES} WHERE {strip("coalesce(text, '')")} <> '' GROUP BY doc_id, step, page_no",
     "page_merge": f"""WITH p AS (SELECT doc_id, page_no, max(text) AS native FROM doc_pages GROUP BY doc_id, page_no), o AS (SELECT doc_id, page_no, string_agg(text, chr(10) ORDER BY line_no, line_id) AS ocr FROM {LINES} WHERE step = 'paddle' AND {strip("coalesce(text, '')")} <> '' GROUP BY doc_id, page_no),
         m AS (SELECT p.doc_id, p.page_no, length({strip("coalesce(native, '')")}) < {T.min_text_page_chars} AND ocr IS NOT NULL AS merged, CASE WHEN merged THEN ocr WHEN {strip("coalesce(native, '')")} <> '' THEN native END AS t FROM p LEFT JOIN o ON p.doc_id = o.doc_id AND p.page_no = o.page_no)
         SELECT doc_id, count(*) AS pages, count(*) FILTER (merged) AS merged_pages, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page_no) FILTER (t IS NOT NULL), '')) AS text_digest FROM m GROUP BY doc_id""",

@@ -112,7 +112,7 @@ def page_routes(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_confidence(spark: SparkSession, folder: str) -> DataFrame:
     rows = load(spark, folder, "page_lines").dropDuplicates(["line_id"]).where(X.strip(F.coalesce("text", F.lit(""))) != "")
-    pages = rows.groupBy("doc_id", "step", "page_no").agg(F.count("*").alias("n_lines"), F.coalesce(F.round(100 * F.avg("score"), 1), F.lit(0.0)).alias("confidence"))
+    pages = rows.groupBy("doc_id", "step", "page_no").agg(F.count("*").alias("n_lines"), F.coalesce(F.round(F.round(100 * F.avg("score"), 6), 1), F.lit(0.0)).alias("confidence"))
     return pages
 
 
