@@ -94,7 +94,6 @@ def anchors(text: str) -> str:
 
 LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, step ORDER BY loaded_at DESC, coalesce(md5(text), '') DESC, reading_id DESC) AS rn FROM readings {where}) WHERE rn = 1)"
 READ = LATEST.format(where="WHERE text IS NOT NULL")
-ONCE = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY 1) AS rn FROM page_lines) WHERE rn = 1)"
 LINES = f"(SELECT DISTINCT line_id, doc_id, step, page_no, line_no, text, score, poly, page_w, page_h FROM page_lines)"
 LEXICON = f"SELECT word, count(*) AS n FROM (SELECT unnest({found('lower(text)', C.LEXICON_TOKEN)}) AS word FROM documents) GROUP BY word HAVING count(*) >= 3"
 COVERED = f"""(SELECT l.*, coalesce(c.coverage, 1.0) AS coverage FROM {LINES} l LEFT JOIN (
@@ -157,6 +156,34 @@ def jaccard(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) >= {T.min_useful_words} AND len({b}) >= {T.min_useful_words} THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END"
 
 
+def real(text: str) -> str:
+    return strip(f"regexp_replace(regexp_replace({text}, {pattern('(?i)' + C.UNREAD)}, ' ', 'g'), {pattern(C.SPACE + '+')}, ' ', 'g')")
+
+
+MARKED = f"CASE WHEN length({strip('new')}) = 0 THEN 0.0 ELSE 1 - length({real('new')}) / length({strip('new')}) END"
+REPLACED = f"""SELECT doc_id, CASE WHEN previous = '' THEN NULL WHEN markers >= {T.max_marker_fraction} THEN 'loop of unread marks' WHEN truncated AND NOT degenerate AND NOT richer THEN 'pages were left out'
+    WHEN failed > 0 AND NOT degenerate THEN 'batches failed' WHEN NOT (degenerate OR truncated OR richer) AND len(lost) > 0 THEN 'identifiers lost: ' || array_to_string(lost[1:5], ', ')
+    WHEN length(new) <= length(previous) AND NOT degenerate THEN 'not longer than the text it would replace' END AS rejection, CAST(len(lost) AS INT) AS n_lost
+  FROM (SELECT *, sent > 0 AND doc_pages > sent AS truncated, useful < {T.min_useful_words} AS degenerate, after >= {T.much_richer} * greatest(before, 1.0) AS richer, list_filter(pa, lambda x: len(list_filter(na, lambda y: contains(y, x))) = 0) AS lost
+  FROM (SELECT c.doc_id, previous, new, coalesce(sent, 0) AS sent, coalesce(failed, 0) AS failed, coalesce(d.pages, 1) AS doc_pages, {MARKED} AS markers, len({found(bare('previous'), C.LATIN_WORD)}) AS useful,
+      length({real('previous')}) / greatest(coalesce(d.pages, 1), 1) AS before, length({real('new')}) / greatest(CASE WHEN answered > 0 THEN answered WHEN sent > 0 THEN sent ELSE coalesce(d.pages, 1) END, 1) AS after,
+      {anchors('previous')} AS pa, {anchors('new')} AS na
+    FROM (SELECT doc_id, text AS previous FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, ordinal) AS rank FROM {READ} WHERE kind <> 'expensive') WHERE rank = 1) c
+    JOIN (SELECT doc_id, text AS new, pages_sent AS sent, pages_answered AS answered, failed_batches AS failed FROM {READ} WHERE kind = 'expensive') n ON n.doc_id = c.doc_id JOIN documents d ON d.doc_id = c.doc_id))"""
+
+ALIKE = f"CASE WHEN len(v) >= 2 AND len(list_filter(v, lambda w: len(w) < {T.min_useful_words})) = 0 THEN round(len(list_reduce(v, lambda a, b: list_intersect(a, b))) / len(list_distinct(flatten(v))), 4) ELSE 0.0 END"
+SETTLED = f"""WITH r AS (SELECT doc_id, list(struct_pack(o := ordinal, step := step, text := text, score := score, accepted := accepted, reason := reason, n := useful_words, v := vocabulary, read := read_something, u := {USEFUL}) ORDER BY ordinal, step) AS r FROM {MEASURED} GROUP BY doc_id),
+  p AS (SELECT doc_id, i, list_transform(list_filter(r[1:i], lambda x: x.read), lambda x: x.v) AS v FROM r, unnest(range(1, len(r) + 1)) t(i)),
+  s AS (SELECT doc_id, list(a ORDER BY i) AS sims FROM (SELECT doc_id, i, {ALIKE} AS a FROM p) GROUP BY doc_id),
+  c AS (SELECT r.doc_id, r, sims, nullif(coalesce(list_position(list_transform(r, lambda x: x.accepted), true), 0), 0) AS acc, nullif(coalesce(list_position(list_transform(sims, lambda x: x >= {T.min_agreement}), true), 0), 0) AS agr,
+      least(acc, agr) AS close, list_filter(r, lambda x: x.read) AS rd FROM r JOIN s ON r.doc_id = s.doc_id),
+  k AS (SELECT *, CASE WHEN close = acc THEN 'acceptance' WHEN close IS NOT NULL THEN 'agreement' WHEN len(rd) >= 2 AND len(list_filter(rd, lambda x: x.n >= {T.min_useful_words})) = 0 THEN 'consensus' ELSE 'contest' END AS closed_by FROM c),
+  w AS (SELECT *, list_sort(list_transform(CASE closed_by WHEN 'acceptance' THEN r[close:close] WHEN 'agreement' THEN list_filter(r[1:close], lambda x: x.read) WHEN 'contest' THEN rd ELSE [] END,
+      lambda x: struct_pack(u := -x.u, o := x.o, step := x.step, text := x.text, score := x.score)))[1] AS best FROM k)
+  SELECT doc_id, coalesce(best.step, CASE WHEN closed_by = 'consensus' THEN 'empty_by_consensus' ELSE 'none' END) AS step, round(best.score, 4) AS score, closed_by, sims[coalesce(close, len(r))] AS similarity, CAST(length(coalesce(best.text, '')) AS INT) AS n_chars,
+    coalesce(best.step, CASE WHEN closed_by = 'consensus' THEN 'empty_by_consensus' ELSE 'none' END) || ': ' || array_to_string(list_transform(r[1:coalesce(close, len(r))], lambda x: x.step || '(' || CASE WHEN x.accepted THEN 'ok' ELSE x.reason END || ')'), ' -> ') AS provenance FROM w"""
+
+
 def tax_valid(x: str) -> str:
     d = removed(x, "[^0-9]")
     digit = lambda k: f"CAST(substr({d}, {k}, 1) AS INT)"
@@ -170,6 +197,8 @@ def case_valid(x: str) -> str:
 
 
 ORACLES = {
+    "replacements": REPLACED,
+    "cascade_results": SETTLED,
     "text_metrics": f"SELECT doc_id, odd_chars, short_lines, single_chars, glyph_index, control_chars, stopwords, latin_words, domain FROM {metrics('documents', 'doc_id')}",
     "text_scores": f"SELECT doc_id, round(raw, 4) AS score, CASE WHEN raw >= 0.75 THEN 'good' WHEN raw >= 0.5 THEN 'fair' WHEN raw IS NOT NULL THEN 'poor' END AS label FROM (SELECT doc_id, {TEXT_SCORE} AS raw FROM {metrics('documents', 'doc_id')})",
     "native_text": "SELECT doc_id, page_no, md5(t) AS text_digest, CAST(length(t) AS INT) AS n_chars FROM (SELECT doc_id, page_no, "
