@@ -99,8 +99,7 @@ def _blocked(df: DataFrame, key: str, text: str, place: list[str]) -> tuple[Data
     rows = with_look(df.select(*place, F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")))
     start = F.regexp_extract(_bare(F.col("_seen"), F.col("_odd")), "\\A(?:[^A-Za-z0-9]*+[A-Za-z0-9]){0,%d}" % START, 0)
     rows = rows.withColumn("_block", F.xxhash64(*place, F.regexp_replace(start, "[^A-Za-z0-9]+", "")))
-    blocked = rows.select(*place, "_id", "_text", "_block", F.md5("_text").alias("_variant"))
-    return blocked, rows.where("_odd").select("_block").distinct()
+    return rows.select(*place, "_id", "_text", "_block"), rows.where("_odd").select("_block").distinct()
 
 
 def _narrowed(rows: DataFrame, place: list[str]) -> DataFrame:
@@ -138,6 +137,7 @@ def canonical_forms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     different text once, so a class of a third of all rows costs one row of every task.
     """
     rows, mixed = _blocked(df, key, text, [])
+    rows = rows.withColumn("_variant", F.md5("_text"))
     variants = rows.where(F.col("_text").isNotNull()).join(mixed, "_block", "left_semi").groupBy("_block", "_variant").agg(F.min("_text").alias("_text"))
     forms = _classes(_narrowed(write_through(variants, "look"), []), []).select("_variant", "_canonical")
     joined = rows.join(forms, "_variant", "left").withColumn("canonical", F.coalesce("_canonical", "_text"))
@@ -151,8 +151,9 @@ def same_look_pairs(df: DataFrame, place: list[str], row_id: str, text: str = "t
     no pair. Pairs are formed between the few different texts of a class and then between their rows, never between rows of
     the same text, so the work follows the result and not the square of a group of copies.
     """
-    rows, mixed = _blocked(df.where(F.col(text).rlike("[^\\s]")), row_id, text, place)
-    few = _narrowed(write_through(rows.dropna().join(mixed, "_block", "left_semi"), "look"), place)
+    rows, mixed = _blocked(df.dropna(subset=[*place, row_id, text]), row_id, text, place)
+    few = rows.join(mixed, "_block", "left_semi").withColumn("_variant", F.md5("_text"))
+    few = _narrowed(write_through(few, "look"), place)
     variants = few.groupBy(*place, "_block", "_variant").agg(F.min("_text").alias("_text"))
     classes = _classes(variants, place).where(F.trim(mapped(F.col("_canonical"))) != "").select(*place, "_block", "_variant", F.md5("_canonical").alias("_look"))
     ids = few.select(*place, "_block", "_variant", "_id").distinct().join(classes, [*place, "_block", "_variant"])
