@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pergamin.functions import catalogue as C
 from pergamin.functions import checks, formats, prose
 from pergamin.functions import text as X
-from pergamin.operators import gates, lines
+from pergamin.operators import gates, lines, segment
 from pergamin.plans import cascade
 from pergamin.plans.oracles import ORACLES
 from pergamin.sources.tables import load
@@ -89,6 +89,12 @@ def line_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return lines.with_coverage(source, lines.lexicon(load(spark, folder, "documents"))).select("line_id", F.round("coverage", 4).alias("coverage"))
 
 
+def resegmented_texts(spark: SparkSession, folder: str) -> DataFrame:
+    documents = load(spark, folder, "documents").select("doc_id", "text")
+    parted = segment.resegment(documents, lines.lexicon(documents))
+    return parted.select("doc_id", F.col("resegmented").isNotNull().alias("changed"), F.length("resegmented").alias("n_chars"))
+
+
 def line_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return _classified(spark, folder).select("line_id", "kind", "junk", F.length("clean_text").alias("n_chars"))
 
@@ -200,7 +206,7 @@ def cascade_results(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         text_metrics, text_scores, native_text, stamp_words, identifiers, identifiers_lost, unread_marks, structure_scores, pages_without_text, image_coverage,
-        attachment_screening, lexicon, line_coverage, line_kinds, page_containment, document_layers, reread_targets, page_routes, page_confidence, page_merge,
+        attachment_screening, lexicon, line_coverage, resegmented_texts, line_kinds, page_containment, document_layers, reread_targets, page_routes, page_confidence, page_merge,
         reading_gates, reading_agreement, best_readings, longest_texts, step_comparison, replacements, final_text, amounts_repaired, responses, file_formats,
         private_numbers, cascade_results,
     )
