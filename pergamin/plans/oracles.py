@@ -208,8 +208,8 @@ ORACLES = {
     "identifiers": f"SELECT doc_id, CAST(len(a) AS INT) AS n_anchors, array_to_string(a, ' ') AS anchors FROM (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {anchors('text')} END AS a FROM documents)",
     "identifiers_lost": f"""WITH a AS (SELECT doc_id, step, {anchors('text')} AS a FROM {LATEST.format(where="WHERE text IS NOT NULL AND step IN ('paddle', 'vision')")})
         SELECT p.doc_id, array_to_string(list_filter(p.a, lambda x: len(list_filter(v.a, lambda y: contains(y, x))) = 0), ' ') AS lost FROM a p JOIN a v ON p.doc_id = v.doc_id AND p.step = 'paddle' AND v.step = 'vision'""",
-    "unread_marks": f"""SELECT reading_id, loaded_at, CAST(length(c) AS INT) AS real_chars, round(CASE WHEN length(s) = 0 THEN 0.0 ELSE 1 - length(c) / length(s) END, 4) AS marker_fraction
-        FROM (SELECT reading_id, loaded_at, {strip('text')} AS s, {strip(f"regexp_replace(regexp_replace(text, {pattern('(?i)' + C.UNREAD)}, ' ', 'g'), {pattern(C.SPACE + '+')}, ' ', 'g')")} AS c FROM readings WHERE text IS NOT NULL)""",
+    "unread_marks": f"""SELECT reading_id, CAST(length(c) AS INT) AS real_chars, round(CASE WHEN length(s) = 0 THEN 0.0 ELSE 1 - length(c) / length(s) END, 4) AS marker_fraction
+        FROM (SELECT reading_id, {strip('text')} AS s, {strip(f"regexp_replace(regexp_replace(text, {pattern('(?i)' + C.UNREAD)}, ' ', 'g'), {pattern(C.SPACE + '+')}, ' ', 'g')")} AS c FROM readings WHERE text IS NOT NULL)""",
     "structure_scores": f"SELECT * FROM {STRUCTURE}",
     "pages_without_text": f"""SELECT doc_id, count(*) AS pages, count(*) FILTER (bare) AS without_text, coalesce(string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no) FILTER (bare), '') AS page_list,
         count(*) FILTER (bare) > 0 AND count(*) FILTER (bare) < count(*) AS mixed FROM (SELECT doc_id, page_no, bool_and(length({strip("coalesce(text, '')")}) < {T.min_text_page_chars}) AS bare FROM doc_pages GROUP BY doc_id, page_no) GROUP BY doc_id""",

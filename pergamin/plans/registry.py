@@ -50,8 +50,8 @@ def identifiers_lost(spark: SparkSession, folder: str) -> DataFrame:
 
 def unread_marks(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("text")
-    rows = load(spark, folder, "readings").select("reading_id", "loaded_at", "text").where(t.isNotNull())
-    return rows.select("reading_id", "loaded_at", F.length(X.real_content(t)).alias("real_chars"), F.round(X.marker_fraction(t), 4).alias("marker_fraction"))
+    rows = load(spark, folder, "readings").select("reading_id", "text").where(t.isNotNull())
+    return rows.select("reading_id", F.length(X.real_content(t)).alias("real_chars"), F.round(X.marker_fraction(t), 4).alias("marker_fraction"))
 
 
 def structure_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,7 +185,7 @@ def amounts_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "readings").where("kind = 'expensive'").select("reading_id", "loaded_at", F.md5(prose.clean_response(F.col("text"))).alias("digest"))
+    return load(spark, folder, "readings").where("kind = 'expensive'").select("reading_id", F.md5(prose.clean_response(F.col("text"))).alias("digest"))
 
 
 def file_formats(spark: SparkSession, folder: str) -> DataFrame:
