@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -105,9 +106,11 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) ^ (b + np.int64(0x7F4A7C15))
 
 
-def hash_words(words: list[str]) -> np.ndarray:
-    from hashlib import blake2b
+def hash_of(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+
 
+def hash_words(words: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(blake2b(w.encode(), digest_size=8).digest() for w in words), np.int64)
 
 
@@ -263,24 +266,35 @@ def unaccented(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not "\u0300" <= c <= "\u036f")
 
 
-def features_of(text: str, lex: Lexicon, cache: dict) -> tuple:
+class Tokens(dict):
+    """Tokens looked at so far: their entries, and as values what a line sums up: words, known words and misread ones."""
+
+    KNOWN, WRONG = 1 << 24, 1 << 48
+
+    def __init__(self, lex: Lexicon):
+        self.lex, self.entries = lex, {}
+
+    def __missing__(self, token: str) -> int:
+        entry = self.entries[token] = Token(token, self.lex)
+        weight = self[token] = entry.alphabetic + self.KNOWN * entry.known + self.WRONG * (entry.correction is not None)
+        return weight
+
+    def clear(self) -> None:
+        super().clear()
+        self.entries.clear()
+
+
+def features_of(text: str, lex: Lexicon, cache: Tokens, edge: bool = True) -> tuple:
     """Features of one line; see FEATURES. ``tail``: word before a hyphen at the end; ``head``: first word if in small letters,
     else empty; ``mask``: hash of the skeleton of the line
-    without its page number, ``form``: the same with all digits masked; ``repaired``: the line with misread words restored."""
+    without its page number, ``form``: the same with all digits masked; ``repaired``: the line with misread words restored. A line that is at no ``edge`` of its page has no mask and is no number."""
     tokens = text.split()
     if not tokens:
         return False, False, None, "", False, None, None, False, None
-    entries = []
-    alphabetic = known = 0
-    wrong = False
-    for token in tokens:
-        entry = cache.get(token)
-        if entry is None:
-            entry = cache[token] = Token(token, lex)
-        entries.append(entry)
-        alphabetic += entry.alphabetic
-        known += entry.known
-        wrong = wrong or entry.correction is not None
+    total = sum(map(cache.__getitem__, tokens))
+    alphabetic, known, wrong = total % cache.KNOWN, total // cache.KNOWN % cache.KNOWN, total >= cache.WRONG
+    short = edge and len(text) <= 120
+    entries = [cache.entries[t] for t in tokens] if wrong or short else []
     readable = known * 2 >= alphabetic > 0
     if not readable and 0 < alphabetic <= 2:  # the rest of a divided word may stand alone
         readable = FRAGMENT.fullmatch(plain(text)) is not None
@@ -298,12 +312,12 @@ def features_of(text: str, lex: Lexicon, cache: dict) -> tuple:
     tail = None
     if readable and tokens[-1][-1] in HYPHENS:
         tail = TAIL.search(plain(text))
-    first = plain(tokens[0])
+    first = tokens[0] if tokens[0].isascii() else plain(tokens[0])
     head = HEAD.match(first)
     head_word = head.group(1).lower() if head and (head.group(1)[0].islower() or text.isupper()) else ""
     number = numbered = False
     mask = None
-    if len(text) <= 120:
+    if short:
         skeletons = [e.skeleton for e in entries]
         if entries[0].numeric or entries[-1].numeric or len(tokens) < 5 and any(e.numeric for e in entries):
             shown = plain(text)
@@ -313,9 +327,10 @@ def features_of(text: str, lex: Lexicon, cache: dict) -> tuple:
                 numbered = bool(NUMBERED.search(shown)) and shown.count("|") < 2 and shown.lstrip()[:1].isupper()
                 skeletons = [mask_of(t.lower()) for t in masked.split()]
         mask = "".join(skeletons)
-        if number or sum(map(str.isalpha, mask)) < 4:
+        form = DIGITS.sub("#", mask)
+        if number or len(form) - form.count("#") < 4:
             mask = None
-    hashes = (None, None) if mask is None else hash_words([mask, DIGITS.sub("#", mask)]).tolist()
+    hashes = (None, None) if mask is None else (hash_of(mask), hash_of(form) if form != mask else hash_of(mask))
     return readable, repaired is not None, tail.group(1).lower() if tail else None, head_word, number, *hashes, numbered, " ".join(repaired) if repaired else None
 
 
@@ -327,19 +342,22 @@ def match_case(token: str, word: str, correction: str) -> str:
 
 
 def line_features(lines: DataFrame, lex: Lexicon, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and FEATURES for every line; a null text has none of the noises."""
+    """The columns ``keep`` and FEATURES for every line; a null text has none of the noises. ``edge``, if there, says which lines
+    may be among the first or last of their page."""
     shared = lines.sparkSession.sparkContext.broadcast(lex)
-    rows = lines.select(*keep, F.col(text).cast("string").alias("_text"))
+    edge = F.col("edge") if "edge" in lines.columns else F.lit(True)
+    rows = lines.select(*keep, F.col(text).cast("string").alias("_text"), edge.alias("_edge"))
     schema = T.StructType([*rows.select(*keep).schema.fields, *T._parse_datatype_string(FEATURES).fields])
     kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")  # hashes wrap around
-        lex, cache = shared.value, {}
+        lex = shared.value
+        cache = Tokens(lex)
         for batch in batches:
             if len(cache) > 300_000:
                 cache.clear()
-            found = [features_of(t or "", lex, cache) for t in batch.column(len(keep)).to_pylist()]
+            found = [features_of(t or "", lex, cache, e) for t, e in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist())]
             columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *columns], names=schema.names)
 
@@ -413,15 +431,17 @@ def noises(rows: DataFrame, lex: Lexicon) -> DataFrame:
 def page_line_rows(lines: DataFrame) -> DataFrame:
     """Rows (key, tie, unit, page, line_no, text) of the table of page lines; a unit is a document as read by one step."""
     unit = F.xxhash64(F.lit("page_lines"), "doc_id", "step")
-    return lines.select(as_key("page_lines", "line_id").alias("key"), F.xxhash64("text").alias("tie"), unit.alias("unit"), F.col("page_no").alias("page"), "line_no", "text").where(F.trim("text") != "")
+    return lines.select(as_key("page_lines", "line_id").alias("key"), F.xxhash64("text").alias("tie"), unit.alias("unit"), F.col("page_no").alias("page"), "line_no", "text", F.lit(True).alias("edge")).where(F.trim("text") != "")
 
 
 def reading_rows(readings: DataFrame) -> DataFrame:
     """The same of the lines of readings; a unit is a reading, and its pages are parted by an empty line."""
     pages = readings.select(F.col("reading_id").cast("long").alias("row_id"), F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n\n")).alias("page", "_page"))
-    lines = pages.select("row_id", "tie", "page", F.posexplode(F.split("_page", "\n")).alias("line_no", "text")).where(F.trim("text") != "")
+    pages = pages.withColumn("_lines", F.filter(F.split("_page", "\n"), lambda x: F.trim(x) != ""))
+    lines = pages.select("row_id", "tie", "page", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("line_no", "text"))
+    lines = lines.withColumn("edge", (F.col("line_no") < EDGE) | (F.col("line_no") >= F.col("_n") - EDGE))
     key = F.struct(F.lit("readings").alias("record"), F.col("row_id"), F.col("page").alias("page"), F.col("line_no").alias("line_no"))
-    return lines.select(key.alias("key"), "tie", F.xxhash64(F.lit("readings"), "row_id", "tie").alias("unit"), "page", "line_no", "text")
+    return lines.select(key.alias("key"), "tie", F.xxhash64(F.lit("readings"), "row_id", "tie").alias("unit"), "page", "line_no", "text", "edge")
 
 
 def paragraphs(rows: DataFrame, lex: Lexicon) -> DataFrame:

@@ -27,18 +27,18 @@ def lex():
     ],
 )
 def test_misread_words(lex, line, repaired):
-    found = S.features_of(line, lex, {})
+    found = S.features_of(line, lex, S.Tokens(lex))
     assert (found[1], found[8]) == (repaired is not None, repaired)
 
 
 @pytest.mark.parametrize("line", ["1", "- 36 -", "[43]", "p. 5", "pág. 1/4", "Fl. n. 2", "0001", "II", "Página 2 de 2", "fls. 79", "Page 3 of 9", "— 7 —", "‑ 79 ‑"])
 def test_page_numbers(lex, line):
-    assert S.features_of(line, lex, {})[4]
+    assert S.features_of(line, lex, S.Tokens(lex))[4]
 
 
 @pytest.mark.parametrize("line", ["Volume 2", "n. 0516 fl", "1 parte autora", "R$ 100,00", "", " ", "--", "Anexo III", "12/05/2010"])
 def test_no_page_numbers(lex, line):
-    assert not S.features_of(line, lex, {})[4]
+    assert not S.features_of(line, lex, S.Tokens(lex))[4]
 
 
 PAGES = [
