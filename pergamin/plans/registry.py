@@ -13,11 +13,17 @@ from pergamin.functions import text as X
 from pergamin.operators import gates, lines, segment
 from pergamin.plans import cascade
 from pergamin.plans.oracles import ORACLES
-from pergamin.sources.tables import load
+from pergamin.session import spread
+from pergamin.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table, given a partition for every core where it has fewer: patterns are heavy per row, and one small file is one task."""
+    return spread(tables.load(spark, folder, name))
+
+
 def text_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return X.with_metrics(load(spark, folder, "documents").select("doc_id", "text")).select("doc_id", *X.METRICS)
 
