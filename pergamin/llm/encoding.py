@@ -47,6 +47,8 @@ STATES = ("clean", *(f"{a} as {b}" for a, b in PAIRS), f"{LOST[0]} as {LOST[1]}"
 # same within a word; a foreign letter, a letter of the wrong case.
 ENTER, ENTER_KNOWN, STAY, LEAVE = -7.5, -2.5, -1.5, -0.3
 ODD_WITHIN, ODD_ELSEWHERE, BLANK, SIGN, SIGN_WITHIN, FOREIGN, WRONG_CASE = -18.0, -7.5, -4.0, -4.5, -14.0, -7.0, -15.0
+# A question mark that is one: before a word, inside or behind one, behind another.
+MARK_BEFORE, MARK_WITHIN, MARK_BEHIND, MARK_AGAIN = -18.0, -12.0, -6.0, -1.0
 #: Longest word labelled as one piece; longer ones are labelled in pieces of this length.
 PIECE = 200
 
@@ -54,10 +56,14 @@ INDEX = {c: k + 1 for k, c in enumerate(ALPHABET)} | {c.upper(): k + 1 for k, c
 N = len(ALPHABET) + 1
 LETTERS = ALPHABET + ALPHABET.upper()
 # A word with a character that is neither ASCII nor a letter of the alphabet, with a capital behind a small accented or plain
-# letter, with a substitute between letters, or with an escape of UTF-7.
+# letter, with a substitute beside a letter, or with an escape of UTF-7.
 ODD = re.compile(
-    rf"[^\x00-\x7f{LETTERS}]|[a-z{ALPHABET[26:]}][{ALPHABET[26:].upper()}]|[{LETTERS}]\?[{LETTERS}]|\+[A-Za-z0-9/]{{3,}}-",
+    rf"[^\x00-\x7f{LETTERS}]|[a-z{ALPHABET[26:]}][{ALPHABET[26:].upper()}]|[{LETTERS}]\?|\?[{LETTERS}]|\+[A-Za-z0-9/]{{3,}}-",
 )
+# Words in which a question mark is none of the text's letters: addresses of pages, assignments.
+QUERY = re.compile(r"://|www\.|\?[^?]*=|\.(?:php|html?|aspx?|jsp)\?")
+# Symbols of the letters that a reader without them loses.
+LOSABLE = range(27, N)
 TOKEN = re.compile(r"[^ \t\r\n]+")
 UTF7 = re.compile(r"\+[A-Za-z0-9/]{3,}-")
 
@@ -174,7 +180,8 @@ class Labeller:
         # best[t]: state -> (score, previous t, previous state, restored, symbol before last, last symbol)
         best: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
         best[0][0] = (0.0, -1, -1, "", 0, 0)
-        lost = len(STATES) - 1
+        lost = len(STATES) - 1  # lost + k: a question mark in place of the letter with the symbol k
+        marks = "?" in word and not QUERY.search(word)
         for t in range(n):
             c = word[t]
             options = [(s, read, true) for s, read, true in table.get(c, ()) if word.startswith(read, t)]
@@ -184,8 +191,10 @@ class Labeller:
                 except UnicodeDecodeError:
                     pass
             after = word[t + 1] if t + 1 < n else " "
-            if c == "�" or c == "?" and t and word[t - 1].isalpha() and after.isalpha() and word[t - 1].islower() == after.islower():
+            if c == "�":
                 options.append((lost, c, c))
+            elif c == "?" and marks:  # one for each letter, or one for each of its two bytes
+                options += [(lost + k, read, read) for read in ("?", "??") if word.startswith(read, t) for k in LOSABLE]
             for state, (score, _, _, _, a, b) in best[t].items():
                 before = word[t - 1] if t else " "
                 k = INDEX.get(c, 0)
@@ -196,8 +205,9 @@ class Labeller:
                 elif c in "\xa0\u2007\u202f":
                     cost = self.model[a][b][0] + BLANK
                 elif c <= "\x7f":
-                    within = c == "?" and before.isalpha() and after.isalpha()
-                    cost = self.model[a][b][0] + (-8.0 if within else 0.0)
+                    cost = self.model[a][b][0]
+                    if c == "?" and marks:
+                        cost += MARK_AGAIN if before == "?" else (MARK_WITHIN if before.isalpha() else MARK_BEFORE) if word[t:].lstrip("?-")[:1].isalpha() else MARK_BEHIND if before.isalpha() else 0.0
                 else:
                     within = before.isalpha() and after.isalpha() and INDEX.get(before) and INDEX.get(after)
                     other = c.isalpha() and c > "ɏ"
@@ -205,18 +215,20 @@ class Labeller:
                 step = cost + (LEAVE if state else 0.0)
                 self._keep(best[t + 1], 0, (score + step, t, state, c, b, k))
                 for s, read, true in options:
-                    x, y, cost = a, b, 0.0
-                    for one in true:
-                        end = t + len(read)
+                    x, y, cost, end = a, b, 0.0, t + len(read)
+                    if s > lost:
+                        x, y, cost = b, s - lost, self.model[a][b][s - lost]
+                        cost += self.model[x][y][0] if end == n else 0.0
+                    for one in true if s <= lost else "":
                         p, y2 = (-6.0, 0) if s == lost else self.true_character(one, x, y, before, word[end] if end < n else " ")
                         x, y, cost = y, y2, cost + p
-                    move = STAY if s == state else ENTER_KNOWN if s in known else ENTER
+                    move = STAY if min(s, lost) == min(state, lost) else ENTER_KNOWN if min(s, lost) in known else ENTER
                     self._keep(best[t + len(read)], s, (score + cost + move, t, state, true, x, y))
         state = max(best[n], key=lambda s: best[n][s][0])
         t, out = n, []
         while t > 0:
             _, before, previous, restored, _, _ = best[t][state]
-            out.append((state, word[before:t], restored))
+            out.append((min(state, lost), word[before:t], restored))
             t, state = before, previous
         if any(not s and c > "\x7f" and c not in SIGNS and unicodedata.category(c)[0] in "SP" for s, c, _ in out):
             return tuple((0, c, c) for c in word)  # a heap of signs, not a word

@@ -1,5 +1,8 @@
+import os
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pergamin.llm import encoding as E
@@ -45,6 +48,26 @@ def test_clean_texts_stay(model, text):
     assert E.Labeller(model).repair(text) == (text, [], 0)
 
 
+ARCHIVE = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def corpus_model():
+    texts = pa.chunked_array([c.cast("string") for t in ("readings", "unwrapped") for c in pq.read_table(f"{ARCHIVE}/{t}.parquet", columns=["text"])["text"].chunks])
+    counts = E.trigram_counts(flat_utf8(texts.combine_chunks())[0])
+    return E.log_probabilities([(int(k), int(counts[k])) for k in np.flatnonzero(counts)])
+
+
+@pytest.mark.skipif(not os.path.isdir(ARCHIVE), reason="no test archive")
+def test_letters_lost_to_question_marks(corpus_model):
+    labeller = E.Labeller(corpus_model)
+    for text in ("a decis?o", "n?o", "o cr?dito", "im?vel", "DECIS?O", "medi??o", "a institui??o", "n??o", "o s?ndico", "?xitos e convoca??es", "mant?-lo", "O im?vel j? foi solicit? at? a per?cia"):
+        assert labeller.repair(text)[:2] == (text, ["any as substitute"]), text
+    assert labeller.repair("O im?vel j? foi")[2] == 2
+    for text in ("Por que o autor requereu o pagamento? A parte est\u00e1 presente? Sim??", "\u00bfQui\u00e9n firm\u00f3? Is this the agreement? the defendant?", "http://x.test/p?id=3 a.php?nome www.x.test/?acao", "Qual o valor?) (quem?) ??? ? ____?", "What?!"):
+        assert labeller.repair(text) == (text, [], 0), text
+
+
 def test_operator_on_dirty_rows(spark, model):
     long = "concilia��o " * 20000
     rows = spark.createDataFrame([(1, "o sÃ­ndico", True), (1, "o sÃ­ndico", True), (2, None, None), (3, "", None), (4, " \n", None), (None, "sim", None), (5, long, None), (6, "é" * 5000, None)], "row_id long, text string, garbled boolean")
