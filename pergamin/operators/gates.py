@@ -69,30 +69,38 @@ def veto(useful: Column, is_photo: Column, is_blank: Column, reliable: Column, w
     )
 
 
+def rejection(previous: Column, new: Column, doc_pages: Column, sent: Column, answered: Column, failed: Column, trustworthy: Column, lost: Column, t: C.Thresholds = DEFAULT) -> Column:
+    """Why a new text may not replace the previous one, or null. Of both: what ``replacement_measures`` gives; a null previous is none."""
+    before = previous["real"] / F.greatest(doc_pages, F.lit(1))
+    read = F.when(answered > 0, answered).when(sent > 0, sent).otherwise(doc_pages)
+    after = new["real"] / F.greatest(read, F.lit(1))
+    degenerate = previous["useful"] < t.min_useful_words
+    exempt = degenerate | ~trustworthy
+    richer = after >= t.much_richer * F.greatest(before, F.lit(1.0))
+    truncated = (sent > 0) & (doc_pages > sent)
+    return (
+        F.when(F.coalesce(previous["chars"], F.lit(0)) == 0, F.lit(None).cast("string"))
+        .when(new["markers"] >= t.max_marker_fraction, F.lit("loop of unread marks"))
+        .when(truncated & ~degenerate & ~richer, F.lit("pages were left out"))
+        .when((failed > 0) & ~degenerate, F.lit("batches failed"))
+        .when(~(exempt | truncated | richer) & (F.size(lost) > 0), F.concat(F.lit("identifiers lost: "), F.array_join(F.slice(lost, 1, 5), ", ")))
+        .when((new["chars"] <= previous["chars"]) & ~exempt, F.lit("not longer than the text it would replace"))
+    )
+
+
+def replacement_measures(text: Column) -> Column:
+    """What ``rejection`` looks at in a text."""
+    return F.struct(F.length(text).alias("chars"), F.length(X.real_content(text)).alias("real"), X.marker_fraction(text).alias("markers"), X.useful_words(text).alias("useful"))
+
+
 def replacement(df: DataFrame, t: C.Thresholds = DEFAULT) -> DataFrame:
     """Adds ``rejection`` (null: the new text may replace the old one) and ``lost`` to rows with previous, new, doc_pages, sent,
     answered, failed_batches and trustworthy."""
     c = F.col
-    rows = df.withColumn("_markers", X.marker_fraction(c("new"))).withColumn("_useful", X.useful_words(c("previous")))
-    rows = rows.withColumn("_old", F.length(X.real_content(c("previous")))).withColumn("_new", F.length(X.real_content(c("new"))))
+    rows = df.withColumn("_old", replacement_measures(c("previous"))).withColumn("_new", replacement_measures(c("new")))
     rows = rows.withColumn("lost", X.lost_anchors(X.anchors(c("previous")), X.anchors(c("new"))))
-    pages = F.greatest(c("doc_pages"), F.lit(1))
-    before = c("_old") / pages
-    read = F.when(c("answered") > 0, c("answered")).when(c("sent") > 0, c("sent")).otherwise(c("doc_pages"))
-    after = c("_new") / F.greatest(read, F.lit(1))
-    degenerate = c("_useful") < t.min_useful_words
-    exempt = degenerate | ~c("trustworthy")
-    richer = after >= t.much_richer * F.greatest(before, F.lit(1.0))
-    truncated = (c("sent") > 0) & (c("doc_pages") > c("sent"))
-    reason = (
-        F.when(F.coalesce(c("previous"), F.lit("")) == "", F.lit(None).cast("string"))
-        .when(c("_markers") >= t.max_marker_fraction, F.lit("loop of unread marks"))
-        .when(truncated & ~degenerate & ~richer, F.lit("pages were left out"))
-        .when((c("failed_batches") > 0) & ~degenerate, F.lit("batches failed"))
-        .when(~(exempt | truncated | richer) & (F.size("lost") > 0), F.concat(F.lit("identifiers lost: "), F.array_join(F.slice("lost", 1, 5), ", ")))
-        .when((F.length("new") <= F.length("previous")) & ~exempt, F.lit("not longer than the text it would replace"))
-    )
-    return rows.withColumn("rejection", reason).drop("_markers", "_useful", "_old", "_new")
+    reason = rejection(c("_old"), c("_new"), c("doc_pages"), c("sent"), c("answered"), c("failed_batches"), c("trustworthy"), c("lost"), t)
+    return rows.withColumn("rejection", reason).drop("_old", "_new")
 
 
 def usefulness(score: Column, text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pergamin.functions import catalogue as C
+from pergamin.functions import prose
 from pergamin.functions import text as X
 from pergamin.operators import gates
 
@@ -78,13 +79,60 @@ def measured(documents: DataFrame, pages: DataFrame, readings: DataFrame, t: C.T
     return rows.withColumn("read_something", F.coalesce("available", F.lit(True)) & (X.strip(c("text")) != ""))
 
 
+#: What the contest and the gates over all readings look at.
+ENTRY = ("ordinal", "step", "text", "score", "accepted", "reason", "useful_words", "vocabulary", "read_something")
+
+
 def results(rows: DataFrame, t: C.Thresholds = DEFAULT) -> DataFrame:
     """One row for each document: text, step, score, how it closed (``closed_by``), similarity and provenance.
 
     Refused is not discarded: a reading that no gate accepts still takes part in the contest. Ties go to the cheaper step.
     """
-    entry = F.struct("ordinal", "step", "text", "score", "accepted", "reason", "useful_words", "vocabulary", "read_something")
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*ENTRY))).alias("r"))
+    return _settled(docs.withColumn("r", F.transform("r", lambda x: x.withField("refused", F.lit(False)))), t)
+
+
+def guarded(rows: DataFrame, witnesses: DataFrame | None = None, t: C.Thresholds = DEFAULT) -> DataFrame:
+    """As ``results``, with the gates of expensive steps and the winner as running text.
+
+    An expensive reading is held against the longest text so far. If that is not to be replaced by it, the reading is no candidate:
+    it still counts as a vote on agreement and emptiness, but neither closes nor wins. ``witnesses`` (doc_id, is_photo, is_blank,
+    reliable, text) are local readings that may veto the step: what it read is left out then. A document without a witness has
+    that in its provenance; without the table there are no vetoes.
+    """
+    known = witnesses is not None
+    extra = F.struct(gates.replacement_measures(F.col("text")).alias("m"), X.anchors(F.col("text")).alias("anchors"), F.coalesce("doc_pages", F.lit(1)).alias("pages"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("pages_sent", "pages_answered", "failed_batches")))
+    entry = F.struct(*ENTRY, F.lit(False).alias("refused"), F.col("kind"), extra.alias("x"))
     docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("r"))
+    if known:
+        seen = F.struct("is_photo", "is_blank", F.when(F.col("text").isNotNull(), F.coalesce("reliable", F.lit(0))).alias("reliable"), X.useful_words(F.col("text")).alias("useful"), X.vocabulary(F.col("text")).alias("vocabulary"))
+        docs = docs.join(witnesses.groupBy("doc_id").agg(F.max_by(seen, F.struct(F.coalesce("reliable", F.lit(-1)), F.coalesce(F.md5("text"), F.lit("")))).alias("_w")), "doc_id", "left")
+
+    def judged(x: Column, p: Column) -> Column:
+        """The expensive reading x behind the longest text p, which is null if there is none."""
+        lost = X.lost_anchors(p["x"]["anchors"], x["x"]["anchors"])
+        why = F.when(x["read_something"] & p.isNotNull(), gates.rejection(p["x"]["m"], x["x"]["m"], x["x"]["pages"], x["x"]["pages_sent"], x["x"]["pages_answered"], x["x"]["failed_batches"], F.lit(True), lost, t))
+        plain = x.withField("refused", why.isNotNull()).withField("accepted", x["accepted"] & why.isNull()).withField("reason", F.coalesce(why, x["reason"]))
+        if not known:
+            return plain
+        w = F.col("_w")
+        alike = gates.jaccard(F.array(F.coalesce(p["vocabulary"], F.array().cast("array<string>")), w["vocabulary"]), t.min_useful_words)
+        veto = gates.veto(F.coalesce(p["x"]["m"]["useful"], F.lit(0)), F.coalesce(w["is_photo"], F.lit(False)), F.coalesce(w["is_blank"], F.lit(False)), w["reliable"], w["useful"], alike, t)
+        skipped = x.withField("read_something", F.lit(False)).withField("accepted", F.lit(False)).withField("reason", F.concat(F.lit("veto: "), veto))
+        unseen = plain.withField("reason", F.concat(F.when(plain["accepted"], "ok").otherwise(plain["reason"]), F.lit("; no witness")))
+        return F.when(veto.isNotNull(), skipped).when(w["reliable"].isNull(), unseen).otherwise(plain)
+
+    def step(done: Column, x: Column) -> Column:
+        texts = F.transform(F.filter(done, lambda d: d["read_something"] & ~d["refused"]), lambda d: F.struct((-d["x"]["m"]["chars"]).alias("o"), d["ordinal"].alias("ordinal"), d.alias("d")))
+        longest = F.array(F.try_element_at(F.array_sort(texts), F.lit(1))["d"])
+        return F.concat(done, F.when(x["kind"] == "expensive", F.transform(longest, lambda p: judged(x, p))).otherwise(F.array(x)))
+
+    docs = docs.withColumn("r", F.aggregate("r", F.slice("r", 1, 0), step))
+    return _settled(docs, t).withColumn("text", prose.normalize(F.col("text")))
+
+
+def _settled(docs: DataFrame, t: C.Thresholds) -> DataFrame:
+    """``results`` of documents with ``r``, their readings in order."""
     so_far = lambda i: F.filter(F.slice("r", 1, i), lambda x: x["read_something"])
     alike = lambda i: gates.jaccard(F.transform(so_far(i), lambda x: x["vocabulary"]), t.min_useful_words)
     docs = docs.withColumn("_similarity", F.transform(F.sequence(F.lit(1), F.size("r")), lambda i: F.round(alike(i), 4)))
@@ -96,11 +144,11 @@ def results(rows: DataFrame, t: C.Thresholds = DEFAULT) -> DataFrame:
     empty = F.col("_close").isNull() & gates.empty_by_consensus(F.transform(read, lambda x: x["useful_words"]), t)
     closed = F.when(F.col("_close") == F.col("_accepted"), "acceptance").when(F.col("_close").isNotNull(), "agreement").when(empty, "consensus").otherwise("contest")
     docs = docs.withColumn("closed_by", closed)
-    field = F.when(F.col("closed_by") == "acceptance", F.slice("r", F.col("_close"), F.lit(1))).when(F.col("closed_by") == "agreement", so_far(F.col("_close"))).when(F.col("closed_by") == "contest", read).otherwise(F.slice("r", 1, 0))
+    field = F.when(F.col("closed_by") == "acceptance", F.slice("r", F.col("_close"), F.lit(1))).when(F.col("closed_by") == "agreement", F.filter(so_far(F.col("_close")), lambda x: ~x["refused"])).when(F.col("closed_by") == "contest", F.filter(read, lambda x: ~x["refused"])).otherwise(F.slice("r", 1, 0))
     ranked = F.transform(field, lambda x: F.struct(-gates.usefulness(x["score"], x["text"]), x["ordinal"], x["step"], x["text"], x["score"]))
     docs = docs.withColumn("_winner", F.try_element_at(F.array_sort(ranked), F.lit(1)))
     seen = F.slice("r", 1, F.coalesce("_close", F.size("r")))
-    path = F.array_join(F.transform(seen, lambda x: F.concat(x["step"], F.lit("("), F.when(x["accepted"], "ok").otherwise(x["reason"]), F.lit(")"))), " -> ")
+    path = F.array_join(F.transform(seen, lambda x: F.concat(x["step"], F.lit("("), F.when(x["accepted"] & ~x["reason"].endswith("; no witness"), "ok").otherwise(x["reason"]), F.lit(")"))), " -> ")
     step = F.coalesce(F.col("_winner.step"), F.when(F.col("closed_by") == "consensus", F.lit("empty_by_consensus")), F.lit("none"))
     return docs.select(
         "doc_id", step.alias("step"), F.coalesce("_winner.text", F.lit("")).alias("text"), F.col("_winner.score").alias("score"), "closed_by",

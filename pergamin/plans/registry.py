@@ -209,12 +209,18 @@ def cascade_results(spark: SparkSession, folder: str) -> DataFrame:
     return settled.select("doc_id", "step", F.round("score", 4).alias("score"), "closed_by", "similarity", F.length("text").alias("n_chars"), "provenance")
 
 
+def cascade_guarded(spark: SparkSession, folder: str) -> DataFrame:
+    """The cascade with the gates of expensive steps and the winner as running text."""
+    settled = cascade.guarded(_measured(spark, folder))
+    return settled.select("doc_id", "step", F.round("score", 4).alias("score"), "closed_by", "similarity", F.length("text").alias("n_chars"), F.md5("text").alias("text_digest"), "provenance")
+
+
 def queries() -> dict[str, Query]:
     found = (
         text_metrics, text_scores, native_text, stamp_words, identifiers, identifiers_lost, unread_marks, structure_scores, pages_without_text, image_coverage,
         attachment_screening, lexicon, line_coverage, resegmented_texts, line_kinds, page_containment, document_layers, reread_targets, page_routes, page_confidence, page_merge,
         reading_gates, reading_agreement, best_readings, longest_texts, step_comparison, replacements, final_text, amounts_repaired, responses, file_formats,
-        private_numbers, cascade_results,
+        private_numbers, cascade_results, cascade_guarded,
     )
     return {f.__name__: f for f in found}
 

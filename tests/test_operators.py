@@ -50,6 +50,37 @@ def test_cascade_closes_as_it_should(spark):
     assert out[7].text == good and len(out) == 7
 
 
+def test_replacement_gate_and_vetoes_of_expensive_steps(spark):
+    old = PROSE + "Protocolo 882167 nesta vara. "
+    bad, rich = old.replace("882167", "882187") + PROSE * 2, PROSE * 20
+    readings = [
+        reading(1, 0, "paddle", "ocr", old, confidence=50.0), reading(1, 1, "docling", "expensive", bad),
+        reading(2, 0, "paddle", "ocr", old, confidence=50.0), reading(2, 1, "docling", "expensive", rich),
+        reading(3, 0, "paddle", "ocr", old, confidence=50.0), reading(3, 1, "docling", "expensive", "[illegible] " * 400),
+        reading(4, 0, "native", "native", ""), reading(4, 1, "docling", "expensive", "um\ndois tr-\nês"),
+        reading(5, 0, "paddle", "ocr", old, confidence=50.0), reading(5, 1, "docling", "expensive", bad), reading(5, 2, "remote", "expensive", old + PROSE * 2),
+        reading(6, 0, "paddle", "ocr", OTHER, confidence=50.0), reading(6, 1, "docling", "expensive", rich),
+        reading(7, 0, "paddle", "ocr", OTHER, confidence=50.0), reading(7, 1, "docling", "expensive", rich),
+    ]
+    r = spark.createDataFrame(readings, "reading_id long, doc_id long, ordinal int, step string, kind string, available boolean, why string, text string, pages_sent int, pages_answered int, confidence double, failed_batches int, loaded_at timestamp")
+    d = spark.createDataFrame([(i, 1, True, False) for i in range(1, 8)], "doc_id long, pages int, has_image boolean, has_vector boolean")
+    p = spark.createDataFrame([], "doc_id long, page_no int, text string, chars int, lines int, blocks int, words int, page_w double, page_h double, boxes array<struct<kind:int,x1:double,y1:double,x2:double,y2:double>>")
+    rows = cascade.measured(d, p, r)
+    assert {x.doc_id: x.step for x in cascade.results(rows).where("doc_id = 1").collect()} == {1: "docling"}
+    out = {x.doc_id: x for x in cascade.guarded(rows).collect()}
+    assert out[1].step == "paddle" and "identifiers lost: 882167" in out[1].provenance and out[1].text == old.strip()
+    assert out[2].step == "docling" and out[2].closed_by == "acceptance"
+    assert out[3].step == "paddle" and "loop of unread marks" in out[3].provenance
+    assert (out[4].step, out[4].text) == ("docling", "um dois três")
+    assert (out[5].step, out[5].closed_by) == ("paddle", "agreement") and "remote" not in out[5].provenance
+    assert out[6].step == "docling"
+    w = spark.createDataFrame([(6, False, False, 1, "nada"), (7, False, False, 40, OTHER)], "doc_id long, is_photo boolean, is_blank boolean, reliable int, text string")
+    seen = {x.doc_id: x for x in cascade.guarded(rows, w).collect()}
+    assert seen[6].step == "paddle" and "veto: no_legible_word" in seen[6].provenance
+    assert seen[7].step == "paddle" and "veto: reading_confirmed" in seen[7].provenance
+    assert seen[2].step == "docling" and "no witness" in seen[2].provenance
+
+
 def test_order_and_repetition_change_nothing(spark):
     rows = [reading(d, o, s, "ocr", PROSE * n + "x" * d, confidence=c) for d in range(1, 6) for o, (s, n, c) in enumerate([("paddle", 1, 60.0), ("vision", 2, 90.0), ("docling", 3, 95.0)])]
     first = run(spark, rows)
