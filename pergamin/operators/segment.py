@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,8 +14,6 @@ from pergamin.functions import catalogue as C
 
 # Runs that are looked at, and the lengths of their parts.
 RUN, LONGEST, SHORTEST = re.compile("[A-Za-zÀ-ÿ]{14,}"), 18, 2
-#: Share of all occurrences from which on a word may be a part: at most 1 / SHARE words can reach it.
-SHARE = 1e-5
 
 
 def folded(word: str) -> str:
@@ -45,28 +44,53 @@ def parts_of(run: str, words: frozenset[str]) -> list[str] | None:
     return out
 
 
-def resegmented(text: str | None, words: frozenset[str]) -> str | None:
-    """The text with its runs parted; null if nothing changes."""
-    if text is None:
-        return None
-    changed = RUN.sub(lambda m: " ".join(parts_of(m.group(), words) or [m.group()]), text)
-    return changed if changed != text else None
+def candidates(run: str) -> set[str]:
+    """What may be a part of the run, folded: 17 for each letter at most."""
+    low = folded(run)
+    if len(low) != len(run):
+        return set()
+    return {low[k : k + size] for k in range(len(low)) for size in range(SHORTEST, min(LONGEST, len(low) - k) + 1)}
 
 
 def resegment(df: DataFrame, lexicon: DataFrame, text: str = "text", output: str = "resegmented") -> DataFrame:
     """Adds ``output``: the text with words parted that were run together, null where nothing changes or for a null text.
 
-    ``lexicon`` has word and n. Only its frequent words are parts; their number is bounded by SHARE, so they may be shipped.
-    Texts without a long run do not reach Python.
+    ``lexicon`` has word and n; all of its words are parts. The different runs are joined to it by their substrings, parted with
+    what was found and joined back to the texts by digest. Texts without a long run do not reach Python.
     """
-    total = lexicon.agg(F.sum("n")).first()[0] or 0
-    frequent = [r.word for r in lexicon.where(F.col("n") >= SHARE * total).select("word").collect()]
-    shared = df.sparkSession.sparkContext.broadcast(frozenset(map(folded, frequent)) | frozenset(C.SHORT_WORDS))
+    long = F.col(text).rlike(RUN.pattern)
+    rows = df.where(long).withColumn("_digest", F.sha2(text, 256))
+    occurring = rows.select("_digest", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(RUN.pattern), F.lit(0)))).alias("_run")).distinct()
+    runs = occurring.select("_run").distinct()
+
+    def substrings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for run in frame["_run"]:
+                yield pd.DataFrame({"_run": run, "_part": sorted(candidates(run))}, dtype=str)
+
+    @F.pandas_udf("string")
+    def fold(words: pd.Series) -> pd.Series:
+        return words.map(folded, na_action="ignore")
 
     @F.pandas_udf("string")
-    def parted(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: resegmented(t, shared.value), na_action="ignore")
+    def split(runs: pd.Series, words: pd.Series) -> pd.Series:
+        found = (parts_of(r, frozenset(w if w is not None else ()) | frozenset(C.SHORT_WORDS)) for r, w in zip(runs, words))
+        return pd.Series([" ".join(f) if f else None for f in found], dtype=object)
+
+    words = lexicon.select(fold("word").alias("_part")).distinct()
+    known = runs.mapInPandas(substrings, "_run string, _part string").join(words, "_part", "left_semi").groupBy("_run").agg(F.collect_set("_part").alias("_parts"))
+    splits = runs.join(known, "_run", "left").select("_run", split("_run", "_parts").alias("_split")).where(F.col("_split").isNotNull())
+    changes = occurring.join(splits, "_run").groupBy("_digest").agg(F.collect_list("_run").alias("_runs"), F.collect_list("_split").alias("_splits"))
+
+    @F.pandas_udf("string")
+    def parted(texts: pd.Series, runs: pd.Series, splits: pd.Series) -> pd.Series:
+        def one(t: str, r: list | None, s: list | None) -> str | None:
+            if r is None:
+                return None
+            new = dict(zip(r, s))
+            return RUN.sub(lambda m: new.get(m.group(), m.group()), t)
+
+        return pd.Series([one(*x) for x in zip(texts, runs, splits)], dtype=object)
 
-    long = F.col(text).rlike("[A-Za-zÀ-ÿ]{14,}")
-    done = df.where(long).withColumn(output, parted(F.col(text)))
+    done = rows.join(changes, "_digest", "left").withColumn(output, parted(text, "_runs", "_splits")).drop("_digest", "_runs", "_splits")
     return done.unionByName(df.where(F.coalesce(~long, F.lit(True))).withColumn(output, F.lit(None).cast("string")))

@@ -38,6 +38,12 @@ def test_operator(spark):
     assert segment.resegment(spark.createDataFrame([], "id int, text string"), lexicon.limit(0)).collect() == []
 
 
+def test_rare_words_of_a_large_lexicon_are_parts(spark):
+    lexicon = spark.createDataFrame([("conferido", 3), ("Documento".lower(), 3), ("de", 10_000_000)], "word string, n long")
+    out = segment.resegment(spark.createDataFrame([(1, "documentoconferido e DOCUMENTOCONFERIDO")], "id int, text string"), lexicon).collect()
+    assert [r.resegmented for r in out] == ["documento conferido e DOCUMENTO CONFERIDO"]
+
+
 def test_accents_keep_their_place():
     words = frozenset(["acao", "judicial", "publica"])
     assert segment.parts_of("AçãoJudicialPública", words) == ["Ação", "Judicial", "Pública"]
