@@ -64,3 +64,44 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+# White space of one byte, and of two and three bytes in UTF-8.
+BLANK_BYTES = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+BLANK_PAIRS = (0x85, 0xA0)
+BLANK_TRIPLES = {0xE1: ((0x9A, range(0x80, 0x81)),), 0xE2: ((0x80, (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0x81, range(0x9F, 0xA0))), 0xE3: ((0x80, range(0x80, 0x81)),)}
+
+
+def blanked(data: np.ndarray) -> np.ndarray:
+    """The bytes with white space of several bytes written as so many plain blanks."""
+    high = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+    if not len(high):
+        return data
+    out, n = data.copy(), len(data)
+    lead, second = data[high], data[np.minimum(high + 1, n - 1)]
+    pair = high[(lead == 0xC2) & np.isin(second, BLANK_PAIRS)]
+    out[pair] = out[pair + 1] = 0x20
+    third = data[np.minimum(high + 2, n - 1)]
+    for first, rows in BLANK_TRIPLES.items():
+        for two, threes in rows:
+            at = high[(lead == first) & (second == two) & np.isin(third, list(threes))]
+            out[at] = out[at + 1] = out[at + 2] = 0x20
+    return out
+
+
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The tokens of all texts as ``str.split`` gives them, one after another; the first token of every text (n+1); and whether
+    a line or a text begins between a token and the one before it. A token is never cut, however long."""
+    data = blanked(data)
+    solid = ~BLANK_BYTES[data]
+    opens = np.zeros(len(data) + 1, bool)
+    opens[offsets] = True
+    starts = np.flatnonzero(solid & (np.append(True, ~solid[:-1]) | opens[:-1])) if len(data) else np.zeros(0, np.int64)
+    kept = np.append(0, np.cumsum(solid))
+    bounds = np.append(kept[starts], kept[-1]).astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[solid]))])
+    first = np.searchsorted(starts, offsets)
+    lines = np.cumsum(data == 10)[starts] if len(starts) else starts
+    breaks = np.diff(lines, prepend=-1) != 0
+    breaks[first[:-1][first[:-1] < len(starts)]] = True
+    return tokens, first, breaks

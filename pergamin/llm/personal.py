@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pergamin.llm.lookalike import LIGATURES, mapping
-from pergamin.llm.scanned import Lexicon
 from pergamin.session import write_through
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -278,11 +277,11 @@ def confident(patterns: DataFrame) -> dict[tuple[str, str], float]:
     return {(r.kind, r.pattern): r.score for r in kept.select("kind", "pattern", "score").collect()}
 
 
-def learn(texts: DataFrame, hints: DataFrame, lexicon: Lexicon, text: str = "text") -> Knowledge:
-    """What ``find`` needs, from all rows of ``texts``, the table of hinted names (name, kind) and the corpus's lexicon."""
+def learn(texts: DataFrame, hints: DataFrame, words: DataFrame, text: str = "text") -> Knowledge:
+    """What ``find`` needs, from all rows of ``texts``, the table of hinted names (name, kind) and the words of the corpus (word, n, small)."""
     rows = [(r.name, r.kind) for r in hints.select("name", "kind").dropna().distinct().collect()]
     names = {kind: frozenset(fold(p) for n, k in rows if k == kind for p in n.split() if len(p) > 2) for kind in ("given", "family")}
-    common = frozenset(fold(w) for w, (n, small) in lexicon.words.items() if small >= 0.3 * n) - names["given"] - names["family"]
+    common = frozenset(fold(r.word) for r in words.where((F.col("n") >= COUNT) & (F.col("small") >= 0.3 * F.col("n"))).select("word").collect()) - names["given"] - names["family"]
     knowledge = Knowledge(common, names["given"], names["family"])
     edges = write_through(graph(texts, knowledge, text), "edges")
     knowledge.intro = opening_words(edges) - names["given"] - names["family"]

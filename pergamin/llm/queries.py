@@ -43,8 +43,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _personal(spark: SparkSession, folder: str) -> DataFrame:
     source = texts(spark, folder, "readings", "screenings")
-    lexicon = scanned.lexicon(scanned.corpus_counts(source))
-    return personal.personal_information(source, personal.learn(source, load(spark, folder, "name_hints"), lexicon), "rec")
+    words = scanned.totals(scanned.corpus_counts(source.select(F.lit(None).cast("int").alias("bucket"), "text")))
+    return personal.personal_information(source, personal.learn(source, load(spark, folder, "name_hints"), words), "rec")
 
 
 def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,23 +56,25 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return _personal(spark, folder).select("rec.record", "rec.row_id", F.inline("found")).distinct()
 
 
-def _scanned(spark: SparkSession, folder: str, text: bool) -> tuple[DataFrame, scanned.Lexicon]:
-    """The lines of OCR steps by page, with their features, and the lexicon of all texts."""
+def _scanned(spark: SparkSession, folder: str, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """What is found of the lines of OCR steps, and the counts of all texts."""
     lines, readings = load(spark, folder, "page_lines"), load(spark, folder, "readings")
-    lex = scanned.lexicon(scanned.corpus_counts(spread(lines.select("text").unionByName(readings.select("text")))))
-    rows = spread(scanned.page_line_rows(lines), "unit").unionByName(spread(scanned.reading_rows(readings.where("kind = 'ocr'")), "unit"))
-    features = scanned.line_features(rows, lex, ["key", "tie", "unit", "page", "line_no", *["text"] * text])
-    return scanned.paged(features if text else features.drop("repaired")), lex
+    ocr = F.coalesce(F.col("kind") == "ocr", F.lit(False))
+    source = spread(scanned.page_lines(lines), "unit", "page").unionByName(scanned.reading_lines(spread(readings.where(ocr), "reading_id")))
+    return scanned.read_lines(source, readings.where(~ocr).select("text"), lines.count() + 24 * readings.count(), whole)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("record", F.element_at(F.array(*map(F.lit, scanned.RECORDS)), F.col("record") + 1))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows, lex = _scanned(spark, folder, False)
-    return scanned.noises(scanned.page_noise(rows), lex).select("key.record", "key.row_id", "noise").distinct()
+    return _named(scanned.noises(*_scanned(spark, folder, False)).select("record", "row_id", "noise").distinct())
 
 
 def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """Every page read by an OCR step as continuous paragraphs."""
-    return scanned.paragraphs(*_scanned(spark, folder, True))
+    return _named(scanned.paragraphs(*_scanned(spark, folder, True)))
 
 
 def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pergamin.llm import personal as P
 from pergamin.llm import scanned
@@ -71,7 +72,7 @@ def corpus():
 def test_bootstrapping_finds_what_no_list_has(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(corpus())], "row_id long, text string")
     hints = spark.createDataFrame([("Deonísia", "given"), ("Quirilo", "given"), ("Monvesco", "family"), ("Ferqueto", "family"), (None, "given")], "name string, kind string")
-    knowledge = P.learn(df, hints, scanned.lexicon(scanned.corpus_counts(df)))
+    knowledge = P.learn(df, hints, scanned.totals(scanned.corpus_counts(df.select(F.lit(None).cast("int").alias("bucket"), "text"))))
     assert knowledge.patterns[("name", "L:a testemunha")] > P.CONFIDENT
     assert ("name", "L:comarca de") not in knowledge.patterns
     found = {r.row_id: [(f.kind, r.text[f.start_pos : f.end_pos]) for f in r.found] for r in P.personal_information(df, knowledge).join(df, "row_id").collect()}
