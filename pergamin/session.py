@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -25,16 +27,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests, one machine) is a folder of our own chosen.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only on one machine is one of our own chosen where it is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pergamin-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="pergamin-")
+            atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -48,18 +52,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def write_through(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as a compressed table into the shared checkpoint folder and read it again.
+def write_through(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Write ``df`` as a compressed table into the shared folder and read it again, in parts by the column ``by`` if named.
 
     For a result that several branches of a query read: none of them repeats the work or its Python stage, and a lost
-    executor loses nothing.
+    executor loses nothing. The tables of a context lie in one folder, which Spark deletes with it or, if so set, the cluster.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pergamin-"))
-    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
