@@ -12,20 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a bucket, about, and buckets at most (they get larger then).
-BUCKET_ROWS, MOST_BUCKETS = 120_000, 200_000
+#: Rows of a bucket, about; fewer if not all cores have one; and buckets at most (they get larger then).
+BUCKET_ROWS, LEAST_ROWS, MOST_BUCKETS = 240_000, 20_000, 200_000
 
 
-def number_of(rows: int, per: int = BUCKET_ROWS) -> int:
-    return max(1, min(math.ceil(rows / per), MOST_BUCKETS))
-
-
-def bucket_of(buckets: int, *columns: str | Column) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int").alias("bucket")
+def number_of(rows: int, cores: int = 1) -> int:
+    return max(1, min(math.ceil(rows / BUCKET_ROWS), MOST_BUCKETS), min(cores, math.ceil(rows / LEAST_ROWS)))
 
 
 Reader = Callable[[Iterator[tuple[int, bool, pa.RecordBatch]]], Iterator[pa.RecordBatch]]

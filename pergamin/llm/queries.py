@@ -60,8 +60,8 @@ def _scanned(spark: SparkSession, folder: str, whole: bool) -> tuple[DataFrame,
     """What is found of the lines of OCR steps, and the counts of all texts."""
     lines, readings = load(spark, folder, "page_lines"), load(spark, folder, "readings")
     ocr = F.coalesce(F.col("kind") == "ocr", F.lit(False))
-    source = spread(scanned.page_lines(lines), "unit", "page").unionByName(scanned.reading_lines(spread(readings.where(ocr), "reading_id")))
-    return scanned.read_lines(source, readings.where(~ocr).select("text"), lines.count() + 24 * readings.count(), whole)
+    texts = scanned.reading_texts(readings.where(ocr))
+    return scanned.read_lines(scanned.page_lines(lines), texts, readings.where(~ocr).select("text"), lines.count() + 24 * readings.count(), whole)
 
 
 def _named(rows: DataFrame) -> DataFrame:

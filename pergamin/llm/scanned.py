@@ -29,7 +29,7 @@ from pergamin.llm import buckets as B
 from pergamin.llm.arrow_text import flat_utf8, slices, tokens_of
 from pergamin.llm.lookalike import LIGATURES, mapping
 from pergamin.operators import skew
-from pergamin.session import write_through
+from pergamin.session import spread, write_through
 
 #: Occurrences from which on a word or a pair of words is known, whatever the size of the corpus.
 COUNT = 5
@@ -113,7 +113,17 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def hash_words(words: list[str]) -> np.ndarray:
-    return np.frombuffer(b"".join(blake2b(w.encode(), digest_size=8).digest() for w in words), np.int64)
+    return np.array([pair_hash(w) for w in words], np.int64)
+
+
+#: Signs of tokens that are seen at once to be no words.
+BARE = "0123456789.,;:-/()[]\"'"
+BARE_BYTES = BARE.encode()
+
+
+def pair_hash(word: str) -> int:
+    """Of a word as a neighbour of others; whatever has no letter is one word."""
+    return int.from_bytes(blake2b(word.encode() if any(map(str.isalpha, word)) else b"0", digest_size=8).digest(), "little", signed=True)
 
 
 def correctable(word: str) -> bool:
@@ -146,13 +156,14 @@ COUNTS = "kind int, bucket int, word string, hash long, n long, small long"
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
     """Counts over all rows (bucket, text): (kind, bucket, word, hash, n, small); kind 0 words of each bucket with their occurrences
-    in small letters, kind 1 hashes of pairs of neighbouring words of a line. Counted within every task first; rows of a null
+    in small letters, kind 1 hashes of known pairs of neighbouring words of a line. Counted within every task first; rows of a null
     bucket count, but need no entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")  # hashes wrap around
         numbers: dict[str, int] = {}  # of words; a cell is bucket, word and whether it is in small letters
         known: dict[bytes, tuple[int, int]] = {}  # token: number of its word and small, or -1; hash of the word
+        bare = pair_hash("")
         cells, pairs = Merged(), Merged()
         for batch in batches:
             data, offsets = flat_utf8(batch.column(1))
@@ -166,10 +177,14 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                 for raw in coded.dictionary.to_pylist():
                     entry = known.get(raw)
                     if entry is None:
-                        t = raw.decode("utf-8", "ignore")
-                        w = word_of(t)
-                        number = numbers.setdefault(w, len(numbers)) * 2 + t[:1].islower() if len(w) > 1 and w.isalpha() or correctable(w) else -1
-                        entry = known[raw] = (number, int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little", signed=True))
+                        if raw.strip(BARE_BYTES):
+                            t = raw.decode("utf-8", "ignore")
+                            w = word_of(t)
+                            number = numbers.setdefault(w, len(numbers)) * 2 + t[:1].islower() if len(w) > 1 and w.isalpha() or correctable(w) else -1
+                            entry = number, pair_hash(w)
+                        else:
+                            entry = -1, bare
+                        known[raw] = entry
                     entries.append(entry)
                 numbered, hashed = np.array(entries, np.int64).T[:, coded.indices.to_numpy()]
                 cell = (np.repeat(own[a:b], np.diff(first)) << 33) + numbered
@@ -200,7 +215,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.string()), pa.array(pairs.keys), pa.array(pairs.counts), zero], names=["kind", "bucket", "word", "hash", "n", "small"])
 
     counted = texts.select(F.col("bucket").cast("int"), F.col("text").cast("string")).mapInArrow(run, COUNTS)
-    return counted.groupBy("kind", "bucket", "word", "hash").agg(F.sum("n").alias("n"), F.sum("small").alias("small"))
+    return counted.groupBy("kind", "bucket", "word", "hash").agg(F.sum("n").alias("n"), F.sum("small").alias("small")).where((F.col("kind") == 0) | (F.col("n") >= COUNT))
 
 
 def totals(counts: DataFrame) -> DataFrame:
@@ -209,7 +224,7 @@ def totals(counts: DataFrame) -> DataFrame:
 
 
 def known_pairs(counts: DataFrame) -> DataFrame:
-    return counts.where((F.col("kind") == 1) & (F.col("n") >= COUNT)).select("hash")
+    return counts.where("kind = 1").select("hash")
 
 
 def form_skeletons(word: str) -> set[str]:
@@ -314,6 +329,10 @@ class Token:
     __slots__ = ("shown", "word", "correction", "alphabetic", "known")
 
     def __init__(self, token: str, words: Dictionary):
+        if not token.strip(BARE):
+            self.shown = self.word = token
+            self.correction, self.alphabetic, self.known = None, False, False
+            return
         self.shown = plain(token)
         core = EDGE_SIGNS.sub("", self.shown)
         self.word = word = lower_word(core)
@@ -415,14 +434,17 @@ class Found:
     tail: dict[int, str]
 
 
+#: Of what goes on of a bucket: lines with some noise, those that only may be a header, those that are only text, and what
+#: the first line of every page that goes on begins with.
+NOISY, EDGES, TEXTS, OPENINGS = "noisy", "edge", "text", "opening"
 LINES = (
-    "opening boolean, record byte, row_id long, unit long, page int, pos long, readable boolean, page_no boolean, numbered boolean, mask long, form long, "
+    "part string, record byte, row_id long, unit long, page int, pos long, readable boolean, page_no boolean, numbered boolean, mask long, form long, "
     "fixes array<struct<at:int,word:string,pairs:array<long>>>, tail string, ahead array<struct<pos:long,head:string>>, next string, head string, text string"
 )
 _FIX = pa.struct([("at", pa.int32()), ("word", pa.string()), ("pairs", pa.list_(pa.int64()))])
 _AHEAD = pa.struct([("pos", pa.int64()), ("head", pa.string())])
 _SCHEMA = pa.schema(
-    [("opening", pa.bool_()), ("record", pa.int8()), ("row_id", pa.int64()), ("unit", pa.int64()), ("page", pa.int32()), ("pos", pa.int64()), *((c, pa.bool_()) for c in ("readable", "page_no", "numbered")), ("mask", pa.int64()), ("form", pa.int64()),
+    [("part", pa.string()), ("record", pa.int8()), ("row_id", pa.int64()), ("unit", pa.int64()), ("page", pa.int32()), ("pos", pa.int64()), *((c, pa.bool_()) for c in ("readable", "page_no", "numbered")), ("mask", pa.int64()), ("form", pa.int64()),
      ("fixes", pa.list_(_FIX)), ("tail", pa.string()), ("ahead", pa.list_(_AHEAD)), ("next", pa.string()), ("head", pa.string()), ("text", pa.string())]
 )
 
@@ -637,7 +659,7 @@ class LineReader:
         for p in range(int(goes_on), int(page_of[-1]) + 1):
             i = int(begin[p])
             some, following, open_ = ahead(i, p)
-            row = {"opening": True, "unit": columns["unit"][i].as_py(), "page": columns["page"][i].as_py(), "ahead": some, "next": following}
+            row = {"part": OPENINGS, "unit": columns["unit"][i].as_py(), "page": columns["page"][i].as_py(), "ahead": some, "next": following}
             if open_:
                 self.opening = row
             else:
@@ -650,19 +672,20 @@ class LineReader:
                 follow[i] = some, following
                 if open_:
                     wait.append(i)
-        keep = found.page_no | found.numbered | found.masked
-        keep[[*found.tail, *found.fixes]] = True
+        noisy = found.page_no | found.numbered
+        noisy[[*found.tail, *found.fixes]] = True
+        keep = noisy | found.masked
         if self.whole:
             keep |= may
         index = np.flatnonzero(keep)
         chosen = index.tolist()
         take = pa.array(index)
-        nothing = np.zeros(len(index), bool)
+        part = pa.DictionaryArray.from_arrays(pa.array(np.where(noisy[index], 0, np.where(found.masked[index], 1, 2)), pa.int8()), pa.array([NOISY, EDGES, TEXTS])).cast(pa.string())
         masked = ~found.masked[index]
         fixes = [[{"at": a, "word": w, "pairs": p} for a, w, p in found.fixes[i]] if i in found.fixes else None for i in chosen]
         rows = pa.RecordBatch.from_arrays(
             [
-                pa.array(nothing), *(columns[c].take(take) for c in ("record", "row_id", "unit", "page")), pa.array(pos[index]), *(pa.array(x[index]) for x in (found.readable, found.page_no, found.numbered)),
+                part, *(columns[c].take(take) for c in ("record", "row_id", "unit", "page")), pa.array(pos[index]), *(pa.array(x[index]) for x in (found.readable, found.page_no, found.numbered)),
                 pa.array(found.mask[index], mask=masked), pa.array(found.form[index], mask=masked), pa.array(fixes, pa.list_(_FIX)), pa.array([found.tail.get(i) for i in chosen], pa.string()),
                 pa.array([follow[i][0] if i in follow else None for i in chosen], pa.list_(_AHEAD)), pa.array([follow[i][1] if i in follow else None for i in chosen], pa.string()),
                 pa.array([head_of(text_of(i)) for i in chosen] if self.whole else [None] * len(chosen), pa.string()), table.column("text").combine_chunks().take(take) if self.whole else pa.nulls(len(chosen), pa.string()),
@@ -678,31 +701,43 @@ class LineReader:
 
 
 def page_lines(lines: DataFrame) -> DataFrame:
-    """Lines (record, row_id, unit, page, line_no, text) of the table of page lines; a unit is a document as read by one step.
+    """Lines (record, row_id, unit, page, line_no, text, deal) of the table of page lines; a unit is a document as read by one step.
 
-    A line without a document or page is a page of its own; a null or blank text is no line."""
+    A line without a document or page is a page of its own; a null or blank text is no line. Lines of one ``deal`` are read in
+    one task: those of a page."""
     lost = F.col("doc_id").isNull() | F.col("page_no").isNull()
     unit = F.when(lost, F.xxhash64(F.lit("line"), "line_id", "text")).otherwise(F.xxhash64(F.lit("page_lines"), "doc_id", "step"))
-    kept = lines.where(F.trim("text") != "")
-    return kept.select(F.lit(PAGE_LINES).cast("byte").alias("record"), F.col("line_id").cast("long").alias("row_id"), unit.alias("unit"), F.coalesce(F.col("page_no").cast("int"), F.lit(0)).alias("page"), F.coalesce(F.col("line_no").cast("int"), F.lit(0)).alias("line_no"), F.col("text").cast("string").alias("text"))
+    kept = lines.where(F.trim("text") != "").withColumn("_unit", unit).withColumn("_page", F.coalesce(F.col("page_no").cast("int"), F.lit(0)))
+    return kept.select(
+        F.lit(PAGE_LINES).cast("byte").alias("record"), F.col("line_id").cast("long").alias("row_id"), F.col("_unit").alias("unit"), F.col("_page").alias("page"), F.coalesce(F.col("line_no").cast("int"), F.lit(0)).alias("line_no"),
+        F.col("text").cast("string").alias("text"), F.xxhash64("_unit", "_page").alias("deal"),
+    )
+
+
+def reading_texts(readings: DataFrame) -> DataFrame:
+    """Whole texts (row_id, unit, deal, text) of readings; a unit is a reading, and read in one task."""
+    return readings.select(F.col("reading_id").cast("long").alias("row_id"), F.xxhash64(F.lit("readings"), "reading_id", "text").alias("unit"), F.col("text").cast("string").alias("text")).withColumn("deal", F.col("unit"))
 
 
-def reading_lines(readings: DataFrame) -> DataFrame:
-    """The same of the lines of readings; a unit is a reading, and its pages are parted by an empty line."""
-    pages = readings.select(F.col("reading_id").cast("long").alias("row_id"), F.xxhash64("text").alias("_tie"), F.posexplode(F.split("text", "\n\n")).alias("page", "_page"))
-    lines = pages.select("row_id", "_tie", "page", F.posexplode(F.filter(F.split("_page", "\n"), lambda x: F.trim(x) != "")).alias("line_no", "text"))
-    return lines.select(F.lit(READINGS).cast("byte").alias("record"), "row_id", F.xxhash64(F.lit("readings"), "row_id", "_tie").alias("unit"), "page", "line_no", "text")
+def reading_lines(texts: DataFrame) -> DataFrame:
+    """The lines of ``reading_texts``, as those of ``page_lines``; pages are parted by an empty line."""
+    pages = texts.select("row_id", "unit", "deal", F.posexplode(F.split("text", "\n\n")).alias("page", "_page"))
+    lines = pages.select("row_id", "unit", "deal", "page", F.posexplode(F.filter(F.split("_page", "\n"), lambda x: F.trim(x) != "")).alias("line_no", "text"))
+    return lines.select(F.lit(READINGS).cast("byte").alias("record"), "row_id", "unit", "page", "line_no", "text", "deal")
 
 
-def read_lines(lines: DataFrame, others: DataFrame, rows: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """What goes on of all ``lines``, as in LINES, and the counts of the corpus, to which the texts of ``others`` belong.
+def read_lines(lines: DataFrame, texts: DataFrame, others: DataFrame, rows: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What goes on of all lines, as in LINES, and the counts of the corpus.
 
-    ``rows``: about the number of lines, for the number of buckets only. ``whole``: readable lines go on with their texts."""
-    buckets = B.number_of(rows)
-    dealt = lines.withColumn("bucket", B.bucket_of(buckets, "unit", "page"))
-    counts = write_through(corpus_counts(dealt.select("bucket", "text").unionByName(others.select(F.lit(None).cast("int").alias("bucket"), "text"))), "counts")
+    ``lines``: of ``page_lines``; ``texts``: of ``reading_texts``; ``others``: texts that only count. ``rows``: about the number of
+    lines, for the number of buckets only. ``whole``: readable lines go on with their texts."""
+    buckets = B.number_of(rows, lines.sparkSession.sparkContext.defaultParallelism)
+    bucket = F.pmod("deal", F.lit(buckets)).cast("int").alias("bucket")
+    counted = lines.select(bucket, "text").unionByName(texts.select(bucket, "text")).unionByName(others.select(F.lit(None).cast("int").alias("bucket"), "text"))
+    counts = write_through(corpus_counts(spread(counted)), "counts")
+    dealt = lines.unionByName(reading_lines(texts)).select(bucket, "record", "row_id", "unit", "page", "line_no", "text")
     found = B.read(word_entries(counts), dealt, buckets, ["unit", "page"], ["line_no", "row_id", "text"], LineReader(whole), LINES)
-    return write_through(found, "lines"), counts
+    return write_through(found, "lines", "part"), counts
 
 
 SPOT = ["unit", "page", "pos"]
@@ -712,15 +747,15 @@ PLACE = ["record", "row_id", *SPOT]
 def headers(found: DataFrame, total: int) -> DataFrame:
     """The lines (PLACE, some twice) that are a header or footer: they run over pages of their unit, or are of a form that runs elsewhere,
     or stand outermost with the page's number."""
-    edges = found.where("mask is not null").select(*PLACE, "mask", "form")
+    edges = found.where(F.col("part").isin(NOISY, EDGES, TEXTS) & F.col("mask").isNotNull()).select(*PLACE, "mask", "form")
     running = edges.groupBy("unit", "mask", "form").agg(F.min("page").alias("_first"), F.max("page").alias("_last")).where("_first < _last").select("form").distinct()
     known = write_through(running, "forms")
-    return skew.join(edges, known, ["form"], "left_semi", total).select(PLACE).unionByName(found.where("numbered").select(PLACE))
+    return skew.join(edges, known, ["form"], "left_semi", total).select(PLACE).unionByName(found.where((F.col("part") == NOISY) & F.col("numbered")).select(PLACE))
 
 
 def supported(found: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """The misread tokens (PLACE, at, word; some twice): those that are so by themselves, and those whose restored word makes a known pair."""
-    fixes = found.where("not opening and readable and fixes is not null").select(*PLACE, F.inline("fixes"))
+    fixes = found.where((F.col("part") == NOISY) & F.col("readable") & F.col("fixes").isNotNull()).select(*PLACE, F.inline("fixes"))
     asked = fixes.where(F.size("pairs") > 0).select(*PLACE, "at", "word", F.explode("pairs").alias("hash"))
     backed = skew.join(asked, known_pairs(counts), ["hash"], "left_semi", total)
     return fixes.where(F.size("pairs") == 0).select(*PLACE, "at", "word").unionByName(backed.select(*PLACE, "at", "word"))
@@ -731,11 +766,11 @@ def divided(found: DataFrame, counts: DataFrame, heads: DataFrame, total: int) -
 
     Not so if what follows, on the page or at the top of the next, opens a sentence, or the word is known with its hyphen and
     not without, or, where neither is known, its first part is known to begin words with a hyphen."""
-    each = found.where("size(ahead) > 0").select("opening", F.col("pos").alias("_of"), "unit", "page", F.posexplode("ahead").alias("_k", "_a")).select("opening", "_of", "unit", "page", "_k", "_a.pos", "_a.head")
-    first = each.join(heads.select(SPOT), SPOT, "left_anti").groupBy("opening", "unit", "page", F.col("_of").alias("pos")).agg(F.min_by("head", "_k").alias("_first"))
-    ends = found.where("not opening and readable and tail is not null and not page_no and not numbered").select(*PLACE, "tail", "next").join(heads.select(SPOT), SPOT, "left_anti")
-    ends = ends.join(first.where("not opening").select(*SPOT, "_first"), SPOT, "left")
-    over = found.where("opening").select("unit", "page", "next").distinct().join(first.where("opening").select("unit", "page", "_first"), ["unit", "page"], "left")
+    each = found.where(F.col("part").isin(NOISY, OPENINGS) & (F.size("ahead") > 0)).select("part", F.col("pos").alias("_of"), "unit", "page", F.posexplode("ahead").alias("_k", "_a")).select("part", "_of", "unit", "page", "_k", "_a.pos", "_a.head")
+    first = each.join(heads.select(SPOT), SPOT, "left_anti").groupBy("part", "unit", "page", F.col("_of").alias("pos")).agg(F.min_by("head", "_k").alias("_first"))
+    ends = found.where((F.col("part") == NOISY) & F.col("readable") & F.col("tail").isNotNull() & ~F.col("page_no") & ~F.col("numbered")).select(*PLACE, "tail", "next").join(heads.select(SPOT), SPOT, "left_anti")
+    ends = ends.join(first.where(F.col("part") == NOISY).select(*SPOT, "_first"), SPOT, "left")
+    over = found.where(F.col("part") == OPENINGS).select("unit", "page", "next").distinct().join(first.where(F.col("part") == OPENINGS).select("unit", "page", "_first"), ["unit", "page"], "left")
     over = over.select("unit", (F.col("page") - 1).alias("page"), F.coalesce("_first", "next").alias("_over")).where("_over is not null")
     ends = ends.join(over, ["unit", "page"], "left").withColumn("next", F.coalesce("_first", "next", "_over")).where(F.coalesce("next", F.lit("?")) != "")
     ends = write_through(ends.select(*PLACE, "tail", F.coalesce(F.concat("tail", "next"), "tail").alias("whole"), F.coalesce(F.concat_ws("-", "tail", "next"), "tail").alias("compound")), "ends")
@@ -754,7 +789,7 @@ def noises(found: DataFrame, counts: DataFrame) -> DataFrame:
     """Rows (PLACE, noise) for every noise of every line, some given twice."""
     total = found.count()
     heads = write_through(headers(found, total), "headers")
-    parts = {"misread": supported(found, counts, total).select(PLACE), "header": heads, "page_no": found.where("not opening and page_no").select(PLACE), "hyphen": divided(found, counts, heads, total)}
+    parts = {"misread": supported(found, counts, total).select(PLACE), "header": heads, "page_no": found.where((F.col("part") == NOISY) & F.col("page_no")).select(PLACE), "hyphen": divided(found, counts, heads, total)}
     out = None
     for noise, rows in parts.items():
         rows = rows.withColumn("noise", F.lit(noise))
@@ -772,7 +807,7 @@ def paragraphs(found: DataFrame, counts: DataFrame) -> DataFrame:
     heads = write_through(headers(found, total), "headers")
     hyphen = divided(found, counts, heads, total).distinct().withColumn("_hyphen", F.lit(True))
     fixed = supported(found, counts, total).distinct().groupBy(SPOT).agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("_fixed"))
-    body = found.where("not opening and readable and not page_no and not numbered").select(*PLACE, "head", "tail", "text")
+    body = found.where((F.col("part") != OPENINGS) & F.col("readable") & ~F.col("page_no") & ~F.col("numbered")).select(*PLACE, "head", "tail", "text")
     body = body.join(heads.select(SPOT), SPOT, "left_anti").join(fixed, SPOT, "left").join(hyphen.select(*SPOT, "_hyphen"), SPOT, "left")
     restored = F.array_join(F.transform(F.split(F.trim(F.regexp_replace("text", f"{C.SPACE}+", " ")), " "), lambda t, k: F.coalesce(F.try_element_at("_fixed", k), t)), " ")
     body = body.withColumn("_shown", F.when(F.col("_fixed").isNotNull(), restored).otherwise(F.trim("text")))

@@ -87,16 +87,18 @@ PAGES = [
 LINES = "line_id long, doc_id long, step string, page_no int, line_no int, text string"
 
 
-def found_in(spark, lines, rows=1, whole=False):
+def found_in(spark, lines=None, texts=None, rows=1, whole=False):
     others = spark.createDataFrame([(t,) for t in KNOWN], "text string")
-    return S.read_lines(lines, others, rows, whole)
+    lines = S.page_lines(spark.createDataFrame([], LINES)) if lines is None else lines
+    texts = S.reading_texts(spark.createDataFrame([], "reading_id long, text string")) if texts is None else texts
+    return S.read_lines(lines, texts, others, rows, whole)
 
 
 def test_noise_of_pages(spark):
     data = [(1000 + p * 100 + k, 1, "paddle", p, k, t) for p, page in enumerate(PAGES) for k, t in enumerate(page)]
     lines = S.page_lines(spark.createDataFrame(data + data[:3], LINES))
     for buckets in (1, B.BUCKET_ROWS * 5):
-        got = sorted((r.row_id - 1000, r.noise) for r in S.noises(*found_in(spark, lines, buckets)).distinct().collect())
+        got = sorted((r.row_id - 1000, r.noise) for r in S.noises(*found_in(spark, lines, rows=buckets)).distinct().collect())
         assert got == [(0, "header"), (1, "hyphen"), (3, "hyphen"), (4, "page_no"), (100, "header"), (103, "hyphen"), (103, "misread"), (106, "page_no")]
     text = [(r.page, r.paragraph, r.continues, r.text) for r in S.paragraphs(*found_in(spark, lines, whole=True)).orderBy("page", "paragraph").collect()]
     assert text[0] == (0, 0, False, "O depositário fiel certificou que a habilitação da parte autora e a médica-assistente homologou o contrato de loca")
@@ -108,9 +110,9 @@ def test_readings_and_dirty_rows(spark):
     text = "\n\n".join("\n".join(p) for p in PAGES)
     data = [(1, text), (1, text), (2, None), (3, ""), (4, " \n\n "), (None, text), (5, "o contrato " * 30000)]
     df = spark.createDataFrame(data, "reading_id long, text string")
-    got = S.noises(*found_in(spark, S.reading_lines(df))).select("row_id", "noise").distinct().collect()
+    got = S.noises(*found_in(spark, texts=S.reading_texts(df))).select("row_id", "noise").distinct().collect()
     assert {tuple(r) for r in got} == {(i, n) for i in (1, None) for n in ("header", "hyphen", "page_no", "misread")}
-    assert S.noises(*found_in(spark, S.reading_lines(df.limit(0)))).collect() == []
+    assert S.noises(*found_in(spark, texts=S.reading_texts(df.limit(0)))).collect() == []
     lost = spark.createDataFrame([(k, None, None, None, None, t) for k, t in enumerate([*PAGES[0], None, " "])], LINES)
     assert {r.noise for r in S.noises(*found_in(spark, S.page_lines(lost))).collect()} == {"page_no", "header", "hyphen"}
 
