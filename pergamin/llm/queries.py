@@ -43,8 +43,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _personal(spark: SparkSession, folder: str) -> DataFrame:
     source = texts(spark, folder, "readings", "screenings")
-    words = scanned.totals(scanned.corpus_counts(source.select(F.lit(None).cast("int").alias("bucket"), "text")))
-    return personal.personal_information(source, personal.learn(source, load(spark, folder, "name_hints"), words), "rec")
+    return personal.personal_information(source, load(spark, folder, "name_hints"), "rec")
 
 
 def p2_masked(spark: SparkSession, folder: str) -> DataFrame:

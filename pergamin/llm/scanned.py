@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -154,10 +154,10 @@ class Merged:
 COUNTS = "kind int, bucket int, word string, hash long, n long, small long"
 
 
-def corpus_counts(texts: DataFrame) -> DataFrame:
+def corpus_counts(texts: DataFrame, form: Callable[[str], str] = str) -> DataFrame:
     """Counts over all rows (bucket, text): (kind, bucket, word, hash, n, small); kind 0 words of each bucket with their occurrences
     in small letters, kind 1 hashes of known pairs of neighbouring words of a line. Counted within every task first; rows of a null
-    bucket count, but need no entries."""
+    bucket count, but need no entries. Words are counted in this ``form`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")  # hashes wrap around
@@ -180,7 +180,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                         if raw.strip(BARE_BYTES):
                             t = raw.decode("utf-8", "ignore")
                             w = word_of(t)
-                            number = numbers.setdefault(w, len(numbers)) * 2 + t[:1].islower() if len(w) > 1 and w.isalpha() or correctable(w) else -1
+                            number = numbers.setdefault(form(w), len(numbers)) * 2 + t[:1].islower() if len(w) > 1 and w.isalpha() or correctable(w) else -1
                             entry = number, pair_hash(w)
                         else:
                             entry = -1, bare

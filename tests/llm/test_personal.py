@@ -1,16 +1,15 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from pergamin.llm import personal as P
-from pergamin.llm import scanned
 
 KNOWN = P.Knowledge(
     common=frozenset("o a os as de do da em no na senhora senhor mora reside ouvi ouviu telefone contato documento com por que foi processo protocolo declarou".split()),
     given=frozenset(["deonisia", "quirilo", "valderildo"]),
     family=frozenset(["monvesco", "ferqueto", "jacatibal"]),
-    patterns={("name", "E:queto"): 0.9, ("name", "E:vesco"): 0.9, ("name", "L:a senhora"): 0.9, ("name", "L:segundo"): 0.9, ("phone", "L:telefone :"): 0.9, ("id_number", "L:do cpf"): 0.9},
+    patterns={("name", "E:queto"): 0.9, ("name", "E:vesco"): 0.9, ("name", "L:a senhora"): 0.9, ("name", "L:segundo"): 0.9, ("phone", "L:telefone :"): 0.9, ("id_number", "L:do cpf"): 0.9, ("email", "H:test"): 0.9, ("address", "L:reside na"): 0.9, ("address", "N:, nº "): 0.9},
+    instances={("email", P.PLAIN_EMAIL): 1.0},
     intro=frozenset(["compareceu"]),
 )
 
@@ -29,6 +28,10 @@ KNOWN = P.Knowledge(
         ("Mora na Rua das Três Cancelas, nº 2078, apto 5 - Centro - CEP: 04250-153, Nova Vila/XY. Em", [("address", "Rua das Três Cancelas, nº 2078, apto 5 - Centro - CEP: 04250-153, Nova Vila/XY")]),
         ("na Avenida Treze de Abril, s/n\n- Centro", [("address", "Avenida Treze de Abril, s/n\n- Centro")]),
         ("caminhou pela Rua da Fonte Seca ontem", []),
+        ("Reside na Servidão das Três Cancelas, nº 27 - Centro, Nova Vila/XY. Em", [("address", "Servidão das Três Cancelas, nº 27 - Centro, Nova Vila/XY")]),
+        ("Visitou a Servidão das Três Cancelas, nº 27 - Centro, Nova Vila/XY. Em", []),
+        ("x" * 300 + ".y@mail.test", [("email", "x" * 300 + ".y@mail.test")]),
+        ("na Rua " + "Alta " * 30 + ", nº 5. Fim", [("address", "Rua " + "Alta " * 30 + ", nº 5")]),
         ("A senhora Deonísia X. Monvesco declarou", [("name", "Deonísia X. Monvesco")]),
         ("Compareceu Valderildo Ferqueto de Monvesco, que", [("name", "Valderildo Ferqueto de Monvesco")]),
         ("MONVESCO, Quirilo e VALDERILDO FERQUETO", [("name", "MONVESCO, Quirilo"), ("name", "VALDERILDO FERQUETO")]),
@@ -72,21 +75,39 @@ def corpus():
 def test_bootstrapping_finds_what_no_list_has(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(corpus())], "row_id long, text string")
     hints = spark.createDataFrame([("Deonísia", "given"), ("Quirilo", "given"), ("Monvesco", "family"), ("Ferqueto", "family"), (None, "given")], "name string, kind string")
-    knowledge = P.learn(df, hints, scanned.totals(scanned.corpus_counts(df.select(F.lit(None).cast("int").alias("bucket"), "text"))))
-    assert knowledge.patterns[("name", "L:a testemunha")] > P.CONFIDENT
-    assert ("name", "L:comarca de") not in knowledge.patterns
-    found = {r.row_id: [(f.kind, r.text[f.start_pos : f.end_pos]) for f in r.found] for r in P.personal_information(df, knowledge).join(df, "row_id").collect()}
+    found = {r.row_id: [(f.kind, r.text[f.start_pos : f.end_pos]) for f in r.found] for r in P.personal_information(df, hints).join(df, "row_id").collect()}
     assert all([k for k, _ in f] == ["name", "phone", "id_number"] for f in found.values())
     assert found[0][0] == ("name", "Zeferino Dantas")
 
 
+def test_scores_of_a_small_graph(spark):
+    edges = spark.createDataFrame([("name", "L:a testemunha", "quirilo", 8), ("name", "L:a testemunha", "zeferino", 8), ("name", "L:comarca de", "serra", 9), ("name", "R:declarou", "zeferino", 5)], "kind string, pattern string, instance string, n long")
+    seeds = spark.createDataFrame([("name", "quirilo", 1.0), ("name", "serra", 0.0)], "kind string, instance string, seed double")
+    patterns, instances = P.score(edges, seeds, 6)
+    by = {r.item: r.score for r in patterns.collect()} | {r.item: r.score for r in instances.collect()}
+    assert by["L:a testemunha"] > 0.5 and by["L:comarca de"] == 0 and by["quirilo"] == 1 and by["zeferino"] > 0.5
+
+
+def test_context_cuts_no_token():
+    word = "w" * 500
+    assert P.context(f"primeiro {word} x", len(word) + 10, len(word) + 11)[0] == ["primeiro", word]
+    assert P.context(f"x {word} fim outro", 0, 1)[1] == [word, "fim"]
+
+
+def test_many_hits_in_one_text():
+    """Work in proportion to the text."""
+    text = "ana@mail.test, (90) 92042-5490; " * 20_000
+    assert len(P.find(text, KNOWN)) == 40_000
+
+
 def test_dirty_rows(spark):
     long = "o réu foi ouvido ontem " * 20_000 + "ana@mail.test"
     data = [(1, "ana@mail.test"), (1, "ana@mail.test"), (2, None), (3, ""), (4, " \n"), (None, "(90) 92042-5490"), (5, long), (6, "9" * 50_000), (7, "A" * 50_000), (8, "Aa " * 20_000)]
     rows = spark.createDataFrame([(*d, "x") for d in data], "row_id long, text string, found string")
-    out = P.personal_information(rows, KNOWN).collect()
+    hints = spark.createDataFrame([], "name string, kind string")
+    out = P.personal_information(rows, hints).collect()
     assert len(out) == len(data)
     by = {r.row_id: r for r in out}
     assert by[1].masked == "[EMAIL]" and by[2].masked is None and by[2].found == [] and by[3].masked == "" and by[None].masked == "[PHONE]"
     assert [(f.kind, f.start_pos) for f in by[5].found] == [("email", len(long) - 13)]
-    assert P.personal_information(rows.limit(0), KNOWN).collect() == []
+    assert P.personal_information(rows.limit(0), hints).collect() == []
