@@ -49,8 +49,9 @@ ENTER, ENTER_KNOWN, STAY, LEAVE = -7.5, -2.5, -1.5, -0.3
 ODD_WITHIN, ODD_ELSEWHERE, BLANK, SIGN, SIGN_WITHIN, FOREIGN, WRONG_CASE = -18.0, -7.5, -4.0, -4.5, -14.0, -7.0, -15.0
 # A question mark that is one: before a word, inside or behind one, behind another.
 MARK_BEFORE, MARK_WITHIN, MARK_BEHIND, MARK_AGAIN = -18.0, -12.0, -6.0, -1.0
-#: Longest word labelled as one piece; longer ones are labelled in pieces of this length.
+#: Characters from which on a word is labelled in pieces, each of which ends between plain letters that no sequence joins.
 PIECE = 200
+SAFE = re.compile(r"(?<=[A-Za-z])(?=[A-Za-z])")
 
 INDEX = {c: k + 1 for k, c in enumerate(ALPHABET)} | {c.upper(): k + 1 for k, c in enumerate(ALPHABET)}
 N = len(ALPHABET) + 1
@@ -268,7 +269,18 @@ class Labeller:
         return (fixed, sorted(STATES[s] for s in states), spans) if spans else (text, [], 0)
 
     def _segments(self, word: str, known: frozenset) -> list[tuple[int, str, str]]:
-        return [s for k in range(0, len(word), PIECE) for s in self.label(word[k : k + PIECE], known)]
+        if len(word) <= PIECE:
+            return list(self.label(word, known))
+        escapes = [m.span() for m in UTF7.finditer(word)] if "+" in word else []
+        out, begin = [], 0
+        while begin < len(word):
+            end = len(word)
+            if end - begin > PIECE:
+                place = next((m.start() for m in SAFE.finditer(word, begin + PIECE) if not any(a < m.start() < b for a, b in escapes)), end)
+                end = place
+            out.extend(self.label(word[begin:end], known))
+            begin = end
+        return out
 
     def _states(self, words: set[str], known: frozenset) -> set[int]:
         return {state for w in words for state, _, _ in self._segments(w, known) if state}

@@ -40,13 +40,16 @@ START = 24
 @lru_cache(maxsize=1)
 def mapping() -> tuple[str, str]:
     """Characters and, in the same order, the single characters they look like: the fixed ones, and by rule those that Unicode
-    calls width, font or no-break variants, blanks, and accented forms of the fixed ones."""
+    calls width, font or no-break variants, blanks, characters that are another one by definition (the sign of Kelvin is a K), and
+    accented forms of the fixed ones."""
     table = {}
     for point in [*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800)]:
         c = chr(point)
-        decomposition = unicodedata.decomposition(c)
+        decomposition, composed = unicodedata.decomposition(c), unicodedata.normalize("NFC", c)
         if unicodedata.category(c) == "Zs":
             table[c] = " "
+        elif composed != c and len(composed) == 1:
+            table[c] = LOOK_ALIKE.get(composed, composed)
         elif decomposition.startswith(("<wide>", "<narrow>", "<font>", "<noBreak>")):
             plain = unicodedata.normalize("NFKC", c)
             if len(plain) == 1:
@@ -57,6 +60,7 @@ def mapping() -> tuple[str, str]:
             if letters[0] in LOOK_ALIKE and len(mapped) == 1 and mapped != c:
                 table[c] = mapped
     table |= {c: x for c, x in LOOK_ALIKE.items() if c != x}
+    table = {c: table.get(x, x) for c, x in table.items()}  # of what a character is by definition, what that looks like
     return "".join(table), "".join(table.values())
 
 
@@ -140,7 +144,8 @@ def canonical_forms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_variant", F.md5("_text"))
     variants = rows.where(F.col("_text").isNotNull()).join(mixed, "_block", "left_semi").groupBy("_block", "_variant").agg(F.min("_text").alias("_text"))
     forms = _classes(_narrowed(write_through(variants, "look"), []), []).select("_variant", "_canonical")
-    joined = rows.join(forms, "_variant", "left").withColumn("canonical", F.coalesce("_canonical", "_text"))
+    none = rows.where(F.col("_text").isNull()).withColumn("_canonical", F.col("_text"))  # would be one key
+    joined = rows.where(F.col("_text").isNotNull()).join(forms, "_variant", "left").unionByName(none).withColumn("canonical", F.coalesce("_canonical", "_text"))
     return joined.select(F.col("_id").alias(key), "canonical", F.md5("canonical").alias("look"))
 
 

@@ -1,7 +1,8 @@
 """Problem 7: items of varying length into containers of a fixed capacity.
 
-First-fit decreasing, run independently in randomised groups of rows: every row is hashed by its position in the input, never by
-a key, so no key, however frequent, makes a group larger than another. In a group a tournament tree over the room left in the
+First-fit decreasing, run independently in randomised groups of rows: a row is hashed by its key, its size and its number among
+the rows that are equal to it, so no key, however frequent, makes a group larger than another, and the result depends on
+neither the order nor the partitions of the input. In a group a tournament tree over the room left in the
 containers finds the first container that an item fits into in logarithmic time. Only (key, size) pairs are shuffled, once,
 for all capacities together.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Rows of a group, about; one container of every group stays partly empty, so larger groups waste less and take longer.
 GROUP_ROWS = 20_000
+#: Equal rows numbered at once.
+COPIES = 10_000
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +80,11 @@ def pack(items: DataFrame, targets: list[tuple[int, int]], key: str = "doc_id",
         raise ValueError("a container must hold at least one unit")
     groups = max(1, math.ceil((items.count() if rows is None else rows) / group_rows))
     source = items.select(F.col(key).alias("_key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"))
-    source = source.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("int"))
+    times = source.groupBy("_key", "_size").agg(F.count("*").alias("_times"))
+    blocks = times.select("_key", "_size", "_times", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / COPIES))).alias("_block"))
+    first = F.col("_block") * COPIES
+    source = blocks.select("_key", "_size", F.explode(F.sequence(first, F.least(F.col("_times"), first + COPIES) - 1)).alias("_copy"))
+    source = source.withColumn("_group", F.pmod(F.xxhash64("_key", "_size", "_copy", F.lit(seed)), F.lit(groups)).cast("int"))
     schema = T.StructType(
         [
             T.StructField("target_id", T.IntegerType()),
@@ -90,6 +97,7 @@ def pack(items: DataFrame, targets: list[tuple[int, int]], key: str = "doc_id",
     )
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_key", "ascending"), ("_copy", "ascending"), ("_size", "ascending")])
         keys, sizes = table.column("_key").combine_chunks(), table.column("_size").to_numpy()
         group, parts = table.column("_group")[0].as_py(), []
         for target, capacity in targets:

@@ -212,17 +212,16 @@ def items_of(text: str) -> list[str]:
     # Where a third of the lines have signs of sentences, small letters at the start of a line go on with the line before.
     loose = [line for line in shown if not columns(line) and not MARK.match(line)]
     flows = sum(PUNCTUATED.search(line) is not None for line in loose) * 3 >= len(loose)
-    items, open_ = [], False
+    items = []
     for k, line in enumerate(shown):
         first = line.split(None, 1)[0] if line.split() else ""
         full = len(shown[k - 1]) + 1 + len(first) > width or flows and first[:1].islower() and shown[k - 1][-1] not in ".;:!?"
-        goes_on = open_ and full and not MARK.match(line) and not columns(shown[k - 1]) and not columns(line)
+        goes_on = k > 0 and full and not MARK.match(line) and not columns(shown[k - 1]) and not columns(line)
         if goes_on:
             before = items[-1]
             items[-1] = before[:-1] + line.lstrip() if before[-1] in "-‐‑¬\xad" and first[:1].islower() else f"{before} {line.lstrip()}"
         else:
             items.append(line)
-        open_ = width < 200
     return items
 
 

@@ -4,8 +4,8 @@ A text is a row of words without case, punctuation and spacing. A word counts as
 paragraph already given earlier (a leading counter aside), in a run of eight or more words given earlier, or in a phrase of up to
 seven words that follows itself directly. The shares of these kinds and plain statistics of the text are the features of
 gradient-boosted trees with monotonic constraints (more repetition never lowers the score); they are fitted on documents composed
-of a bounded number of labelled samples with a known amount of copies. The trees pick the candidates, and the share of the
-union of all kinds, by characters, decides. One pass over the texts, nothing is shuffled.
+of a bounded number of labelled samples with copies of every kind and amount. The trees decide what they are sure of; where they are
+not, the share of the union of all kinds, by characters, does. One pass over the texts, nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -26,15 +26,15 @@ from pergamin.llm.arrow_text import code_points, flat_utf8, slices
 
 #: Share of repeated content from which on a document is a case.
 SHARE = 0.3
-#: Score of the trees from which on a document is a candidate; low, as the exact share follows.
-CANDIDATE = 0.02
+#: The trees are sure of scores below this, and above one less this; the exact share decides between.
+UNSURE = 0.1
 #: Words of the runs that are compared, and of the longest phrase that may loop.
 RUN, LOOP = 8, 7
 #: Labelled samples read for the fit at most, and documents composed of them.
 SAMPLE_ROWS, COMPOSED = 1_000, 1_500
 
-FEATURES = ("run_share", "line_share", "sentence_share", "paragraph_share", "loop_share", "distinct_words", "log_words", "number_share")
-CONSTRAINT = [1, 1, 1, 1, 1, -1, 0, 0]
+FEATURES = ("repeated_share", "run_share", "line_share", "sentence_share", "paragraph_share", "loop_share", "distinct_words", "log_words", "number_share")
+CONSTRAINT = [1, 1, 1, 1, 1, 1, -1, 0, 0]
 GAP, WORD, IGNORED = range(3)
 
 
@@ -78,8 +78,8 @@ def seen_before(key: np.ndarray) -> np.ndarray:
     return again
 
 
-def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: the features (rows as in FEATURES) and the share of repeated content."""
+def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The features of each text, as in FEATURES; the first is the share of repeated content."""
     texts = len(offsets) - 1
     points, at = code_points(data)
     kind, fold, small = character_tables()
@@ -94,8 +94,8 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     m = len(first)
     if m == 0:
         features = np.zeros((texts, len(FEATURES)))
-        features[:, 5] = 1
-        return features, np.zeros(texts)
+        features[:, 6] = 1
+        return features
     letters = np.append(0, np.cumsum(inside))
     size = np.diff(np.append(letters[first], letters[n]))
     packed = np.ascontiguousarray(fold[points[inside]])
@@ -158,10 +158,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     part = lambda mask: np.bincount(own, weight * mask, texts) / np.maximum(total, 1)
     count = np.bincount(own, minlength=texts)
     distinct = np.bincount(own, ~seen_before(hashed ^ text_key), texts)
-    features = np.stack(
-        [part(by_run), part(by_line), part(by_sentence), part(by_paragraph), part(by_loop), np.where(count > 0, distinct / np.maximum(count, 1), 1), np.log1p(count), np.bincount(own, number, texts) / np.maximum(count, 1)], 1
+    return np.stack(
+        [part(by_run | by_line | by_sentence | by_paragraph | by_loop), part(by_run), part(by_line), part(by_sentence), part(by_paragraph), part(by_loop), np.where(count > 0, distinct / np.maximum(count, 1), 1), np.log1p(count), np.bincount(own, number, texts) / np.maximum(count, 1)], 1
     )
-    return features, part(by_run | by_line | by_sentence | by_paragraph | by_loop)
 
 
 def blank_of(points: np.ndarray) -> np.ndarray:
@@ -205,33 +204,33 @@ def compose(texts: list[str], documents: int = COMPOSED, seed: int = 11) -> tupl
 def train(samples: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> boost.Forest:
     """The trees, fitted on documents composed of at most ``rows`` of the samples, chosen by a hash of the text."""
     texts = [r[0] for r in samples.select(text).where(F.col(text).isNotNull()).orderBy(F.xxhash64(text), text).limit(rows).collect()]
-    documents, share = compose(texts)
+    documents, _ = compose(texts)
     data, offsets = flat_utf8(pa.array(documents, pa.string()))
-    features = np.concatenate([measure(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0] for a, b in slices(offsets)])
-    return boost.fit(features, share >= SHARE, CONSTRAINT)
+    features = np.concatenate([measure(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)])
+    return boost.fit(features, features[:, 0] >= SHARE, CONSTRAINT)
 
 
 def repeated_content(df: DataFrame, forest: boost.Forest, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for every row of ``df``: key, the features, ``score`` of the trees, and ``repeated_share``.
+    """One row for every row of ``df``: key, the features and the ``score`` of the trees.
 
     A null, empty or blank text and one without any word have share 0 and ``distinct_words`` 1. Whole texts are measured,
     whatever their length. Null keys and repeated rows are kept as they are; other columns are not carried.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    names = [key, *FEATURES, "score", "repeated_share"]
+    names = [key, *FEATURES, "score"]
     schema = T.StructType([T.StructField(key, rows.schema["_key"].dataType), *(T.StructField(c, T.DoubleType()) for c in names[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat_utf8(batch.column(1))
             for a, b in slices(offsets):
-                features, share = measure(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                columns = [*features.T, forest.score(features), share]
+                features = measure(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                columns = [*features.T, forest.score(features)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
 def found(measured: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Keys of the documents that the trees take for candidates and whose share reaches SHARE, each once."""
-    return measured.where((F.col("score") >= CANDIDATE) & (F.col("repeated_share") >= SHARE)).select(key).distinct()
+    """Keys of the documents that the trees are sure of, and of those they are not sure of whose share reaches SHARE, each once."""
+    return measured.where((F.col("score") > 1 - UNSURE) | (F.col("score") >= UNSURE) & (F.col("repeated_share") >= SHARE)).select(key).distinct()

@@ -79,3 +79,10 @@ def test_operator_on_dirty_rows(spark, model):
     kept = {r.row_id: r.restored for r in out.collect()}
     assert kept[1] == "o síndico" and kept[2] is None and kept[3] == "" and kept[None] == "sim" and kept[5] == long
     assert E.repair_encoding(rows.limit(0), E.letter_statistics(rows.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("shift", range(6))
+def test_long_words_are_never_cut_within_a_sequence(model, shift):
+    labeller = E.Labeller(model)
+    word = "x" * (E.PIECE - 3 + shift) + "iniciaÃ§Ã£o"
+    assert labeller.repair(word)[0] == word.replace("Ã§Ã£", "çã")

@@ -98,3 +98,9 @@ def test_pack_keeps_every_item_once_in_groups(spark):
     assert pack.pack(rows.limit(0), [(1, 5)]).collect() == []
     with pytest.raises(ValueError):
         pack.pack(rows, [(1, 0)])
+
+
+def test_pack_does_not_depend_on_order_or_partitions(spark):
+    rows = spark.createDataFrame([(None if i % 3 == 0 else i % 40, i % 7) for i in range(900)], "doc_id long, n_tokens long")
+    once = sorted(map(str, pack.pack(rows, [(1, 50)], group_rows=200).collect()))
+    assert once == sorted(map(str, pack.pack(rows.orderBy("n_tokens").repartition(7), [(1, 50)], group_rows=200).collect()))
