@@ -1,7 +1,7 @@
 """Patterns, word lists and thresholds, in the dialect that Java and RE2 share wherever a meaning can be given in both.
 
-Python's classes are written out: ``WORD`` for its word characters, ``SPACE`` for its white space. A pattern pack (TOML) may
-override any entry; see ``pergamin.sources.packs``.
+Python's classes are written out: ``WORD`` for its word characters, ``SPACE`` for its white space. Case is that of Unicode: Java
+needs ``(?iu)`` for it, RE2 ``(?i)``. A pattern pack (TOML) may override entries; see ``pergamin.sources.packs``.
 """
 
 from __future__ import annotations
@@ -65,20 +65,20 @@ JUNK_CHARACTER = rf"[^\p{{L}}\p{{N}}_{SPACE_SET}.,;:!?()/%$°ºª\-]"
 CAPS_TITLE = rf"\A[A-ZÀ-Þ0-9ºª.{SPACE_SET}/\-]+\z"
 FOREIGN_SCRIPT = r"[\x{3000}-\x{303f}\x{3040}-\x{30ff}\x{3100}-\x{312f}\x{3130}-\x{318f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]"
 REFERENCE_LINE = rf"\A[{SPACE_SET}0-9.\-/:ºªnN°ºfFlsLS$R,]+\z"
-DATE_LINE = rf"(?i)[0-9]{{1,2}}[/.\-{SPACE_SET}]+(?:de{SPACE}+)?[\p{{L}}\p{{N}}_]+[/.\-{SPACE_SET}]+(?:de{SPACE}+)?[0-9]{{2,4}}"
-ANCHOR_LINE = rf"(?i)@|https?://|www\.|e-?mail|endere[çc]o|{EDGE}(?:CEP|fone|tel|rua|av|pra[çc]a){EDGE}|[0-9]{{2,3}}\.[0-9]{{3}}-[0-9]{{3}}|\([0-9]{{2}}\){SPACE}?[0-9]"
-JOB_TITLE = rf"(?i)ju[íi1l]z|escriv|tabeli|procurad|promotor|of[íi1]cial|advogad|chefe{SPACE}+de{SPACE}+cart|diretor|delegad|anal[íi]sta|assessor|secret[áa]ri|defensor|perito|de{SPACE}+direito|de{SPACE}+justi[çc]a"
+DATE_LINE = rf"(?iu)[0-9]{{1,2}}[/.\-{SPACE_SET}]+(?:de{SPACE}+)?[\p{{L}}\p{{N}}_]+[/.\-{SPACE_SET}]+(?:de{SPACE}+)?[0-9]{{2,4}}"
+ANCHOR_LINE = rf"(?iu)@|https?://|www\.|e-?mail|endere[çc]o|{EDGE}(?:CEP|fone|tel|rua|av|pra[çc]a){EDGE}|[0-9]{{2,3}}\.[0-9]{{3}}-[0-9]{{3}}|\([0-9]{{2}}\){SPACE}?[0-9]"
+JOB_TITLE = rf"(?iu)ju[íi1l]z|escriv|tabeli|procurad|promotor|of[íi1]cial|advogad|chefe{SPACE}+de{SPACE}+cart|diretor|delegad|anal[íi]sta|assessor|secret[áa]ri|defensor|perito|de{SPACE}+direito|de{SPACE}+justi[çc]a"
 CAPS_NAME = rf"\A(?:(?:[A-ZÀ-Þ][a-zà-þ']+|[A-ZÀ-Þ]{{2,}}|d[aeo]s?|e)\.?{SPACE}+){{1,3}}(?:[A-ZÀ-Þ][a-zà-þ']+|[A-ZÀ-Þ]{{2,}}|d[aeo]s?|e)\.?\z"
 STAMP_KEYWORDS = (
-    rf"(?i)selo{SPACE}+de{SPACE}+autentic|autenticidade|conf[ei]re{SPACE}+com|confer[êe]ncia|{EDGE}ICP[- ]?Brasil|verifica[çc][ãa]o|protocol|reconhe[çc]o|{EDGE}DJE?{EDGE}|tabeli(?:on|ão)"
+    rf"(?iu)selo{SPACE}+de{SPACE}+autentic|autenticidade|conf[ei]re{SPACE}+com|confer[êe]ncia|{EDGE}ICP[- ]?Brasil|verifica[çc][ãa]o|protocol|reconhe[çc]o|{EDGE}DJE?{EDGE}|tabeli(?:on|ão)"
     rf"|{EDGE}fé{SPACE}+p[úu]blic|junta{SPACE}+comercial|corregedor|minist[ée]rio{SPACE}+p[úu]blic|poder{SPACE}+judici|rep[úu]blica{SPACE}+federativa|tribunal|entregue|recebi(?:do)?{SPACE}+em|prenota[çc]"
 )
 
 # Marks of tables and seals.
-AMOUNT_MARK = rf"(?i)R\$|%|\bUFIR\b|\bR{SPACE}*\$"
+AMOUNT_MARK = rf"(?iu)R\$|%|\bUFIR\b|\bR{SPACE}*\$"
 RULE_MARK = rf"[.\-_·—]{{4,}}|[+|]{{2,}}|-{SPACE}-{SPACE}-|\|.*\|"
 SEAL = (
-    rf"(?i)assinad[oa]{SPACE}+digitalmente|c[óo]digo{SPACE}+de{SPACE}+verifica[çc][ãa]o|liberado{SPACE}+nos{SPACE}+autos{SPACE}+digitais|conferir{SPACE}+o{SPACE}+original|docdigital|pastadigital|esaj"
+    rf"(?iu)assinad[oa]{SPACE}+digitalmente|c[óo]digo{SPACE}+de{SPACE}+verifica[çc][ãa]o|liberado{SPACE}+nos{SPACE}+autos{SPACE}+digitais|conferir{SPACE}+o{SPACE}+original|docdigital|pastadigital|esaj"
 )
 
 # The printed background of identity cards and vehicle papers, upper case without accents.
@@ -98,20 +98,25 @@ PERSONAL_LABEL = "documentos pessoais"
 ABBREVIATION = (
     r"(?iu)(?:(?U)\b(?:n|n[ºo]|art|arts|fls?|pág|p|inc|par|§|Sr|Sra|Srs|Dr|Dra|Drs|Exm[oa]|Ilm[oa]|Av|R|Rua|Al|Pça|Cia|Ltda|S\.?A|Jr|Proc|Cod|Cód|Est|Mun|Cap|Vol|Ed|Obs|Ref|Cf|Op|cit|etc|ap|apto|bl|qd|lt)\.\s*$)|(?:\b[A-ZÀ-Ö]\.\s*$)"
 )
-PAGE_NUMBER_ONLY = rf"(?i)\A{SPACE}*(?:fls?\.?{SPACE}*[0-9]+|[0-9]{{1,3}}|p[áa]g(?:ina)?\.?{SPACE}*[0-9]+){SPACE}*\z"
+PAGE_NUMBER_ONLY = rf"(?iu)\A{SPACE}*(?:fls?\.?{SPACE}*[0-9]+|[0-9]{{1,3}}|p[áa]g(?:ina)?\.?{SPACE}*[0-9]+){SPACE}*\z"
 ENCLITIC = r"(?iu)\A(?:l[oa]s?|lhes?|n[oa]s?|m[eo]|te|se|v[oo]s|[oa]s?)(?U)\b"
-WRONG_CURRENCY = r"(?i)(?<![A-Za-zÀ-ÿ0-9])(?:RS|R2|E\$|8\$|SR\$|3R\$|H\$|RE)\s*(?=[0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2}(?![0-9]))"
+WRONG_CURRENCY = r"(?iu)(?<![A-Za-zÀ-ÿ0-9])(?:RS|R2|E\$|8\$|SR\$|3R\$|H\$|RE)\s*(?=[0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2}(?![0-9]))"
 ENGLISH_THOUSANDS = r"\b[0-9]{1,3}(?:,[0-9]{3})+[.,][0-9]{2}\b"
-DELIMITED = rf"(?is)==={SPACE}*INICIO DA TRANSCRICAO{SPACE}*==={SPACE}*(.*?)(?:==={SPACE}*FIM DA TRANSCRICAO{SPACE}*===|\z)"
+# A model's answer around its transcription, and marks of images in converted documents.
+MD_FENCE = rf"\A{SPACE}*```[a-zA-Z]*{SPACE}*\n|\n{SPACE}*```{SPACE}*\z"
+AFTER_THINK = rf"(?ius)\A.*?</think>{SPACE}*"
+IMAGE_MARK = r"!\[[^\]]*\]\([^)]*\)|<!--[^>]*-->"
+DELIMITED = rf"(?ius)==={SPACE}*INICIO DA TRANSCRICAO{SPACE}*==={SPACE}*(.*?)(?:==={SPACE}*FIM DA TRANSCRICAO{SPACE}*===|\z)"
 LEADING_META = (
-    rf"(?i)\A{SPACE}*(?:(?:O{SPACE}+usu[áa]rio|A{SPACE}+imagem|Vou{SPACE}+|Segue{SPACE}+|Aqui{SPACE}+est[áa]|Estrutura{SPACE}+identificada|Elementos{SPACE}+identificados"
+    rf"(?iu)\A{SPACE}*(?:(?:O{SPACE}+usu[áa]rio|A{SPACE}+imagem|Vou{SPACE}+|Segue{SPACE}+|Aqui{SPACE}+est[áa]|Estrutura{SPACE}+identificada|Elementos{SPACE}+identificados"
     rf"|Transcri[çc][ãa]o{SPACE}+(?:fiel|do|da)|The{SPACE}+user|The{SPACE}+image|Here{SPACE}+is)[^\n]*\n+)+"
 )
 
 
+# The limits of the gates.
 @dataclass(frozen=True)
 class Thresholds:
-    """Every limit of the gates in one place; the defaults are fixed values."""
+    """Every limit of the gates in one place, and which gates are on."""
 
     min_useful_words: int = 12
     min_chars_per_page: int = 200
@@ -128,3 +133,9 @@ class Thresholds:
     max_targets: int = 10
     min_reread_gain: float = 0.08
     max_pages: int = 64
+    max_witness_pages: int = 3
+    agreement: bool = True
+    consensus: bool = True
+    vetoes: bool = True
+    replacement: bool = True
+    rebuild_prose: bool = True

@@ -14,8 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Levels of envelopes opened at most, members looked at, and bytes a member may produce.
-LEVELS, MEMBERS, MEMBER_BYTES = 5, 32, 64 * 1024 * 1024
+# Levels of envelopes, members of an archive and bytes of a member; what has more is refused with a reason.
+LEVELS, MEMBERS, MEMBER_BYTES, ARCHIVE_START = 5, 32, 64 * 1024 * 1024, 64
+SIGNED_DATA = bytes.fromhex("2a864886f70d010702")
 
 
 def detect(content: Column) -> Column:
@@ -48,16 +49,21 @@ RTF = re.compile(r"\\([a-z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])
 
 
 def rtf_text(content: bytes) -> str:
-    """Text of a rich text file: groups are a stack, so unbalanced braces close what they can and nothing more."""
+    """Text of a rich text file. Groups are a stack. A brace that would close the root before its time is left out, and then what
+    follows the end of the root is cut; behind a brace that closes nothing stands no text."""
     out: list[str] = []
     stack: list[tuple[bool, int]] = []
     hidden, skip, replaced = False, 0, 1
-    for m in RTF.finditer(content.decode("cp1252", "replace")):
+    source = content.decode("cp1252", "replace")
+    root = root_close(source)
+    early = early_closes(source, root)
+    for m in RTF.finditer(source, 0, root if early else len(source)):
         word, number, code, sign, brace, text = m.groups()
         if brace == "{":
             stack.append((hidden, replaced))
         elif brace == "}":
-            hidden, replaced = stack.pop() if stack else (False, 1)
+            if m.start() not in early:
+                hidden, replaced = stack.pop() if stack else (True, 0)
         elif sign == "*":
             hidden = True
         elif word in HIDDEN:
@@ -82,13 +88,39 @@ def rtf_text(content: bytes) -> str:
     return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip()
 
 
+def root_close(source: str) -> int:
+    """Where the root group ends: at the first unescaped closing brace behind which no control word stands, else the last one."""
+    braces = [m.start() for m in re.finditer(r"\\.|([}])", source, re.S) if m.group(1)]
+    if not braces:
+        return len(source)
+    words = [m.start() for m in re.finditer(r"\\(?:[a-z]+|.)", source, re.S) if m.group()[1].isalpha()]
+    last = words[-1] if words else -1
+    return next((b for b in braces if b > last), braces[-1])
+
+
+def early_closes(source: str, root: int) -> set[int]:
+    """The closing braces before ``root`` that no group but the root is open for."""
+    depth, found = 0, set()
+    for m in re.finditer(r"\\.|([{}])", source[:root], re.S):
+        if m.group(1) == "{":
+            depth += 1
+        elif m.group(1) and depth <= 1:
+            found.add(m.start())
+        elif m.group(1):
+            depth -= 1
+    return found
+
+
 def bry_document(content: bytes) -> bytes:
-    """The largest member of the archive that begins within the first 64 bytes; time stamps are no document."""
-    at = content[:68].find(b"PK\x03\x04")
+    """The largest member of the archive that begins within the first 64 bytes; time stamps are no document. An archive of too
+    many members is refused: the largest of some would look like the document."""
+    at = content.find(b"PK\x03\x04", 0, ARCHIVE_START)
     if at < 0:
         raise ValueError("no archive in the envelope")
     with zipfile.ZipFile(io.BytesIO(content[at:])) as archive:
-        members = [m for m in archive.infolist()[:MEMBERS] if not m.is_dir() and not m.filename.lower().endswith(".tsr") and m.file_size > 0]
+        if len(archive.infolist()) > MEMBERS:
+            raise ValueError(f"an archive of {len(archive.infolist())} members, above {MEMBERS}")
+        members = [m for m in archive.infolist() if not m.is_dir() and not m.filename.lower().endswith(".tsr") and m.file_size > 0]
         if not members:
             raise ValueError("the archive holds no document")
         with archive.open(max(members, key=lambda m: m.file_size)) as member:
@@ -114,7 +146,9 @@ def der(content: bytes, at: int) -> tuple[int, int, int]:
 def signed_content(content: bytes) -> bytes:
     """What a signed message signs; the signature is not checked."""
     _, at, _ = der(content, 0)  # ContentInfo
-    _, _, at = der(content, at)  # its type
+    _, first, at = der(content, at)  # its type
+    if content[first:at] != SIGNED_DATA:
+        raise ValueError("no signed data")
     _, at, _ = der(content, at)  # [0]
     _, at, _ = der(content, at)  # SignedData
     for _ in range(2):  # version, digest algorithms
@@ -165,7 +199,37 @@ def unwrap(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([unwrapped(None if c is None else bytes(c)) for c in content], columns=["file_format", "text", "content", "reason"])
 
 
+# Markers of a JPEG image behind which its size stands, and those without a length.
+FRAME = frozenset((*range(0xC0, 0xC4), *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)))
+NO_LENGTH = frozenset((0x01, *range(0xD0, 0xD9)))
+
+
 def png_size(image: Column) -> Column:
     """Width and height of a PNG image by its header; null for anything else."""
     side = lambda at: F.conv(F.hex(F.substring(image, at, 4)), 16, 10).cast("int")
     return F.when(F.hex(F.substring(image, 1, 8)) == "89504E470D0A1A0A", F.struct(side(17).alias("width"), side(21).alias("height")))
+
+
+def jpeg_dimensions(image: bytes) -> tuple[int, int] | None:
+    """By the first frame header; segments are passed by their length, pixels are not read."""
+    if image[:2] != b"\xff\xd8":
+        return None
+    at = 2
+    while at + 9 <= len(image):
+        if image[at] != 0xFF or image[at + 1] in (0x00, 0xFF):
+            at += 1
+        elif image[at + 1] in FRAME:
+            return int.from_bytes(image[at + 7 : at + 9]), int.from_bytes(image[at + 5 : at + 7])
+        else:
+            at += 2 if image[at + 1] in NO_LENGTH else 2 + int.from_bytes(image[at + 2 : at + 4])
+    return None
+
+
+SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
+
+
+@F.pandas_udf(SIZE)
+def jpeg_size(image: pd.Series) -> pd.DataFrame:
+    """Width and height of a JPEG image by its header; null for anything else."""
+    found = [(None if c is None else jpeg_dimensions(bytes(c))) or (None, None) for c in image]
+    return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")

@@ -142,7 +142,7 @@ def with_structure_score(df: DataFrame) -> DataFrame:
 
 def strip_stamp(text: Column, patterns: tuple[str, ...] = C.STAMP) -> Column:
     """The text without the conformity stamp, blanks collapsed."""
-    return strip(F.regexp_replace(F.regexp_replace(text, f"(?is){'|'.join(patterns)}", " "), f"{C.SPACE}{{2,}}", " "))
+    return strip(F.regexp_replace(F.regexp_replace(text, f"(?ius){'|'.join(patterns)}", " "), f"{C.SPACE}{{2,}}", " "))
 
 
 def useful_words(text: Column, patterns: tuple[str, ...] = C.STAMP) -> Column:
@@ -155,7 +155,7 @@ def vocabulary(text: Column, patterns: tuple[str, ...] = C.STAMP) -> Column:
 
 def real_content(text: Column) -> Column:
     """What is left beside the marks of unread passages."""
-    return strip(F.regexp_replace(F.regexp_replace(text, f"(?i){C.UNREAD}", " "), f"{C.SPACE}+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(text, f"(?iu){C.UNREAD}", " "), f"{C.SPACE}+", " "))
 
 
 def marker_fraction(text: Column) -> Column:

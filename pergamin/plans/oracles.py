@@ -18,7 +18,7 @@ def quoted(text: str) -> str:
 
 
 def pattern(regex: str) -> str:
-    return quoted(regex.replace("}+", "}"))
+    return quoted(regex.replace("}+", "}").replace("(?iu", "(?i"))
 
 
 def removed(text: str, regex: str) -> str:

@@ -119,14 +119,103 @@ def tlv(tag, *parts):
 
 def test_envelopes(spark):
     rich = rb"{\rtf1{\fonttbl{\f0 Arial;}}Peti\'e7\'e3o \u231?\par{\b negrito} \{x\}}"
-    signed = tlv(0x30, tlv(6, b"\x2a"), tlv(0xA0, tlv(0x30, tlv(2, b"\1"), tlv(0x31), tlv(0x30, tlv(6, b"\x2a"), tlv(0xA0, tlv(4, rich + b" " * 200))))))
+    signed = tlv(0x30, tlv(6, formats.SIGNED_DATA), tlv(0xA0, tlv(0x30, tlv(2, b"\1"), tlv(0x31), tlv(0x30, tlv(6, b"\x2a"), tlv(0xA0, tlv(4, rich + b" " * 200))))))
     files = [rich, zipped("d.rtf", rich), signed, b"%PDF-1.4 x", b"", None, b"BRyPDDE\0 nothing", b"\x30\x82\xff", rb"{\rtf1 a}}} b", b"plain"]
     df = spark.createDataFrame([(k, None if f is None else bytearray(f)) for k, f in enumerate(files)], "id int, content binary")
     out = [r for r in df.select("id", formats.detect(F.col("content")).alias("seen"), formats.unwrap("content").alias("u")).orderBy("id").collect()]
     assert [r.seen for r in out] == ["rtf", "bry", "pkcs7", "pdf", "unknown", None, "bry", "pkcs7", "rtf", "unknown"]
     assert [r.u.text for r in out][:3] == ["Petição ç\nnegrito {x}"] * 3
     assert out[3].u.content == b"%PDF-1.4 x" and out[5].u.reason is None
-    assert out[6].u.reason and out[7].u.reason and out[8].u.text.startswith("a")
+    assert out[6].u.reason and out[7].u.reason and out[8].u.text == "a"
+
+
+def test_envelopes_that_are_refused():
+    import io
+    import zipfile
+
+    def envelope(members, lead=9):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for k in range(members):
+                z.writestr(f"{k}.rtf", rb"{\rtf1 texto}" + b" " * k)
+        return b"BRyPDDE".ljust(lead, b"\0") + out.getvalue()
+
+    assert formats.unwrapped(envelope(32))[1] == "texto" and "33 members" in formats.unwrapped(envelope(33))[3] and "500 members" in formats.unwrapped(envelope(500))[3]
+    assert formats.unwrapped(envelope(1, 60))[1] == "texto" and formats.unwrapped(envelope(1, 61))[3]
+    other = tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d010701")), tlv(0xA0, tlv(4, b"texto" + b" " * 200)))
+    assert formats.unwrapped(other)[3] == "pkcs7: no signed data"
+    assert formats.rtf_text(rb"{\rtf1 a} b\par c} d} e") == "a b\nc" and formats.rtf_text(rb"{\rtf1 a{\b c} d}") == "ac d"
+
+
+def test_jpeg_header(spark):
+    start, jfif = b"\xff\xd8", b"\xff\xe0\0\x04ab"
+    frame = b"\xff\xc2\0\x11\x08" + (480).to_bytes(2) + (640).to_bytes(2) + b"\x03" * 9
+    assert formats.jpeg_dimensions(start + jfif + frame) == (640, 480) and formats.jpeg_dimensions(start + b"\xff" * 5 + frame) == (640, 480)
+    assert formats.jpeg_dimensions(b"x") is None and formats.jpeg_dimensions(start + jfif) is None and formats.jpeg_dimensions(b"") is None
+    df = spark.createDataFrame([(bytearray(start + frame),), (None,), (bytearray(b"x"),)], "image binary")
+    assert [tuple(r.s) for r in df.select(formats.jpeg_size("image").alias("s")).collect()] == [(640, 480), (None, None), (None, None)]
+
+
+CASES = (
+    (X.strip_stamp, "a ESTE DOCUMENTO É CÓPIA DO ORIGINAL, CÓDIGO ABC123\nb", "a b"), (X.strip_stamp, "a CÓDIGO DE VERIFICAÇÃO 99\nb", "a b"), (X.real_content, "a [ilegível] [brasÃo] [NÃO identificado] b", "a b"),
+    (lambda t: t.rlike(C.ANCHOR_LINE), "ENDEREÇO DA PARTE", True), (lambda t: t.rlike(C.JOB_TITLE), "A SECRETÁRIA", True), (lambda t: t.rlike(C.STAMP_KEYWORDS), "VERIFICAÇÃO", True), (lambda t: t.rlike(C.SEAL), "CÓDIGO DE VERIFICAÇÃO", True),
+    (lambda t: t.rlike(C.DATE_LINE), "12 DE MARÇO DE 2020", True), (lambda t: t.rlike(C.PAGE_NUMBER_ONLY), "PÁGINA 3", True), (lambda t: t.rlike(C.LEADING_META), "TRANSCRIÇÃO FIEL\n", True), (X.domain_hits, "A SENTENÇA E O ACÓRDÃO", 2),
+    (prose.normalize, "corpo\nCÓDIGO DE VERIFICAÇÃO 12", "corpo\n\n[digital conformity stamp]\nCÓDIGO DE VERIFICAÇÃO 12"), (prose.normalize, "a\tb  c", "a\tb c"),
+    (prose.rebuild, "1)\nTexto da frase\ncontinua aqui", "1) Texto da frase\ncontinua aqui"), (prose.rebuild, "1)\n2)\n3)\n4)\ntexto\nfim", "1) 2)\n3) 4)\ntexto fim"), (prose.rebuild, "x\n1)\nTexto\nfim", "x 1) Texto fim"),
+    (prose.clean_response, "<think>a</THINK> um </think> dois", "um </think> dois"), (prose.clean_response, "```text\nA\n```", "A"), (prose.clean_response, "```A```", "```A```"),
+    (prose.response_blocks, "=== INICIO DA TRANSCRICAO ===\nA\n=== FIM DA TRANSCRICAO ===\n=== inicio da transcricao ===\nB", ["A", "B"]), (prose.response_blocks, "só isto", ["só isto"]), (prose.response_blocks, "", []),
+    (prose.without_images, " ![x](y.png) a <!-- image --> ", "a"), (prose.converted_is_empty, "![x](y.png)", True),
+)
+
+
+def test_capitals_with_accents_and_ordered_rules(spark):
+    df = spark.createDataFrame([tuple(t for _, t, _ in CASES)], ", ".join(f"c{k} string" for k in range(len(CASES))))
+    got = df.select(*(f(F.col(f"c{k}")).alias(f"r{k}") for k, (f, _, _) in enumerate(CASES))).first()
+    for k, (_, text, expected) in enumerate(CASES):
+        assert got[k] == expected, text
+
+
+def plain_rebuild(text, how):
+    """The fold over lines by its definition; ``how`` says how two pieces are joined."""
+    out = []
+    for raw in text.split("\n"):
+        line = raw.rstrip()
+        if re.match(r"\s*(?:fls?\.?\s*[0-9]+|[0-9]{1,3}|p[áa]g(?:ina)?\.?\s*[0-9]+)\s*\Z", line, re.I):
+            continue
+        kind = how(out[-1], line) if out and out[-1] and line else "keep"
+        if kind == "keep":
+            out.append(line)
+        else:
+            out[-1] = (out[-1].rstrip()[: -1 if kind == "unhyphen" else None]) + (" " if kind == "space" else "") + line.lstrip()
+    return "\n".join(out)
+
+
+def test_rebuild_equals_the_fold(spark):
+    """Against the fold line by line, with the rules asked one pair at a time."""
+    import random
+
+    rng = random.Random(5)
+    pool = ["1)", "2)", "-", "- item", "#", "texto da frase", "Outra frase.", "consti-", "tuição", "12/", "345 v", "", "12", "TÍTULO DA PEÇA", "Dr.", "> cita", ">", "mantê-", "los"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    asked: dict[tuple[str, str], str] = {}
+
+    def known(a, b):
+        if (a, b) not in asked:
+            missing.add((a, b))
+            return "keep"
+        return asked[a, b]
+
+    while True:
+        missing = set()
+        expected = [plain_rebuild(t, known) for t in texts]
+        if not missing:
+            break
+        pairs = sorted(missing)
+        answers = spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(prose.join(F.col("a"), F.col("b")).alias("j")).collect()
+        asked |= {p: r.j for p, r in zip(pairs, answers)}
+    got = [r.x for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", prose.rebuild(F.col("t")).alias("x")).orderBy("k").collect()]
+    for t, g, e in zip(texts, got, expected):
+        assert g == e, t
 
 
 def test_image_header(spark):
