@@ -105,7 +105,7 @@ ENGLISH_THOUSANDS = r"\b[0-9]{1,3}(?:,[0-9]{3})+[.,][0-9]{2}\b"
 # A model's answer around its transcription, and marks of images in converted documents.
 MD_FENCE = rf"\A{SPACE}*```[a-zA-Z]*{SPACE}*\n|\n{SPACE}*```{SPACE}*\z"
 AFTER_THINK = rf"(?ius)\A.*?</think>{SPACE}*"
-IMAGE_MARK = r"!\[[^\]]*\]\([^)]*\)|<!--[^>]*-->"
+IMAGE_MARK = rf"(?iu)<!--{SPACE}*image{SPACE}*-->"
 DELIMITED = rf"(?ius)==={SPACE}*INICIO DA TRANSCRICAO{SPACE}*==={SPACE}*(.*?)(?:==={SPACE}*FIM DA TRANSCRICAO{SPACE}*===|\z)"
 LEADING_META = (
     rf"(?iu)\A{SPACE}*(?:(?:O{SPACE}+usu[áa]rio|A{SPACE}+imagem|Vou{SPACE}+|Segue{SPACE}+|Aqui{SPACE}+est[áa]|Estrutura{SPACE}+identificada|Elementos{SPACE}+identificados"

@@ -85,7 +85,8 @@ def rtf_text(content: bytes) -> str:
         elif text and not hidden:
             out.append(text[skip:])
             skip = max(0, skip - len(text))
-    return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip()
+    text = "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # characters written as two halves
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
 def root_close(source: str) -> int:

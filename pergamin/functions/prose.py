@@ -107,10 +107,10 @@ def response_blocks(text: Column) -> Column:
 
 
 def without_images(text: Column) -> Column:
-    """Converted text without the marks of its images, stripped."""
-    return X.strip(F.regexp_replace(text, C.IMAGE_MARK, ""))
+    """Converted text without the marks of its images, at most one empty line in a row."""
+    return F.regexp_replace(F.regexp_replace(text, C.IMAGE_MARK, ""), r"\n{3,}", "\n\n")
 
 
 def converted_is_empty(text: Column, least: int = 40) -> Column:
     """Whether converted text holds next to nothing but marks of images."""
-    return F.length(F.coalesce(without_images(text), F.lit(""))) < least
+    return F.length(X.strip(F.coalesce(without_images(text), F.lit("")))) < least

@@ -133,6 +133,32 @@ def with_score(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("_raw", raw).withColumn("score", F.round("_raw", 4)).withColumn("label", F.when(F.col("_raw").isNotNull(), label(F.col("_raw")))).drop("_raw")
 
 
+#: What each step of the score means, in the order of the deltas.
+FORM_REASONS = (("odd_chars", (0.15, "many odd characters"), (0.05, "some odd characters")), ("short_lines", (0.60, "mostly short lines"), (0.40, "many short lines")), ("single_chars", (0.20, "many words of one character"), (0.10, "some words of one character")))
+READING_REASONS = (("glyph_index", (0.30, "glyph indices instead of text"), (0.10, "passages of glyph indices")), ("control_chars", (0.05, "control characters")))
+
+
+def score_reasons(text: Column, structure: bool = False) -> Column:
+    """Why a frame with METRICS scores as it does: one phrase for every step taken, in order. ``structure``: of the structure
+    score, which looks at chars_per_page, empty_pages and fragmentation as well."""
+    c = F.col
+
+    def above(name: str, *steps: tuple[float, str]) -> Column:
+        chosen = F.lit(None).cast("string")
+        for limit, why in reversed(steps):
+            chosen = F.when(c(name) > limit, F.lit(why)).otherwise(chosen)
+        return chosen
+
+    few = F.when(c("latin_words") >= 15, F.when(c("stopwords") < 0.02, "no function words").when(c("stopwords") < 0.08, "few function words"))
+    reasons = [*(above(n, *s) for n, *s in FORM_REASONS), *(above(n, *s) for n, *s in READING_REASONS), few]
+    domain = F.when(c("domain") < 0.03, "no words of the domain")
+    if structure:
+        dense = F.when(c("chars_per_page") < 50, "hardly any text on a page").when(c("chars_per_page") < 300, "little text on a page")
+        empty = F.when(c("empty_pages") > 0.30, "many empty pages").when(c("empty_pages") > 0.10, "some empty pages")
+        return F.array_compact(F.array(dense, *reasons, empty, domain, F.when(c("fragmentation") > 0.08, "text in many blocks")))
+    return F.when(text.isNull(), F.lit(None).cast("array<string>")).when(strip(text) == "", F.array(F.lit("no text"))).otherwise(F.array_compact(F.array(*reasons, domain)))
+
+
 def with_structure_score(df: DataFrame) -> DataFrame:
     """Adds ``structure_score`` to a frame with METRICS, chars_per_page, empty_pages and fragmentation."""
     c = F.col
@@ -140,16 +166,16 @@ def with_structure_score(df: DataFrame) -> DataFrame:
     return df.withColumn("structure_score", F.round(_clamped(deltas), 4))
 
 
-def strip_stamp(text: Column, patterns: tuple[str, ...] = C.STAMP) -> Column:
+def strip_stamp(text: Column, patterns: tuple[str, ...] | None = None) -> Column:
     """The text without the conformity stamp, blanks collapsed."""
-    return strip(F.regexp_replace(F.regexp_replace(text, f"(?ius){'|'.join(patterns)}", " "), f"{C.SPACE}{{2,}}", " "))
+    return strip(F.regexp_replace(F.regexp_replace(text, f"(?ius){'|'.join(patterns or C.STAMP)}", " "), f"{C.SPACE}{{2,}}", " "))
 
 
-def useful_words(text: Column, patterns: tuple[str, ...] = C.STAMP) -> Column:
+def useful_words(text: Column, patterns: tuple[str, ...] | None = None) -> Column:
     return F.size(F.regexp_extract_all(strip_stamp(text, patterns), F.lit(C.LATIN_WORD), F.lit(0)))
 
 
-def vocabulary(text: Column, patterns: tuple[str, ...] = C.STAMP) -> Column:
+def vocabulary(text: Column, patterns: tuple[str, ...] | None = None) -> Column:
     return F.array_distinct(latin_words(strip_stamp(text, patterns)))
 
 

@@ -26,6 +26,10 @@ def acceptance(useful: Column, glyph: Column, chars: Column, pages: Column, has_
 ACCEPTED = ("page with no visual content", "adequate extraction")
 
 
+# What stands for the text of an attachment that is dropped.
+NOTICE = "[identity card or vehicle paper: no text of the case]"
+
+
 def screening(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Adds ``marks_found``, ``mark_density`` and ``drop``: attachments that are cards or vehicle papers carry no text of a case.
 

@@ -105,6 +105,16 @@ def reread_targets(lines: DataFrame, most: int = C.Thresholds().max_targets, ord
     return lines.where("kind in ('vertical', 'illegible')").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most)
 
 
+#: What a route is decided by, by name.
+EVIDENCE = ("amounts", "columns", "coverage", "median_score", "numeric", "prose", "rules", "short")
+
+
+def evidence() -> Column:
+    """The route with its measures, of two decimals, as text; a missing measure is 0."""
+    values = [F.format_string(f"{name}=%.2f", F.round(F.coalesce(F.col(name).cast("double"), F.lit(0.0)), 2)) for name in EVIDENCE]
+    return F.concat(F.col("route"), F.lit(" ("), F.concat_ws(", ", *values), F.lit(")"))
+
+
 def route(lines: DataFrame, order: str = "line_no") -> DataFrame:
     """One row for every page: its votes and the ``route`` (table, stamped_digital, degraded or normal).
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pergamin.functions import catalogue as C
 from pergamin.functions import checks
 from pergamin.functions import text as X
+from pergamin.operators import gates, lines
 
 T = C.Thresholds()
 
@@ -196,7 +197,69 @@ def case_valid(x: str) -> str:
     return f"98 - CAST(substr({d}, 1, 7) || substr({d}, 10, 11) || '00' AS HUGEINT) % 97 = CAST(substr({d}, 8, 2) AS INT)"
 
 
+def above(name: str, *steps: tuple[float, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {name} > {limit} THEN {quoted(why)}" for limit, why in steps) + " END"
+
+
+REASONS = ", ".join([*(above(n, *s) for n, *s in X.FORM_REASONS), *(above(n, *s) for n, *s in X.READING_REASONS), "CASE WHEN latin_words >= 15 THEN CASE WHEN stopwords < 0.02 THEN 'no function words' WHEN stopwords < 0.08 THEN 'few function words' END END", "CASE WHEN domain < 0.03 THEN 'no words of the domain' END"])
+BLANK = f"{strip("coalesce(text, '')")} = ''"
+ONCE = "(SELECT doc_id, page_no, max(text) AS text FROM doc_pages GROUP BY doc_id, page_no)"
+TO_READ = f"""(SELECT doc_id, page_no, rank FROM (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS rank FROM (SELECT *, bool_or(bare) OVER (PARTITION BY doc_id) AS some_bare, bool_and(bare) OVER (PARTITION BY doc_id) AS all_bare
+    FROM (SELECT doc_id, page_no, bool_and(length({strip("coalesce(text, '')")}) < {T.min_text_page_chars}) AS bare FROM doc_pages GROUP BY doc_id, page_no)) WHERE bare OR NOT some_bare OR all_bare) WHERE rank <= {T.max_pages})"""
+PAGE_TEXTS = f"(SELECT doc_id, step, page_no, string_agg(text, chr(10) ORDER BY line_no, line_id) AS text, coalesce(round(round(100 * avg(score), 6), 1), 0.0) AS confidence FROM {LINES} WHERE NOT ({BLANK}) GROUP BY doc_id, step, page_no)"
+WITNESS = f"""(SELECT doc_id, CAST(sum(CASE WHEN coalesce(score, 0) * 100 >= {T.min_confidence} THEN len({found("coalesce(text, '')", C.WORD)}) ELSE 0 END) AS BIGINT) AS reliable, coalesce(round(round(100 * avg(score), 6), 1), 0.0) AS confidence,
+    string_agg(coalesce(text, ''), chr(10) ORDER BY page_no, line_no, line_id) AS text FROM {LINES} WHERE step = 'vision' AND page_no < {T.max_witness_pages} GROUP BY doc_id)"""
+CURRENT = f"(SELECT doc_id, text AS current FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, ordinal) AS rank FROM {LATEST.format(where="WHERE text IS NOT NULL AND kind <> 'expensive' AND step <> 'vision'")}) WHERE rank = 1)"
+WON = f"""(SELECT doc_id, step FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY u DESC, ordinal) AS rank FROM (SELECT doc_id, step, ordinal, round({USEFUL}, 4) AS u FROM (SELECT *, round({TEXT_SCORE}, 4) AS score FROM {metrics(READ, 'doc_id, step, ordinal')}) WHERE {strip('text')} <> '')) WHERE rank = 1)"""
+
+
+def company_valid(x: str) -> str:
+    d = removed(x, "[^0-9]")
+    digit = lambda k: f"CAST(substr({d}, {k}, 1) AS INT)"
+    total = lambda n: "(" + " + ".join(f"{digit(k + 1)} * {w}" for k, w in enumerate(checks.COMPANY_WEIGHTS[13 - n :])) + ") % 11"
+    check = lambda n: f"CASE WHEN {total(n)} < 2 THEN 0 ELSE 11 - {total(n)} END"
+    return f"({check(12)} = {digit(13)} AND {check(13)} = {digit(14)} AND {d} <> repeat(substr({d}, 1, 1), 14))"
+
+
+def cleaned(text: str) -> str:
+    """A model's answer without its fence, thoughts and preamble, if it has no delimited pages."""
+    return strip(f"regexp_replace(regexp_replace({text}, {pattern(C.AFTER_THINK)}, ''), {pattern(C.LEADING_META)}, '')")
+
+
+def unfenced(text: str) -> str:
+    return f"regexp_replace({strip(text)}, {pattern(C.MD_FENCE)}, '', 'g')"
+
+
+def blocks(text: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({text}, {pattern(C.DELIMITED)}, 1), lambda x: {strip('x')}), lambda x: x <> '')"
+
+
 ORACLES = {
+    "score_reasons": f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN {strip('text')} = '' THEN 'no text' ELSE concat_ws('; ', {REASONS}) END AS reasons FROM {metrics('documents', 'doc_id')}",
+    "pages_to_read": f"SELECT doc_id, page_no, CAST(rank AS INT) AS rank FROM {TO_READ}",
+    "transcriptions": f"""SELECT doc_id, step, count(*) AS pages_sent, count(*) AS pages_answered, coalesce(round(round(avg(confidence), 6), 1), 0.0) AS confidence, md5(string_agg(text, chr(10) || chr(10) ORDER BY page_no)) AS text_digest FROM {PAGE_TEXTS} GROUP BY doc_id, step""",
+    "engine_readings": f"""SELECT doc_id, count(*) AS pages_sent, count(text) AS pages_answered, CASE WHEN count(*) FILTER (NOT ({BLANK})) > 0 THEN 100.0 ELSE 0.0 END AS confidence, CASE WHEN count(*) > count(text) THEN 'the page has no layer of text' ELSE '' END AS failures,
+        md5(coalesce(string_agg({strip('text')}, chr(10) || chr(10) ORDER BY page_no) FILTER (NOT ({BLANK})), '')) AS text_digest FROM {ONCE} GROUP BY doc_id""",
+    "batch_coverage": f"""SELECT doc_id, CAST(sum(n) AS BIGINT) AS pages_sent, CAST(sum(CASE WHEN fine THEN n ELSE 0 END) AS BIGINT) AS pages_answered, count(*) FILTER (NOT fine) AS failed_batches FROM (SELECT doc_id, b, count(*) AS n, count(text) = count(*) AS fine
+        FROM (SELECT doc_id, text, (row_number() OVER (PARTITION BY doc_id ORDER BY page_no) - 1) // 2 AS b FROM {ONCE}) GROUP BY doc_id, b) GROUP BY doc_id""",
+    "converted_pages": f"""WITH c AS (SELECT doc_id, unnest(page_texts) AS t, generate_subscripts(page_texts, 1) AS rank FROM {LATEST.format(where="WHERE step = 'paddle'")}), p AS (SELECT r.doc_id, r.page_no, c.t FROM {TO_READ} r JOIN c ON c.doc_id = r.doc_id AND c.rank = r.rank),
+        j AS (SELECT o.doc_id, o.page_no, {strip("coalesce(t, '')")} <> '' AS converted, CASE WHEN {strip("coalesce(t, '')")} <> '' THEN t WHEN {strip("coalesce(text, '')")} <> '' THEN text END AS x FROM {ONCE} o LEFT JOIN p ON p.doc_id = o.doc_id AND p.page_no = o.page_no)
+        SELECT doc_id, count(*) AS pages, count(*) FILTER (converted) AS converted_pages, md5(coalesce(string_agg(x, chr(10) || chr(10) ORDER BY page_no) FILTER (x IS NOT NULL), '')) AS text_digest FROM j GROUP BY doc_id""",
+    "witnesses": f"SELECT doc_id, reliable, confidence, md5(text) AS text_digest FROM {WITNESS}",
+    "veto_decisions": f"""SELECT doc_id, reliable IS NOT NULL AS witnessed, CASE WHEN reliable IS NULL THEN 'proceed' WHEN reliable < {T.min_reliable_words} THEN 'no_legible_word' WHEN len({found(bare('wt'), C.LATIN_WORD)}) < {T.min_useful_words} THEN 'sparse_page' WHEN {jaccard('cv', 'wv')} >= {T.min_agreement} THEN 'reading_confirmed' ELSE 'proceed' END AS veto
+        FROM (SELECT c.doc_id, w.reliable, coalesce(w.text, '') AS wt, list_distinct({latin(bare('current'))}) AS cv, list_distinct({latin(bare("coalesce(w.text, '')"))}) AS wv FROM {CURRENT} c LEFT JOIN {WITNESS} w ON w.doc_id = c.doc_id)""",
+    "screened_texts": f"""SELECT doc_id, dropped, CAST(CASE WHEN dropped THEN {len(gates.NOTICE)} ELSE length(text) END AS INT) AS n_chars FROM (SELECT *, CASE WHEN {strip('text')} = '' THEN false WHEN {VEHICLE} THEN true WHEN coalesce(lower({strip('label')}) = {quoted(C.PERSONAL_LABEL)}, false) AND length(text) <= 1000 THEN true WHEN m < 2 THEN false WHEN 1000 * m / length(text) < 2.5 THEN false ELSE true END AS dropped
+        FROM (SELECT *, {MARKS} AS m FROM (SELECT b.doc_id, b.text, d.label, {CARD.replace('translate(text', 'translate(b.text')} AS card FROM (SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, ordinal) AS rank FROM {READ}) WHERE rank = 1) b LEFT JOIN documents d ON d.doc_id = b.doc_id)))""",
+    "losing_readings": f"SELECT r.doc_id, r.step, r.score FROM (SELECT doc_id, step, round({TEXT_SCORE}, 4) AS score FROM {metrics(READ, 'doc_id, step, ordinal')}) r LEFT JOIN {WON} w ON w.doc_id = r.doc_id WHERE w.step IS NULL OR w.step <> r.step",
+    "converted_texts": f"SELECT reading_id, CAST(length(t) AS INT) AS n_chars, length({strip("coalesce(t, '')")}) < 40 AS is_empty FROM (SELECT reading_id, regexp_replace(regexp_replace(text, {pattern(C.IMAGE_MARK)}, '', 'g'), '{chr(92)}n{{3,}}', chr(10) || chr(10), 'g') AS t FROM readings WHERE kind = 'expensive')",
+    "responses": f"SELECT reading_id, md5(CASE WHEN len(b) > 0 THEN array_to_string(b, chr(10) || chr(10)) ELSE {cleaned('t')} END) AS digest FROM (SELECT *, {blocks('t')} AS b FROM (SELECT reading_id, {unfenced('text')} AS t FROM readings WHERE kind = 'expensive'))",
+    "response_pages": f"""SELECT reading_id, CAST(CASE WHEN len(b) > 0 THEN len(b) WHEN c <> '' THEN 1 ELSE 0 END AS INT) AS n_pages, md5(CASE WHEN len(b) > 0 THEN array_to_string(b, '|') ELSE c END) AS digest FROM (SELECT reading_id, {blocks('t')} AS b, {cleaned('t')} AS c FROM (SELECT reading_id, {unfenced('a')} AS t
+        FROM (SELECT reading_id, '<think>a</think>' || chr(10) || array_to_string(list_transform(page_texts, lambda p: '=== INICIO DA TRANSCRICAO ===' || chr(10) || coalesce(p, '') || chr(10) || '=== FIM DA TRANSCRICAO ==='), chr(10)) AS a FROM readings WHERE step = 'paddle' AND page_texts IS NOT NULL)))""",
+    "engine_report": "SELECT * FROM (VALUES ('text_layer', 0, true, '')) v(engine, priority, available, why)",
+    "route_evidence": "SELECT doc_id, step, page_no, route || ' (' || concat_ws(', ', " + ", ".join(f"printf('{name}=%.2f', round(coalesce(CAST({name} AS DOUBLE), 0.0), 2))" for name in lines.EVIDENCE) + ") || ')' AS evidence FROM ({page_routes})",
+    "privacy_scan": f"""SELECT doc_id, CAST(len(c) AS INT) AS company_ids, CAST(len(list_filter(c, lambda x: {company_valid('x')})) AS INT) AS valid_company_ids, CAST(len(m) AS INT) AS emails, CASE WHEN length(m[1]) > 6 THEN substr(m[1], 1, 4) || repeat('*', length(m[1]) - 6) || right(m[1], 2) ELSE '***' END AS first_email,
+        CAST(len({found('k', checks.ADDRESS)}) AS INT) AS addresses, CAST(len({found('k', checks.SECRET)}) AS INT) AS secrets FROM (SELECT doc_id, k, {found('k', checks.COMPANY_ID)} AS c, list_filter({found('k', checks.EMAIL)}, lambda x: NOT {matches('x', checks.EXAMPLE_EMAIL)}) AS m FROM (SELECT doc_id, {removed('text', checks.IGNORED_LINE)} AS k FROM documents))""",
+    "unwrapped_files": f"SELECT unwrap_id, 'rtf' AS seen_format, md5({strip("regexp_replace(regexp_replace(text, '[' || chr(13) || ']', '', 'g'), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")}) AS text_digest FROM (SELECT DISTINCT unwrap_id, text FROM unwrapped WHERE file_format = 'rtf' AND text IS NOT NULL)",
     "replacements": REPLACED,
     "cascade_results": SETTLED,
     "text_metrics": f"SELECT doc_id, odd_chars, short_lines, single_chars, glyph_index, control_chars, stopwords, latin_words, domain FROM {metrics('documents', 'doc_id')}",
@@ -250,3 +313,4 @@ ORACLES = {
     "private_numbers": f"""SELECT doc_id, CAST(len(t) AS INT) AS tax_ids, CAST(len(list_filter(t, lambda x: {tax_valid('x')})) AS INT) AS valid_tax_ids, CAST(len(c) AS INT) AS case_numbers, CAST(len(list_filter(c, lambda x: {case_valid('x')})) AS INT) AS valid_case_numbers
         FROM (SELECT doc_id, {found('text', checks.TAX_ID)} AS t, {found('text', checks.CASE_NUMBER)} AS c FROM documents)""",
 }
+ORACLES["route_evidence"] = ORACLES["route_evidence"].replace("{page_routes}", ORACLES["page_routes"])

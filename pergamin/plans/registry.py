@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pergamin.functions import catalogue as C
 from pergamin.functions import checks, formats, prose
 from pergamin.functions import text as X
-from pergamin.operators import gates, lines, segment
+from pergamin.operators import engines, gates, lines, pages, segment
 from pergamin.plans import cascade
 from pergamin.plans.oracles import ORACLES
 from pergamin.session import spread
@@ -215,12 +215,129 @@ def cascade_guarded(spark: SparkSession, folder: str) -> DataFrame:
     return settled.select("doc_id", "step", F.round("score", 4).alias("score"), "closed_by", "similarity", F.length("text").alias("n_chars"), F.md5("text").alias("text_digest"), "provenance")
 
 
+def score_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Why every document scores as it does."""
+    rows = X.with_metrics(load(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.array_join(X.score_reasons(F.col("text")), "; ").alias("reasons"))
+
+
+def pages_to_read(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.to_read(load(spark, folder, "doc_pages"))
+
+
+def _page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.page_texts(load(spark, folder, "page_lines").dropDuplicates(["line_id"]))
+
+
+def transcriptions(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines rolled up to pages, and pages to readings."""
+    rolled = pages.transcriptions(_page_texts(spark, folder).withColumn("error", F.lit(None).cast("string")))
+    return rolled.select("doc_id", "step", "pages_sent", "pages_answered", "confidence", F.md5("text").alias("text_digest"))
+
+
+def engine_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every native page read by the engine of text layers, rolled up to readings; a page without text is a failure."""
+    native = load(spark, folder, "doc_pages").groupBy("doc_id", "page_no").agg(F.max("text").alias("content"))
+    rolled = pages.transcriptions(engines.read_pages(native, engines.TextLayer, "text_layer"))
+    return rolled.select("doc_id", "pages_sent", "pages_answered", "confidence", F.array_join("failures", "; ").alias("failures"), F.md5("text").alias("text_digest"))
+
+
+def batch_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Native pages sent two by two to a client that answers with their texts and fails on a page without any."""
+    native = load(spark, folder, "doc_pages").groupBy("doc_id", "page_no").agg(F.max("text").alias("text"))
+    grouped = pages.batches(native)
+    each = grouped.select("doc_id", "batch_no", F.explode("page_nos").alias("page_no")).join(native, ["doc_id", "page_no"])
+    content = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"])
+    sent = grouped.join(each.groupBy("doc_id", "batch_no").agg(content.alias("contents")), ["doc_id", "batch_no"])
+    return pages.batch_coverage(engines.read_batches(sent, lambda: lambda texts: [t.strip() for t in texts]))
+
+
+def converted_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Native pages with those of the first OCR step in place of pages without text, in order."""
+    ocr = cascade.latest(load(spark, folder, "readings").where("step = 'paddle'")).select("doc_id", F.posexplode("page_texts").alias("_k", "text"))
+    done = pages.reassembled(load(spark, folder, "doc_pages"), ocr.select("doc_id", (F.col("_k") + 1).alias("ordinal"), "text"))
+    return done.select("doc_id", "pages", "converted_pages", F.md5("text").alias("text_digest"))
+
+
+def witnesses(spark: SparkSession, folder: str) -> DataFrame:
+    seen = pages.witnesses(load(spark, folder, "page_lines").where("step = 'vision'").dropDuplicates(["line_id"]))
+    return seen.select("doc_id", "reliable", "confidence", F.md5("text").alias("text_digest"))
+
+
+def veto_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """What a witness of the vision step says to an expensive step, by the longest text so far."""
+    rows = cascade.latest(load(spark, folder, "readings").where(F.col("text").isNotNull() & (F.col("kind") != "expensive") & (F.col("step") != "vision")))
+    best = rows.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("ordinal"))).alias("current"))
+    seen = pages.witnesses(load(spark, folder, "page_lines").where("step = 'vision'").dropDuplicates(["line_id"])).select("doc_id", "reliable", "text")
+    both = best.join(seen, "doc_id", "left").withColumn("_v", X.vocabulary(F.col("current"))).withColumn("_w", X.vocabulary(F.coalesce("text", F.lit(""))))
+    no = F.lit(False)
+    veto = gates.veto(X.useful_words(F.col("current")), no, no, F.col("reliable"), X.useful_words(F.coalesce("text", F.lit(""))), gates.jaccard(F.array("_v", "_w")))
+    return both.select("doc_id", F.col("reliable").isNotNull().alias("witnessed"), F.coalesce(veto, F.lit("proceed")).alias("veto"))
+
+
+def screened_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest text of every document before the screening of cards; what is dropped is replaced by a notice."""
+    rows = cascade.latest(load(spark, folder, "readings").where(F.col("text").isNotNull()))
+    best = rows.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("ordinal"))).alias("text"))
+    labels = load(spark, folder, "documents").select("doc_id", "label").dropDuplicates(["doc_id"])
+    judged = gates.screening(best.join(labels, "doc_id", "left"))
+    return judged.select("doc_id", F.col("drop").alias("dropped"), F.length(F.when(F.col("drop"), gates.NOTICE).otherwise(F.col("text"))).alias("n_chars"))
+
+
+def losing_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """All readings with text but the winner of the contest."""
+    rows = X.with_score(X.with_metrics(cascade.latest(load(spark, folder, "readings").where(F.col("text").isNotNull()))))
+    won = cascade.contest(rows).select("doc_id", F.col("step").alias("won"))
+    return rows.join(won, "doc_id", "left").where(F.coalesce(F.col("step") != F.col("won"), F.lit(True))).select("doc_id", "step", "score")
+
+
+def converted_texts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "readings").where("kind = 'expensive'")
+    return rows.select("reading_id", F.length(prose.without_images(F.col("text"))).alias("n_chars"), prose.converted_is_empty(F.col("text")).alias("is_empty"))
+
+
+def response_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of every model's answer, here each reading between the marks that the model is asked for."""
+    rows = load(spark, folder, "readings").where("step = 'paddle' and page_texts is not null")
+    answer = F.concat(F.lit("<think>a</think>\n"), F.array_join(F.transform("page_texts", lambda p: F.concat(F.lit("=== INICIO DA TRANSCRICAO ===\n"), F.coalesce(p, F.lit("")), F.lit("\n=== FIM DA TRANSCRICAO ==="))), "\n"))
+    blocks = rows.select("reading_id", prose.response_blocks(answer).alias("_b"))
+    return blocks.select("reading_id", F.size("_b").alias("n_pages"), F.md5(F.array_join("_b", "|")).alias("digest"))
+
+
+def engine_report(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame(engines.REGISTRY.report(), "engine string, priority int, available boolean, why string")
+
+
+def route_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The route of every page with what it was decided by."""
+    source = load(spark, folder, "page_lines").dropDuplicates(["line_id"])
+    routed = lines.route(lines.with_coverage(source, lines.lexicon(load(spark, folder, "documents"))))
+    return routed.select("doc_id", "step", "page_no", lines.evidence().alias("evidence"))
+
+
+def privacy_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return checks.privacy(load(spark, folder, "documents").select("doc_id", "text"))
+
+
+def unwrapped_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of envelopes written as rich text and unwrapped again."""
+    rows = load(spark, folder, "unwrapped").where("file_format = 'rtf' and text is not null").select("unwrap_id", "text").distinct()
+    sign = lambda c: F.when(c.isin("\\", "{", "}"), F.concat(F.lit("\\"), c)).when(c == "\n", F.lit("\\par ")).when(F.ascii(c) < 128, c)
+    high, low = (lambda c: F.floor((F.ascii(c) - 0x10000) / 1024) + 0xD800), (lambda c: F.pmod(F.ascii(c) - 0x10000, F.lit(1024)) + 0xDC00)
+    number = lambda n: F.concat(F.lit("\\u"), n.cast("string"), F.lit("?"))
+    coded = lambda c: F.coalesce(sign(c), F.when(F.ascii(c) < 0x10000, number(F.ascii(c))).otherwise(F.concat(number(high(c)), number(low(c)))))
+    content = F.concat(F.lit("{\\rtf1 "), F.array_join(F.transform(F.split(F.regexp_replace("text", "[\r\x00]", ""), ""), coded), ""), F.lit("}"))
+    opened = rows.select("unwrap_id", formats.unwrap(F.encode(content, "utf-8")).alias("u"))
+    return opened.select("unwrap_id", F.col("u.file_format").alias("seen_format"), F.md5(X.strip(F.col("u.text"))).alias("text_digest"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         text_metrics, text_scores, native_text, stamp_words, identifiers, identifiers_lost, unread_marks, structure_scores, pages_without_text, image_coverage,
         attachment_screening, lexicon, line_coverage, resegmented_texts, line_kinds, page_containment, document_layers, reread_targets, page_routes, page_confidence, page_merge,
         reading_gates, reading_agreement, best_readings, longest_texts, step_comparison, replacements, final_text, amounts_repaired, responses, file_formats,
-        private_numbers, cascade_results, cascade_guarded,
+        private_numbers, cascade_results, cascade_guarded, score_reasons, pages_to_read, transcriptions, engine_readings, batch_coverage, converted_pages, witnesses, veto_decisions,
+        screened_texts, losing_readings, converted_texts, response_pages, engine_report, route_evidence, privacy_scan, unwrapped_files,
     )
     return {f.__name__: f for f in found}
 

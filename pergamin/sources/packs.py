@@ -1,12 +1,20 @@
-"""Pattern packs: TOML files whose entries override those of the catalogue, one by one, on the driver."""
+"""Pattern packs: TOML files whose entries override those of the catalogue, one by one, on the driver.
+
+What is read from the catalogue when a plan is built can be overridden: see ENTRIES. Packs stand on one another, the stronger on
+top: the catalogue, the pack of a language, that of the environment, that of the caller.
+"""
 
 from __future__ import annotations
 
+import contextlib
+import os
 import re
 import tomllib
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from pathlib import Path
 
+from pergamin.functions import catalogue
+
 # The kinds an entry can be of; it must be of exactly one.
 KINDS = ("pattern", "patterns", "words", "strings", "text", "map")
 
@@ -51,3 +59,46 @@ def overlaid(*packs: Mapping[str, dict]) -> dict[str, dict]:
     for pack in packs:
         out |= pack
     return out
+
+
+#: Entries that can be overridden: their name, their kind and the name in the catalogue.
+ENTRIES = {
+    "metrics.stopwords": ("words", "STOPWORDS"), "metrics.domain": ("patterns", "DOMAIN"), "stamp.patterns": ("patterns", "STAMP"), "markers.unread": ("pattern", "UNREAD"),
+    "screening.identity_marks": ("strings", "IDENTITY_MARKS"), "screening.vehicle_marks": ("strings", "VEHICLE_MARKS"), "lines.job_title": ("pattern", "JOB_TITLE"), "lines.stamp_keywords": ("pattern", "STAMP_KEYWORDS"),
+    "lines.short_words": ("words", "SHORT_WORDS"), "routing.amount": ("pattern", "AMOUNT_MARK"), "routing.seal": ("pattern", "SEAL"), "prose.page_number_only": ("pattern", "PAGE_NUMBER_ONLY"),
+}
+#: Names the folder or file of a pack, from outside the program.
+ENVIRONMENT = "PERGAMIN_PATTERNS"
+
+
+def names(pack: Mapping[str, dict] = ENTRIES) -> list[str]:
+    return sorted(set(pack))
+
+
+def base() -> dict[str, dict]:
+    """The entries of the catalogue as a pack."""
+    return {name: {kind: getattr(catalogue, attribute)} for name, (kind, attribute) in ENTRIES.items()}
+
+
+def resolved(own: str | Path | None = None, language: str | Path | None = None) -> dict[str, dict]:
+    """The pack that holds: of the caller, else of the environment, over that of the language, over the catalogue."""
+    outside = own or os.environ.get(ENVIRONMENT)
+    return overlaid(base(), load(language) if language else {}, load(outside) if outside else {})
+
+
+@contextlib.contextmanager
+def used(pack: Mapping[str, dict]) -> Iterator[None]:
+    """Plans built within use the entries of ``pack``; those before and behind do not. An entry of a name or kind that nothing reads is
+    an error: it would do nothing."""
+    for name, entry in pack.items():
+        if name not in ENTRIES or ENTRIES[name][0] not in entry:
+            raise ValueError(f"nothing reads {name} as {', '.join(entry)}; there are {', '.join(names())}")
+    before = base()
+    try:
+        for name, entry in pack.items():
+            kind, attribute = ENTRIES[name]
+            setattr(catalogue, attribute, entry[kind])
+        yield
+    finally:
+        for name, entry in before.items():
+            setattr(catalogue, ENTRIES[name][1], next(iter(entry.values())))

@@ -164,7 +164,7 @@ CASES = (
     (prose.rebuild, "1)\nTexto da frase\ncontinua aqui", "1) Texto da frase\ncontinua aqui"), (prose.rebuild, "1)\n2)\n3)\n4)\ntexto\nfim", "1) 2)\n3) 4)\ntexto fim"), (prose.rebuild, "x\n1)\nTexto\nfim", "x 1) Texto fim"),
     (prose.clean_response, "<think>a</THINK> um </think> dois", "um </think> dois"), (prose.clean_response, "```text\nA\n```", "A"), (prose.clean_response, "```A```", "```A```"),
     (prose.response_blocks, "=== INICIO DA TRANSCRICAO ===\nA\n=== FIM DA TRANSCRICAO ===\n=== inicio da transcricao ===\nB", ["A", "B"]), (prose.response_blocks, "só isto", ["só isto"]), (prose.response_blocks, "", []),
-    (prose.without_images, " ![x](y.png) a <!-- image --> ", "a"), (prose.converted_is_empty, "![x](y.png)", True),
+    (prose.without_images, "a\n\n<!-- image -->\n\n<!--IMAGE-->b", "a\n\nb"), (prose.converted_is_empty, "<!-- image --> " * 9, True),
 )
 
 
