@@ -96,7 +96,7 @@ PERSONAL_LABEL = "documentos pessoais"
 
 # Rules of running text.
 ABBREVIATION = (
-    r"(?iu)(?:(?U)\b(?:n|n[ºo]|art|arts|fls?|pág|p|inc|par|§|Sr|Sra|Srs|Dr|Dra|Drs|Exm[oa]|Ilm[oa]|Av|R|Rua|Al|Pça|Cia|Ltda|S\.?A|Jr|Proc|Cod|Cód|Est|Mun|Cap|Vol|Ed|Obs|Ref|Cf|Op|cit|etc|ap|apto|bl|qd|lt)\.\s*$)|(?:\b[A-ZÀ-Ö]\.\s*$)"
+    r"(?iu)(?:(?U)\b(?:n|n[ºo]|art|arts|fls?|pág|p|inc|par|§|Sr|Sra|Srs|Dr|Dra|Drs|Exm[oa]|Ilm[oa]|Av|R|Rua|Al|Pça|Cia|Ltda|S\.?A|Jr|Proc|Cod|Cód|Est|Mun|Cap|Vol|Ed|Obs|Ref|Cf|Op|cit|etc|ap|apto|bl|qd|lt)\.\s*$)|(?:(?U)\b[A-ZÀ-Ö]\.\s*$)"
 )
 PAGE_NUMBER_ONLY = rf"(?iu)\A{SPACE}*(?:fls?\.?{SPACE}*[0-9]+|[0-9]{{1,3}}|p[áa]g(?:ina)?\.?{SPACE}*[0-9]+){SPACE}*\z"
 ENCLITIC = r"(?iu)\A(?:l[oa]s?|lhes?|n[oa]s?|m[eo]|te|se|v[oo]s|[oa]s?)(?U)\b"

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from pergamin.functions import catalogue as C
 from pergamin.functions import text as X
+from pergamin.operators import segment, skew
+from pergamin.session import write_through
 
+#: Words of a lexicon that is sent to every task: a few megabytes.
+BROADCAST_WORDS = 200_000
+# Coverage below which words of a line may have run together, and from which on parting them has helped.
+PARTED = 0.55
 PAGE = ["doc_id", "step", "page_no"]
 
 
 def lexicon(texts: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
-    """Words that occur ``least`` times in the corpus, with the short ones that always count: a partial and a final aggregation."""
+    """Words that occur ``least`` times in the corpus: a partial and a final aggregation. The short ones that always count are added
+    where coverage is measured."""
     tokens = texts.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(C.LEXICON_TOKEN), F.lit(0))).alias("word"))
     return tokens.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
@@ -20,16 +27,32 @@ def lexicon(texts: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
 def with_coverage(lines: DataFrame, words: DataFrame, key: str = "line_id", text: str = "text") -> DataFrame:
     """Adds ``coverage``: share of a line's tokens that the lexicon has, 1 if it has no token.
 
-    Tokens are joined to the lexicon and counted back per line; the lexicon is broadcast by the planner only if it is small.
-    Lines of the same key and text share one value.
+    The lexicon is written and its size read: one of at most BROADCAST_WORDS words is broadcast, so tokens stay in their task and
+    meet again per line in a partial aggregation before anything is shuffled; a larger one is joined by word, frequent words
+    apart. Lines of the same key and text share one value, as copies change no share. Short words are always known.
     """
     tokens = lines.select(key, F.md5(text).alias("_text"), F.regexp_extract_all(F.lower(text), F.lit(C.LEXICON_TOKEN), F.lit(0)).alias("_tokens")).where(F.size("_tokens") > 0)
-    single = tokens.dropDuplicates([key, "_text"]).select(key, "_text", F.explode("_tokens").alias("word"))
-    known = single.join(words.select("word", F.lit(1).alias("_known")), "word", "left")
-    covered = known.groupBy(key, "_text").agg((F.count("_known") / F.count("*")).alias("coverage"))
+    single = tokens.select(key, "_text", F.explode("_tokens").alias("word"))
+    lexicon = write_through(words.select("word", F.lit(1).alias("_known")), "lexicon")
+    known = single.join(F.broadcast(lexicon), "word", "left") if lexicon.count() <= BROADCAST_WORDS else skew.join(single, lexicon, ["word"], "left")
+    found = F.count_if(F.col("_known").isNotNull() | F.col("word").isin(*C.SHORT_WORDS))
+    covered = known.groupBy(key, "_text").agg((found / F.count("*")).alias("coverage"))
     return lines.withColumn("_text", F.md5(text)).join(covered, [key, "_text"], "left").drop("_text").withColumn("coverage", F.coalesce("coverage", F.lit(1.0)))
 
 
+def recover(lines: DataFrame, words: DataFrame, key: str = "line_id", text: str = "text") -> DataFrame:
+    """Lines with ``coverage`` whose words had run together with them parted: text and coverage anew and ``recovered``.
+
+    Only lines of prose that the lexicon hardly covers and that hold a long run are looked at, and a parting is taken only if
+    the lexicon then covers the line."""
+    tokens = F.size(F.regexp_extract_all(F.lower(text), F.lit(C.LEXICON_TOKEN), F.lit(0)))
+    few = lines.where((F.col("coverage") < PARTED) & (tokens >= 2) & ~F.col(text).rlike(C.REFERENCE_LINE) & ~F.col(text).rlike(C.DATE_LINE)).select(key, F.col(text).alias("_old")).distinct()
+    parted = segment.resegment(few, words, "_old", "_new").where(F.col("_new").isNotNull())
+    better = with_coverage(parted, words, key, "_new").where(F.col("coverage") >= PARTED).select(key, F.col("_old").alias(text), "_new", F.col("coverage").alias("_better"))
+    joined = lines.join(better, [key, text], "left")
+    return joined.withColumns({text: F.coalesce("_new", text), "coverage": F.coalesce("_better", "coverage"), "recovered": F.col("_new").isNotNull()}).drop("_new", "_better")
+
+
 def box(poly: Column) -> dict[str, Column]:
     """Edges of the box around a polygon; null without one."""
     xs, ys = F.transform(poly, lambda p: p["x"]), F.transform(poly, lambda p: p["y"])
@@ -37,7 +60,8 @@ def box(poly: Column) -> dict[str, Column]:
 
 
 def classify(lines: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``clean_text``, ``junk`` and ``kind`` (clean, suspect, illegible, vertical or fragment) to lines with ``coverage``."""
+    """Adds ``clean_text``, ``junk`` and ``kind`` (clean, suspect, illegible, vertical, fragment or, of those that ``recover`` parted,
+    recovered) to lines with ``coverage``."""
     c = F.col
     rows = lines.withColumn("_t", X.strip(F.coalesce(c(text), F.lit("")))).withColumn("clean_text", X.strip(X.removed(c("_t"), C.FOREIGN_SCRIPT)))
     n = F.length("clean_text")
@@ -54,7 +78,8 @@ def classify(lines: DataFrame, text: str = "text") -> DataFrame:
     score = F.coalesce(c("score"), F.lit(0.0))
     illegible = (c("_foreign") > 0.5) | (c("_junk") > 0.55) | ((score < 0.55) & (c("coverage") < 0.12) & (n >= 14))
     suspect = ((tokens >= 2) & (c("coverage") < 0.35) & (score < 0.85)) | (c("_foreign") > 0.2)
-    kind = F.when((c("_alnum") == 0) & (n <= 3), "fragment").when(vertical, "vertical").when(structural, "clean").when(illegible, "illegible").when(suspect, "suspect").otherwise("clean")
+    parted = c("recovered") if "recovered" in lines.columns else F.lit(False)
+    kind = F.when((c("_alnum") == 0) & (n <= 3), "fragment").when(vertical, "vertical").when(parted, "recovered").when(structural, "clean").when(illegible, "illegible").when(suspect, "suspect").otherwise("clean")
     return rows.withColumn("kind", kind).withColumn("junk", F.round("_junk", 3)).drop("_t", "_foreign", "_junk", "_alnum", "_x1", "_y1", "_x2", "_y2")
 
 
@@ -84,8 +109,8 @@ def contain(lines: DataFrame, order: str = "line_no") -> DataFrame:
     size = F.length("clean_text")
     count = lambda kind: F.count_if(c("kind") == kind).alias(f"n_{kind}")
     pages = rows.groupBy(*PAGE).agg(
-        F.count("*").alias("n_total"), *(count(k) for k in ("illegible", "vertical", "fragment", "suspect", "signature")),
-        F.round(F.sum(F.when(c("kind") == "clean", size).otherwise(0)) / F.greatest(F.sum(F.greatest(size, F.lit(1))), F.lit(1)), 3).alias("trusted_fraction"),
+        F.count("*").alias("n_total"), *(count(k) for k in ("illegible", "vertical", "fragment", "suspect", "signature", "recovered")),
+        F.round(F.sum(F.when(c("kind").isin("clean", "recovered"), size).otherwise(0)) / F.greatest(F.sum(F.greatest(size, F.lit(1))), F.lit(1)), 3).alias("trusted_fraction"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c("_shown").isNotNull(), F.struct(order, "line_id", "_shown")))), lambda x: x["_shown"]), "\n").alias("text"),
     )
     return pages.withColumn("needs_escalation", (c("trusted_fraction") < 0.72) | (c("n_illegible") >= 3) | (c("n_illegible") + c("n_suspect") >= 6)).withColumn(

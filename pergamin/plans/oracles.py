@@ -7,9 +7,9 @@ the same in another way or the query has none.
 from __future__ import annotations
 
 from pergamin.functions import catalogue as C
-from pergamin.functions import checks
+from pergamin.functions import checks, prose
 from pergamin.functions import text as X
-from pergamin.operators import gates, lines
+from pergamin.operators import gates, lines, segment
 
 T = C.Thresholds()
 
@@ -97,8 +97,9 @@ LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, step
 READ = LATEST.format(where="WHERE text IS NOT NULL")
 LINES = f"(SELECT DISTINCT line_id, doc_id, step, page_no, line_no, text, score, poly, page_w, page_h FROM page_lines)"
 LEXICON = f"SELECT word, count(*) AS n FROM (SELECT unnest({found('lower(text)', C.LEXICON_TOKEN)}) AS word FROM documents) GROUP BY word HAVING count(*) >= 3"
+SHORT = ", ".join(map(quoted, C.SHORT_WORDS))
 COVERED = f"""(SELECT l.*, coalesce(c.coverage, 1.0) AS coverage FROM {LINES} l LEFT JOIN (
-    SELECT line_id, tx, count(w.word) / count(*) AS coverage FROM (SELECT DISTINCT line_id, tx, i, token FROM (SELECT line_id, md5(text) AS tx, unnest(toks) AS token, generate_subscripts(toks, 1) AS i
+    SELECT line_id, tx, count(*) FILTER (w.word IS NOT NULL OR t.token IN ({SHORT})) / count(*) AS coverage FROM (SELECT DISTINCT line_id, tx, i, token FROM (SELECT line_id, md5(text) AS tx, unnest(toks) AS token, generate_subscripts(toks, 1) AS i
         FROM (SELECT line_id, text, {found('lower(text)', C.LEXICON_TOKEN)} AS toks FROM page_lines))) t
     LEFT JOIN ({LEXICON}) w ON w.word = t.token GROUP BY line_id, tx) c ON c.line_id = l.line_id AND c.tx = md5(l.text))"""
 EDGES = "list_min(list_transform(poly, lambda p: p.x)) AS x1, list_min(list_transform(poly, lambda p: p.y)) AS y1, list_max(list_transform(poly, lambda p: p.x)) AS x2, list_max(list_transform(poly, lambda p: p.y)) AS y2"
@@ -117,7 +118,7 @@ SIGNED = f"""(SELECT *, kind0 AS kind FROM {CLASSIFIED} WHERE kind0 = 'fragment'
   FROM (SELECT *, coalesce(bool_or({matches('ct', C.CAPS_NAME)}) OVER ({AHEAD} ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), false) AS nm,
       coalesce(bool_or({matches('ct', C.JOB_TITLE)}) OVER ({AHEAD} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), false) AS jt FROM {CLASSIFIED} WHERE kind0 <> 'fragment'))"""
 CONTAINED = f"""(SELECT doc_id, step, page_no, count(*) AS n_total, count(*) FILTER (kind = 'illegible') AS n_illegible, count(*) FILTER (kind = 'vertical') AS n_vertical, count(*) FILTER (kind = 'fragment') AS n_fragment,
-    count(*) FILTER (kind = 'suspect') AS n_suspect, count(*) FILTER (kind = 'signature') AS n_signature,
+    count(*) FILTER (kind = 'suspect') AS n_suspect, count(*) FILTER (kind = 'signature') AS n_signature, count(*) FILTER (kind = 'recovered') AS n_recovered,
     round(sum(CASE WHEN kind = 'clean' THEN n ELSE 0 END) / greatest(sum(greatest(n, 1)), 1), 3) AS trusted_fraction,
     coalesce(string_agg(shown, chr(10) ORDER BY line_no, line_id) FILTER (shown IS NOT NULL), '') AS text
   FROM (SELECT *, CASE WHEN kind NOT IN ('illegible', 'vertical', 'signature') THEN ct WHEN again THEN NULL WHEN kind = 'signature' THEN {quoted(C.SIGNATURE_MARKER)} ELSE {quoted(C.ILLEGIBLE_MARKER)} END AS shown
@@ -173,16 +174,74 @@ REPLACED = f"""SELECT doc_id, CASE WHEN previous = '' THEN NULL WHEN markers >=
     JOIN (SELECT doc_id, text AS new, pages_sent AS sent, pages_answered AS answered, failed_batches AS failed FROM {READ} WHERE kind = 'expensive') n ON n.doc_id = c.doc_id JOIN documents d ON d.doc_id = c.doc_id))"""
 
 ALIKE = f"CASE WHEN len(v) >= 2 AND len(list_filter(v, lambda w: len(w) < {T.min_useful_words})) = 0 THEN round(len(list_reduce(v, lambda a, b: list_intersect(a, b))) / len(list_distinct(flatten(v))), 4) ELSE 0.0 END"
-SETTLED = f"""WITH r AS (SELECT doc_id, list(struct_pack(o := ordinal, step := step, text := text, score := score, accepted := accepted, reason := reason, n := useful_words, v := vocabulary, read := read_something, u := {USEFUL}) ORDER BY ordinal, step) AS r FROM {MEASURED} GROUP BY doc_id),
+def settled(rows: str, guarded: bool = False) -> str:
+    """The contest over measured readings; ``guarded``: those ``refused`` neither close nor win, and the winner is given as running text."""
+    refused = "refused" if guarded else "false"
+    text = final("coalesce(best.text, '')") if guarded else "coalesce(best.text, '')"
+    digest = ", md5(x) AS text_digest" if guarded else ""
+    return f"""WITH r AS (SELECT doc_id, list(struct_pack(o := ordinal, step := step, text := text, score := score, accepted := accepted, reason := reason, n := useful_words, v := vocabulary, read := read_something, u := {USEFUL}, no := {refused}) ORDER BY ordinal, step) AS r FROM {rows} GROUP BY doc_id),
   p AS (SELECT doc_id, i, list_transform(list_filter(r[1:i], lambda x: x.read), lambda x: x.v) AS v FROM r, unnest(range(1, len(r) + 1)) t(i)),
   s AS (SELECT doc_id, list(a ORDER BY i) AS sims FROM (SELECT doc_id, i, {ALIKE} AS a FROM p) GROUP BY doc_id),
   c AS (SELECT r.doc_id, r, sims, nullif(coalesce(list_position(list_transform(r, lambda x: x.accepted), true), 0), 0) AS acc, nullif(coalesce(list_position(list_transform(sims, lambda x: x >= {T.min_agreement}), true), 0), 0) AS agr,
       least(acc, agr) AS close, list_filter(r, lambda x: x.read) AS rd FROM r JOIN s ON r.doc_id = s.doc_id),
   k AS (SELECT *, CASE WHEN close = acc THEN 'acceptance' WHEN close IS NOT NULL THEN 'agreement' WHEN len(rd) >= 2 AND len(list_filter(rd, lambda x: x.n >= {T.min_useful_words})) = 0 THEN 'consensus' ELSE 'contest' END AS closed_by FROM c),
-  w AS (SELECT *, list_sort(list_transform(CASE closed_by WHEN 'acceptance' THEN r[close:close] WHEN 'agreement' THEN list_filter(r[1:close], lambda x: x.read) WHEN 'contest' THEN rd ELSE [] END,
+  w AS (SELECT *, list_sort(list_transform(CASE closed_by WHEN 'acceptance' THEN r[close:close] WHEN 'agreement' THEN list_filter(r[1:close], lambda x: x.read AND NOT x.no) WHEN 'contest' THEN list_filter(rd, lambda x: NOT x.no) ELSE [] END,
       lambda x: struct_pack(u := -x.u, o := x.o, step := x.step, text := x.text, score := x.score)))[1] AS best FROM k)
-  SELECT doc_id, coalesce(best.step, CASE WHEN closed_by = 'consensus' THEN 'empty_by_consensus' ELSE 'none' END) AS step, round(best.score, 4) AS score, closed_by, sims[coalesce(close, len(r))] AS similarity, CAST(length(coalesce(best.text, '')) AS INT) AS n_chars,
-    coalesce(best.step, CASE WHEN closed_by = 'consensus' THEN 'empty_by_consensus' ELSE 'none' END) || ': ' || array_to_string(list_transform(r[1:coalesce(close, len(r))], lambda x: x.step || '(' || CASE WHEN x.accepted THEN 'ok' ELSE x.reason END || ')'), ' -> ') AS provenance FROM w"""
+  SELECT doc_id, step, score, closed_by, similarity, CAST(length(x) AS INT) AS n_chars, provenance{digest} FROM (SELECT doc_id, coalesce(best.step, CASE WHEN closed_by = 'consensus' THEN 'empty_by_consensus' ELSE 'none' END) AS step, round(best.score, 4) AS score, closed_by, sims[coalesce(close, len(r))] AS similarity, {text} AS x,
+    coalesce(best.step, CASE WHEN closed_by = 'consensus' THEN 'empty_by_consensus' ELSE 'none' END) || ': ' || array_to_string(list_transform(r[1:coalesce(close, len(r))], lambda x: x.step || '(' || CASE WHEN x.accepted THEN 'ok' ELSE x.reason END || ')'), ' -> ') AS provenance FROM w)"""
+
+
+def within(regex: str) -> str:
+    """A pattern of words in RE2, which has no edge of words but that of ASCII: it takes the character at the edge."""
+    edge = r"[^\p{L}\p{N}_]"
+    return regex.replace(r"(?U)\b(?:", rf"(?:\A|{edge})(?:").replace(r"(?U)\b[", rf"(?:\A|{edge})[").replace(r"(?U)\b", rf"(?:{edge}|\z)").replace("$)", r"\z)")
+
+
+def thousands(text: str) -> str:
+    """Amounts in the English way repaired, one after another."""
+    parts, hits = f"regexp_split_to_array({text}, {pattern(C.ENGLISH_THOUSANDS)})", found(text, C.ENGLISH_THOUSANDS)
+    fixed = f"list_transform({hits}, lambda x: replace(left(x, length(x) - 3), ',', '.') || ',' || right(x, 2))"
+    return f"array_to_string(list_transform(list_zip({parts}, {fixed}), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
+def rebuilt(text: str) -> str:
+    """Lines folded to paragraphs one by one, by the definition: the line before is the joined one."""
+    rows = f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: {removed('x', C.SPACE + '+' + chr(92) + 'z')}), lambda x: NOT {matches('x', C.PAGE_NUMBER_ONLY)})"
+    last = r"regexp_extract(a, '([^\n]*)\z', 1)"
+    bare, b = removed("a", rf"{C.SPACE}+\z"), removed("b", rf"\A{C.SPACE}+")
+    keep, end = "a || chr(10) || b", f"right({bare}, 12)"
+    hyphen = f"({matches(bare, '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]-' + chr(92) + 'z')} AND {matches(b, chr(92) + 'A' + chr(92) + 'p{Ll}')})"
+    short = matches(f"right({removed(last, C.SPACE + '+' + chr(92) + 'z')}, 12)", within(C.ABBREVIATION))
+    fold = f"""CASE WHEN {last} = '' OR {b} = '' OR {matches(last, prose.STRUCTURE)} OR {matches('b', prose.STRUCTURE)} THEN {keep} WHEN {matches(bare, '[0-9][-/]' + chr(92) + 'z')} AND {matches(b, chr(92) + 'A[0-9]')} THEN {bare} || {b}
+      WHEN {hyphen} AND {matches(b, within(C.ENCLITIC))} THEN {bare} || {b} WHEN {hyphen} THEN left({bare}, length({bare}) - 1) || {b} WHEN {matches(bare, prose.SENTENCE_END)} AND NOT {short} THEN {keep}
+      WHEN {short} AND {matches(b, chr(92) + 'A[0-9]')} THEN {bare} || ' ' || {b} WHEN {matches(b, prose.TITLE)} THEN {keep} ELSE {bare} || ' ' || {b} END"""
+    return f"CASE WHEN len({rows}) = 0 THEN '' ELSE list_reduce({rows}, lambda a, b: {fold}) END"
+
+
+def final(text: str) -> str:
+    """The final text: as ``prose.normalize``."""
+    plain = f"translate({text}, {quoted(prose.HOMOGLYPHS[0])}, {quoted(prose.HOMOGLYPHS[1])})"
+    rows, stamp = f"string_split({plain}, chr(10))", matches("x", "(?i)" + C.STAMP_LINE)
+    numbered = f"list_transform(list_filter({rows}, lambda x: {stamp}), lambda x: {strip(f'regexp_replace(x, {pattern(C.SPACE + "+")}, {quoted(" ")}, {quoted("g")})')})"
+    once = f"list_transform(list_filter(list_zip({numbered}, range(len({numbered}))), lambda z: list_position({numbered}, z[1]) = z[2] + 1), lambda z: z[1])"
+    body = f"array_to_string(list_filter({rows}, lambda x: NOT {stamp}), chr(10))"
+    body = f"regexp_replace({body}, {pattern(rf'R{chr(92)}${C.SPACE}*{chr(92)}n{C.SPACE}*([0-9])')}, 'R$ {chr(92)}1', 'g')"
+    body = f"regexp_replace({rebuilt(body)}, 'R{chr(92)}$([0-9])', 'R$ {chr(92)}1', 'g')"
+    amount = r"([^A-Za-zÀ-ÿ0-9]|\A)(?:RS|R2|E\$|8\$|SR\$|3R\$|H\$|RE)\s*([0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2})([^0-9]|\z)"
+    for _ in range(2):  # what is behind one may be before the next
+        body = f"regexp_replace({body}, {pattern('(?i)' + amount)}, '{chr(92)}1R$ {chr(92)}2{chr(92)}3', 'g')"
+    body = f"regexp_replace(regexp_replace(regexp_replace({thousands(body)}, '§{chr(92)}$', '§§', 'g'), '[ {chr(92)}t]{{2,}}', ' ', 'g'), '{chr(92)}n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"({strip(body)} || CASE WHEN len({numbered}) > 0 THEN chr(10) || chr(10) || {quoted(prose.STAMP_FOOTER)} || chr(10) || array_to_string({once}, chr(10)) ELSE '' END)"
+
+
+SETTLED = settled(MEASURED)
+GUARDED = f"""(WITH m AS (SELECT x.*, coalesce(y.sent, 0) AS sent, coalesce(y.answered, 0) AS answered, coalesce(y.failed, 0) AS failed FROM {MEASURED} x LEFT JOIN (SELECT doc_id, step, pages_sent AS sent, pages_answered AS answered, failed_batches AS failed FROM {LATEST.format(where='')}) y ON y.doc_id = x.doc_id AND y.step = x.step),
+  e AS (SELECT * FROM m WHERE kind = 'expensive' AND read_something),
+  b AS (SELECT * FROM (SELECT e.doc_id, e.step, p.text AS previous, e.text AS new, e.sent, e.answered, e.failed, coalesce(e.doc_pages, 1) AS doc_pages, row_number() OVER (PARTITION BY e.doc_id, e.step ORDER BY length(p.text) DESC, p.ordinal) AS rn FROM e JOIN m p ON p.doc_id = e.doc_id AND p.read_something AND (p.ordinal < e.ordinal OR p.ordinal = e.ordinal AND p.step < e.step)) WHERE rn = 1),
+  k AS ({REPLACED.split("  FROM (SELECT *, sent > 0 AND", 1)[0].replace("SELECT doc_id,", "SELECT doc_id, step,", 1)}
+    FROM (SELECT *, sent > 0 AND doc_pages > sent AS truncated, useful < {T.min_useful_words} AS degenerate, after >= {T.much_richer} * greatest(before, 1.0) AS richer, list_filter(pa, lambda x: len(list_filter(na, lambda y: contains(y, x))) = 0) AS lost
+    FROM (SELECT *, {MARKED} AS markers, len({found(bare('previous'), C.LATIN_WORD)}) AS useful, length({real('previous')}) / greatest(doc_pages, 1) AS before, length({real('new')}) / greatest(CASE WHEN answered > 0 THEN answered WHEN sent > 0 THEN sent ELSE doc_pages END, 1) AS after, {anchors('previous')} AS pa, {anchors('new')} AS na FROM b)))
+  SELECT m.* REPLACE (m.accepted AND k.rejection IS NULL AS accepted, coalesce(k.rejection, m.reason) AS reason), k.rejection IS NOT NULL AS refused FROM m LEFT JOIN k ON k.doc_id = m.doc_id AND k.step = m.step)"""
 
 
 def tax_valid(x: str) -> str:
@@ -262,6 +321,14 @@ ORACLES = {
     "unwrapped_files": f"SELECT unwrap_id, 'rtf' AS seen_format, md5({strip("regexp_replace(regexp_replace(text, '[' || chr(13) || ']', '', 'g'), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")}) AS text_digest FROM (SELECT DISTINCT unwrap_id, text FROM unwrapped WHERE file_format = 'rtf' AND text IS NOT NULL)",
     "replacements": REPLACED,
     "cascade_results": SETTLED,
+    "cascade_guarded": settled(GUARDED, True),
+    "final_text": f"SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {final('text')} END AS t FROM documents)",
+    "resegmented_texts": f"""WITH RECURSIVE r AS (SELECT DISTINCT unnest({found('text', segment.RUN.pattern)}) AS run FROM documents), l AS (SELECT DISTINCT strip_accents(lower(word)) AS w FROM ({LEXICON}) UNION SELECT unnest([{SHORT}])),
+        p AS (SELECT run, s, n FROM (SELECT run, unnest(range(length(run))) AS s FROM r), range({segment.SHORTEST}, {segment.LONGEST + 1}) t(n) WHERE s + n <= length(run) AND substr(strip_accents(lower(run)), s + 1, n) IN (SELECT w FROM l)),
+        f AS (SELECT run, 0 AS pos, CAST([] AS BIGINT[]) AS sizes FROM r UNION ALL SELECT f.run, f.pos + p.n, list_append(f.sizes, p.n) FROM f JOIN p ON p.run = f.run AND p.s = f.pos),
+        b AS (SELECT run, len(max(sizes)) AS n FROM f WHERE pos = length(run) GROUP BY run HAVING len(max(sizes)) > 1), m AS (SELECT d.doc_id, d.text, sum(b.n - 1) AS more FROM (SELECT doc_id, text, unnest({found('text', segment.RUN.pattern)}) AS run FROM documents) d JOIN b ON b.run = d.run GROUP BY d.doc_id, d.text)
+        SELECT d.doc_id, m.more IS NOT NULL AS changed, CAST(length(d.text) + m.more AS INT) AS n_chars FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id""",
+    "amounts_repaired": f"SELECT doc_id, md5(CASE WHEN text IS NOT NULL THEN {thousands('text')} END) AS digest FROM documents",
     "text_metrics": f"SELECT doc_id, odd_chars, short_lines, single_chars, glyph_index, control_chars, stopwords, latin_words, domain FROM {metrics('documents', 'doc_id')}",
     "text_scores": f"SELECT doc_id, round(raw, 4) AS score, CASE WHEN raw >= 0.75 THEN 'good' WHEN raw >= 0.5 THEN 'fair' WHEN raw IS NOT NULL THEN 'poor' END AS label FROM (SELECT doc_id, {TEXT_SCORE} AS raw FROM {metrics('documents', 'doc_id')})",
     "native_text": "SELECT doc_id, page_no, md5(t) AS text_digest, CAST(length(t) AS INT) AS n_chars FROM (SELECT doc_id, page_no, "
@@ -282,7 +349,7 @@ ORACLES = {
           WHEN m < 2 THEN false WHEN 1000 * m / length(text) < 2.5 THEN false ELSE true END AS drop FROM (SELECT *, {MARKS} AS m FROM (SELECT *, {CARD} AS card FROM screenings))""",
     "lexicon": LEXICON,
     "line_coverage": f"""SELECT l.line_id, round(coalesce(c.coverage, 1.0), 4) AS coverage FROM page_lines l LEFT JOIN (
-        SELECT line_id, tx, count(w.word) / count(*) AS coverage FROM (SELECT DISTINCT line_id, md5(text) AS tx, generate_subscripts(toks, 1) AS i, unnest(toks) AS token FROM (SELECT line_id, text, {found('lower(text)', C.LEXICON_TOKEN)} AS toks FROM page_lines)) t
+        SELECT line_id, tx, count(*) FILTER (w.word IS NOT NULL OR t.token IN ({SHORT})) / count(*) AS coverage FROM (SELECT DISTINCT line_id, md5(text) AS tx, generate_subscripts(toks, 1) AS i, unnest(toks) AS token FROM (SELECT line_id, text, {found('lower(text)', C.LEXICON_TOKEN)} AS toks FROM page_lines)) t
         LEFT JOIN ({LEXICON}) w ON w.word = t.token GROUP BY line_id, tx) c ON c.line_id = l.line_id AND c.tx = md5(l.text)""",
     "line_kinds": f"SELECT line_id, kind, junk, CAST(n AS INT) AS n_chars FROM {SIGNED}",
     "page_containment": f"SELECT * EXCLUDE (text), md5(text) AS text_digest, {ESCALATE} AS needs_escalation, CASE WHEN {ESCALATE} THEN 'escalate' WHEN n_illegible = 0 THEN 'ok' ELSE 'accept_with_holes' END AS suggested_action FROM {CONTAINED}",

@@ -109,6 +109,14 @@ def page_containment(spark: SparkSession, folder: str) -> DataFrame:
     return lines.contain(_classified(spark, folder)).withColumn("text_digest", F.md5("text")).drop("text")
 
 
+def recovered_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines whose words had run together, parted, and what kind they are then."""
+    words = lines.lexicon(load(spark, folder, "documents"))
+    source = load(spark, folder, "page_lines").dropDuplicates(["line_id"])
+    kinds = lines.classify(lines.recover(lines.with_coverage(source, words), words))
+    return kinds.select("line_id", "kind", "recovered", F.length("clean_text").alias("n_chars"))
+
+
 def document_layers(spark: SparkSession, folder: str) -> DataFrame:
     return lines.layer_report(lines.contain(_classified(spark, folder)))
 
@@ -334,7 +342,7 @@ def unwrapped_files(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         text_metrics, text_scores, native_text, stamp_words, identifiers, identifiers_lost, unread_marks, structure_scores, pages_without_text, image_coverage,
-        attachment_screening, lexicon, line_coverage, resegmented_texts, line_kinds, page_containment, document_layers, reread_targets, page_routes, page_confidence, page_merge,
+        attachment_screening, lexicon, line_coverage, resegmented_texts, line_kinds, page_containment, document_layers, reread_targets, recovered_lines, page_routes, page_confidence, page_merge,
         reading_gates, reading_agreement, best_readings, longest_texts, step_comparison, replacements, final_text, amounts_repaired, responses, file_formats,
         private_numbers, cascade_results, cascade_guarded, score_reasons, pages_to_read, transcriptions, engine_readings, batch_coverage, converted_pages, witnesses, veto_decisions,
         screened_texts, losing_readings, converted_texts, response_pages, engine_report, route_evidence, privacy_scan, unwrapped_files,

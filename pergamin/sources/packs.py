@@ -33,7 +33,7 @@ def _entries(table: Mapping, prefix: str):
     for name, value in table.items():
         if not isinstance(value, Mapping):
             raise ValueError(f"{prefix}{name} is no entry")
-        if any(k in value for k in KINDS):
+        if any(k in value and (k == "map" or not isinstance(value[k], Mapping)) for k in KINDS):
             yield f"{prefix}{name}", check(f"{prefix}{name}", dict(value))
         else:
             yield from _entries(value, f"{prefix}{name}.")
