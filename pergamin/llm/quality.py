@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import textwrap
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,6 +34,8 @@ MARK = re.compile(
     r"|\(?(?:\d{1,3}|[a-zA-Z]|[ivxlcIVXLC]{1,6})\)-?\s*(?=[^\W\d])|(?:\d{1,3}|[a-z]|[ivxlc]{2,6}|[IVXLC]{2,6})\.-?\s+(?=[^\W\d])"
     r"|\d{1,2}(?:\.\d{1,2}){1,3}\.?\s+(?=[^\W\d])|\d{1,3}\s*[-–º]\s+(?=[^\W\d]))"
 )
+SENTENCES = re.compile(r"[a-zà-ÿ]{3}\. \w")
+NO_WORD = re.compile(r"[\W_]+")
 PUNCTUATED = re.compile(r"[^\W_]{2}[.,](?:\s|$)")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 SHAPES = ("function", "word", "unreadable", "number", "date", "amount", "code", "sign", "letter", "mixed", "capital", "foreign")
@@ -163,14 +166,21 @@ class Describer:
             return np.zeros((0, sum(PARTS)))
         if len(self.row) > MEMORY:
             self.__init__(self.profiles)  # bounds memory; a token is described alike each time
-        ids, starts, rest = [], [], np.zeros((len(items), sum(PARTS[2:])))
-        for k, item in enumerate(items):
+        ids, starts, edges = [], [], []
+        known = self.row
+        for item in items:
             starts.append(len(ids))
-            tokens = item.split() or ["."]
             mark = MARK.match(item)
-            body = item[mark.end() :].split() if mark else tokens
-            ids.extend(map(self.token, body or ["."]))
-            self.edges(item, mark is not None, len(body), rest[k])
+            body = item[mark.end() :].split() if mark else item.split() or ["."]
+            for token in body or ["."]:
+                k = known.get(token)
+                ids.append(self.token(token) if k is None else k)
+            edges.append(self.edges(item, mark is not None, len(body)))
+        rest, at = np.zeros((len(items), sum(PARTS[2:]))), 0
+        for width, k in zip(PARTS[2:], np.array(edges).T):
+            rest[:, at : at + width] = 0.1 / width
+            rest[np.arange(len(items)), at + k] += 0.9
+            at += width
         counts = np.add.reduceat(self.table[ids].astype(float), starts)
         counts[:, CLASSES["blank"]] += [item.count(" ") for item in items]
         counts[:, CLASSES["column"]] += [item.count("\t") + item.count("|") + item.count(";") * (item.count(";") > 1) for item in items]
@@ -180,19 +190,15 @@ class Describer:
         return np.concatenate([counts, rest], 1)
 
     @staticmethod
-    def edges(item: str, mark: bool, words: int, out: np.ndarray) -> None:
+    def edges(item: str, mark: bool, words: int) -> tuple[int, int, int, int, int]:
+        """Of an item: how it opens, ends, is divided, how long it is, and what it has within."""
         shown = item.strip()
         first, last = shown[:1] or ".", shown[-1:] or "."
         opening = 0 if mark else 1 if first.islower() else 2 if first.isupper() else 3 if first.isdigit() else 4
         ending = 0 if last in ".!?" else 1 if last == "," else 2 if last in ";:" else 3 if last in "-‐‑¬\xad" else 4 if last.isalpha() else 5 if last.isdigit() else 6
         divided = 1 if "\t" in shown else 2 if shown.count("|") > 1 and any(c.isalnum() for c in shown) else 3 if shown.count(";") > 1 else 5 if "....." in shown else 4 if "   " in shown else 0
-        inner = (1 if ", " in shown[:-1] else 0) + (2 if re.search(r"[a-zà-ÿ]{3}\. \w", shown) else 0)
-        length = int(np.searchsorted(LENGTH, words))
-        at = 0
-        for width, k in zip(PARTS[2:], (opening, ending, divided, length, inner)):
-            out[at : at + width] = 0.1 / width
-            out[at + k] += 0.9
-            at += width
+        inner = (1 if ", " in shown[:-1] else 0) + (2 if ". " in shown and SENTENCES.search(shown) else 0)
+        return opening, ending, divided, bisect_left(LENGTH, words), inner
 
 
 def smooth(x: np.ndarray, prior: float = 0.3) -> np.ndarray:
@@ -299,7 +305,7 @@ def item_forms(items: list[str], describer: Describer) -> tuple[np.ndarray, np.n
 
 def statistics(text: str, profiles: Profiles, index: dict[str, int]) -> list:
     words = WORD.findall(text)
-    solid = [c for c in text if not c.isspace()]
+    solid = "".join(text.split())
     lines = [line.rstrip() for line in text.split("\n") if line.strip()]
     lowered = [w.lower() for w in words]
     common = [w for w in lowered if w in index]
@@ -312,7 +318,7 @@ def statistics(text: str, profiles: Profiles, index: dict[str, int]) -> list:
     return [
         len(words),
         sum(map(len, words)) / len(words) if words else 0.0,
-        sum(not c.isalnum() for c in solid) / len(solid) if solid else 0.0,
+        1 - len(NO_WORD.sub("", solid)) / len(solid) if solid else 0.0,
         sum(line[-1] in ".!?;:," for line in lines) / len(lines) if lines else 0.0,
         len(common) / len(words) if words else 0.0,
         language,
