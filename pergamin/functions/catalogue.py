@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 # White space and line boundaries as Python has them.
 SPACE_SET = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SPACE = f"[{SPACE_SET}]"
 SOLID = f"[^{SPACE_SET}]"
 LINE_BREAK = r"\r\n|[\n\x{b}\x{c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -19,6 +20,7 @@ LATIN_WORD = "[A-Za-zÀ-ÿ]{2,}"
 
 # Characters a document of the corpus prints; everything else is odd.
 ODD_CHARACTER = r"[^a-zA-Z0-9áàâãéèêíìîóòôõúùûçÁÀÂÃÉÈÊÍÌÎÓÒÔÕÚÙÛÇ.,;:!?()\\/\"'`\-–—ºª°%\n\r\t ]"
+USUAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789áàâãéèêíìîóòôõúùûçÁÀÂÃÉÈÊÍÌÎÓÒÔÕÚÙÛÇ.,;:!?()\\/\"'`-–—ºª°%\n\r\t "
 CONTROL_CHARACTER = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}]"
 GLYPH_INDEX = "(?:g[0-9]{1,4}){4,}+"  # possessive, so a long run is a loop and not a recursion
 

@@ -79,8 +79,9 @@ def normalize(text: Column) -> Column:
     plain = F.translate(text, *HOMOGLYPHS)
     lines = F.split(plain, "\n")
     stamped = lambda x: x.rlike(f"(?iu){C.STAMP_LINE}")
-    stamps = F.array_distinct(F.transform(F.filter(lines, stamped), lambda x: X.strip(F.regexp_replace(x, f"{C.SPACE}+", " "))))
-    body = F.array_join(F.filter(lines, lambda x: ~stamped(x)), "\n")
+    some = stamped(plain)  # few texts have a stamp: the others are not parted for it
+    stamps = F.when(some, F.array_distinct(F.transform(F.filter(lines, stamped), lambda x: X.strip(F.regexp_replace(x, f"{C.SPACE}+", " "))))).otherwise(F.array().cast("array<string>"))
+    body = F.when(some, F.array_join(F.filter(lines, lambda x: ~stamped(x)), "\n")).otherwise(plain)
     body = F.regexp_replace(body, rf"R\${C.SPACE}*\n{C.SPACE}*(?=[0-9])", "R\\$ ")
     body = F.regexp_replace(rebuild(body), r"R\$(?=[0-9])", "R\\$ ")
     body = fix_thousands(F.regexp_replace(body, C.WRONG_CURRENCY, "R\\$ "))

@@ -15,7 +15,8 @@ from pergamin.functions import catalogue as C
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{C.SPACE}+|{C.SPACE}+\z", "")
+    """Without white space at its ends, as Python has it."""
+    return F.btrim(text, F.lit(C.SPACES))
 
 
 def removed(text: Column, pattern: str) -> Column:
@@ -47,7 +48,9 @@ def normalize(text: Column) -> Column:
 
 
 def odd_char_ratio(text: Column) -> Column:
-    return share_of(text, C.ODD_CHARACTER, 1.0)
+    """Share of the characters that no document of the corpus prints; 1 for an empty text."""
+    n = F.length(text)
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.length(F.translate(text, C.USUAL, "")) / n)
 
 
 def control_char_ratio(text: Column) -> Column:
@@ -69,9 +72,10 @@ def single_char_word_ratio(text: Column) -> Column:
 
 
 def domain_hits(text: Column) -> Column:
-    low = F.lower(text)
-    edge = r"[^\p{L}\p{N}_]"
-    return sum((low.rlike(rf"(?:\A|{edge}){p}(?:\z|{edge})").cast("int") for p in C.DOMAIN), F.lit(0))
+    """How many of the patterns of the domain occur as words. Each begins with its letters, which are looked for fast, and looks
+    behind them last."""
+    low, inner = F.lower(text), r"[\p{L}\p{N}_]"
+    return sum((low.rlike(f"{p}(?<!{inner}{p})(?!{inner})").cast("int") for p in C.DOMAIN), F.lit(0))
 
 
 METRICS = ("odd_chars", "short_lines", "single_chars", "glyph_index", "control_chars", "stopwords", "latin_words", "domain")
