@@ -69,9 +69,13 @@ def rebuild(text: Column) -> Column:
 
 def fix_thousands(text: Column) -> Column:
     """9,159.70 and 5,000,00 as 9.159,70 and 5.000,00."""
-    parts, found = F.split(text, C.ENGLISH_THOUSANDS), F.regexp_extract_all(text, F.lit(C.ENGLISH_THOUSANDS), F.lit(0))
-    fixed = F.transform(found, lambda x: F.concat(F.translate(F.substring(x, F.lit(1), F.length(x) - 3), ",", "."), F.lit(","), F.right(x, F.lit(2))))
-    return F.array_join(F.flatten(F.zip_with(parts, F.array_append(fixed, F.lit("")), lambda p, f: F.array(p, F.coalesce(f, F.lit(""))))), "")
+
+    def repaired(t: Column) -> Column:
+        parts, found = F.split(t, C.ENGLISH_THOUSANDS), F.regexp_extract_all(t, F.lit(C.ENGLISH_THOUSANDS), F.lit(0))
+        fixed = F.transform(found, lambda x: F.concat(F.translate(F.substring(x, F.lit(1), F.length(x) - 3), ",", "."), F.lit(","), F.right(x, F.lit(2))))
+        return F.array_join(F.flatten(F.zip_with(parts, F.array_append(fixed, F.lit("")), lambda p, f: F.array(p, F.coalesce(f, F.lit(""))))), "")
+
+    return F.element_at(F.transform(F.array(text), repaired), 1)  # the text is computed once, as a lambda's variable
 
 
 def normalize(text: Column) -> Column:
