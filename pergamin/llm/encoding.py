@@ -29,6 +29,7 @@ from pergamin.llm.arrow_text import code_points, flat_utf8, slices
 ALPHABET = "abcdefghijklmnopqrstuvwxyzáàâãäéêíóôõöúüçñ"
 # Signs common in such texts that a wrong encoding changes.
 SIGNS = "ºª§°–—“”‘’•…€"
+QUOTES = "«»‹›¿¡"
 # Fixed values: (true encoding, encoding it was read with).
 PAIRS = (
     *(("utf-8", wrong) for wrong in ("cp1252", "cp1251", "mac_roman", "cp850", "cp437", "iso8859_15")),
@@ -231,7 +232,8 @@ class Labeller:
             _, before, previous, restored, _, _ = best[t][state]
             out.append((min(state, lost), word[before:t], restored))
             t, state = before, previous
-        if any(not s and c > "\x7f" and c not in SIGNS and unicodedata.category(c)[0] in "SP" for s, c, _ in out):
+        inner = out[bool(out[0][1] in QUOTES) : len(out) - (out[-1][1] in QUOTES)]  # a quoted word is a word
+        if any(not s and c > "\x7f" and c not in SIGNS and unicodedata.category(c)[0] in "SP" for s, c, _ in inner):
             return tuple((0, c, c) for c in word)  # a heap of signs, not a word
         return tuple(reversed(out))
 

@@ -86,3 +86,9 @@ def test_long_words_are_never_cut_within_a_sequence(model, shift):
     labeller = E.Labeller(model)
     word = "x" * (E.PIECE - 3 + shift) + "iniciaÃ§Ã£o"
     assert labeller.repair(word)[0] == word.replace("Ã§Ã£", "çã")
+
+
+def test_quoted_words_are_words(model):
+    labeller = E.Labeller(model)
+    assert labeller.repair("«iniciaÃ§Ã£o»")[0] == "«iniciação»" and labeller.repair("¿iniciaÃ§Ã£o?")[0] == "¿iniciação?"
+    assert labeller.repair("«iniciação»") == ("«iniciação»", [], 0)
