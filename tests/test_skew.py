@@ -19,3 +19,16 @@ def test_the_same_as_a_join(spark, how, total):
 def test_hot_keys_are_few(spark):
     rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
     assert [r.k for r in skew.hot_keys(rows, ["k"]).collect()] == [7]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pergamin.session import shared_folder
+
+    chosen = []
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: chosen[0] if chosen else None, setCheckpointDir=chosen.append)
+    unset, named = (SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None, v=v: v or default)) for v in (None, "hdfs://shared"))
+    with pytest.raises(ValueError):
+        shared_folder(unset)
+    assert shared_folder(named) == "hdfs://shared"
