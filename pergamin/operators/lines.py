@@ -131,12 +131,13 @@ def reread_targets(lines: DataFrame, most: int = C.Thresholds().max_targets, ord
 
 
 #: What a route is decided by, by name.
+HALF = 0.500000001  # half up, whatever the last bit of a mean
 EVIDENCE = ("amounts", "columns", "coverage", "median_score", "numeric", "prose", "rules", "short")
 
 
 def evidence() -> Column:
     """The route with its measures, of two decimals, as text; a missing measure is 0."""
-    values = [F.format_string(f"{name}=%.2f", F.round(F.coalesce(F.col(name).cast("double"), F.lit(0.0)), 2)) for name in EVIDENCE]
+    values = [F.format_string(f"{name}=%.2f", F.floor(F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * 100 + HALF) / 100) for name in EVIDENCE]
     return F.concat(F.col("route"), F.lit(" ("), F.concat_ws(", ", *values), F.lit(")"))
 
 

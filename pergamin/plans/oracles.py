@@ -315,7 +315,7 @@ ORACLES = {
     "response_pages": f"""SELECT reading_id, CAST(CASE WHEN len(b) > 0 THEN len(b) WHEN c <> '' THEN 1 ELSE 0 END AS INT) AS n_pages, md5(CASE WHEN len(b) > 0 THEN array_to_string(b, '|') ELSE c END) AS digest FROM (SELECT reading_id, {blocks('t')} AS b, {cleaned('t')} AS c FROM (SELECT reading_id, {unfenced('a')} AS t
         FROM (SELECT reading_id, '<think>a</think>' || chr(10) || array_to_string(list_transform(page_texts, lambda p: '=== INICIO DA TRANSCRICAO ===' || chr(10) || coalesce(p, '') || chr(10) || '=== FIM DA TRANSCRICAO ==='), chr(10)) AS a FROM readings WHERE step = 'paddle' AND page_texts IS NOT NULL)))""",
     "engine_report": "SELECT * FROM (VALUES ('text_layer', 0, true, '')) v(engine, priority, available, why)",
-    "route_evidence": "SELECT doc_id, step, page_no, route || ' (' || concat_ws(', ', " + ", ".join(f"printf('{name}=%.2f', round(coalesce(CAST({name} AS DOUBLE), 0.0), 2))" for name in lines.EVIDENCE) + ") || ')' AS evidence FROM ({page_routes})",
+    "route_evidence": "SELECT doc_id, step, page_no, route || ' (' || concat_ws(', ', " + ", ".join(f"printf('{name}=%.2f', floor(coalesce(CAST({name} AS DOUBLE), 0.0) * 100 + {lines.HALF}) / 100)" for name in lines.EVIDENCE) + ") || ')' AS evidence FROM ({page_routes})",
     "privacy_scan": f"""SELECT doc_id, CAST(len(c) AS INT) AS company_ids, CAST(len(list_filter(c, lambda x: {company_valid('x')})) AS INT) AS valid_company_ids, CAST(len(m) AS INT) AS emails, CASE WHEN length(m[1]) > 6 THEN substr(m[1], 1, 4) || repeat('*', length(m[1]) - 6) || right(m[1], 2) ELSE '***' END AS first_email,
         CAST(len({found('k', checks.ADDRESS)}) AS INT) AS addresses, CAST(len({found('k', checks.SECRET)}) AS INT) AS secrets FROM (SELECT doc_id, k, {found('k', checks.COMPANY_ID)} AS c, list_filter({found('k', checks.EMAIL)}, lambda x: NOT {matches('x', checks.EXAMPLE_EMAIL)}) AS m FROM (SELECT doc_id, {removed('text', checks.IGNORED_LINE)} AS k FROM documents))""",
     "unwrapped_files": f"SELECT unwrap_id, 'rtf' AS seen_format, md5({strip("regexp_replace(regexp_replace(text, '[' || chr(13) || ']', '', 'g'), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")}) AS text_digest FROM (SELECT DISTINCT unwrap_id, text FROM unwrapped WHERE file_format = 'rtf' AND text IS NOT NULL)",
